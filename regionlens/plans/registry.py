@@ -8,7 +8,6 @@ Floating results that two engines may sum in different orders are rounded
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,8 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions.scalar import (
-    format_round,
-    hash_unit,
     log10_1p,
     log10_positive,
     pad_key,
@@ -460,5 +457,7 @@ def q_scan_wide_csv(spark, base):
     return projection.latest_measure(wide, ["FIPS", "Combined_Key", "Population"], "Deaths")
 
 
-def _unused():  # keep imports referenced for linters
-    return (format_round, hash_unit, log10_1p, log10_positive, uuid)
+
+
+# growth, feature preparation and model queries register themselves on import
+from regionlens.plans import model_queries  # noqa: E402,F401
