@@ -32,7 +32,8 @@ def growth_linear(long: DataFrame, key: str, t: str, y: str, min_fraction: float
     """``(key, q, b, tau, a, n, n_points, status)`` from the linear recurrence.
 
     Only points with y > 0 (and y >= ``min_fraction`` * the key's maximum) are
-    used. ``n`` makes the curve pass through the key's last point. Status is
+    used. ``n`` makes the curve pass through the key's first used point (early
+    points are far from saturation, so a/y - 1 is well conditioned). Status is
     ``ok`` when 0 < q < 1 and b > 0, else ``no_fit``.
     """
     w = Window.partitionBy(key).orderBy(t)
@@ -46,16 +47,16 @@ def growth_linear(long: DataFrame, key: str, t: str, y: str, min_fraction: float
         F.regr_slope(F.when(F.col("z0").isNotNull(), F.col("z")), "z0").alias("q"),
         F.regr_intercept(F.when(F.col("z0").isNotNull(), F.col("z")), "z0").alias("b"),
         F.count("z0").cast("long").alias("n_points"),
-        F.max_by("y", t).alias("y_last"),
-        F.max(t).alias("t_last"),
+        F.min_by("y", t).alias("y_first"),
+        F.min(t).alias("t_first"),
     )
     ok = (F.col("q") > 0) & (F.col("q") < 1) & (F.col("b") > 0)
     tau = F.when(ok, -1.0 / F.log("q"))
     a = F.when(ok, (1.0 - F.col("q")) / F.col("b"))
-    out = agg.select(key, "q", "b", "n_points", "y_last", "t_last", tau.alias("tau"), a.alias("a"), F.when(ok, "ok").otherwise("no_fit").alias("status"))
+    out = agg.select(key, "q", "b", "n_points", "y_first", "t_first", tau.alias("tau"), a.alias("a"), F.when(ok, "ok").otherwise("no_fit").alias("status"))
     n = F.when(
-        (F.col("status") == "ok") & (F.col("a") > F.col("y_last")),
-        (F.col("a") / F.col("y_last") - 1.0) * F.exp(F.col("t_last") / F.col("tau")),
+        (F.col("status") == "ok") & (F.col("a") > F.col("y_first")),
+        (F.col("a") / F.col("y_first") - 1.0) * F.exp(F.col("t_first") / F.col("tau")),
     )
     return out.select(key, "q", "b", "tau", "a", n.alias("n"), "n_points", "status")
 

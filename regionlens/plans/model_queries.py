@@ -26,18 +26,18 @@ _GROWTH_SQL = (
 z AS (SELECT user_id, t, y, 1 / y AS z, lag(1 / y) OVER (PARTITION BY user_id ORDER BY t) AS z0 FROM pts),
 agg AS (
   SELECT user_id, regr_slope(z, z0) AS q, regr_intercept(z, z0) AS b, count(z0)::BIGINT AS n_points,
-         arg_max(y, t) AS y_last, max(t) AS t_last
+         arg_min(y, t) AS y_first, min(t) AS t_first
   FROM z GROUP BY user_id),
 fit AS (
   SELECT *, (q > 0 AND q < 1 AND b > 0) AS ok FROM agg),
 par AS (
-  SELECT user_id, q, b, n_points, y_last, t_last,
+  SELECT user_id, q, b, n_points, y_first, t_first,
          CASE WHEN ok THEN -1.0 / ln(q) END AS tau,
          CASE WHEN ok THEN (1.0 - q) / b END AS a,
          CASE WHEN ok THEN 'ok' ELSE 'no_fit' END AS status
   FROM fit),
 params AS (
-  SELECT *, CASE WHEN status = 'ok' AND a > y_last THEN (a / y_last - 1.0) * exp(t_last / tau) END AS n FROM par)
+  SELECT *, CASE WHEN status = 'ok' AND a > y_first THEN (a / y_first - 1.0) * exp(t_first / tau) END AS n FROM par)
 """
 )
 
