@@ -22,6 +22,7 @@ from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,10 +92,18 @@ def gbt(
 
 
 def fit(train: DataFrame, features: Sequence[str], key: str, label: str = "label", validation_fraction: float = 0.0, seed: int = 0, **params) -> GBTClassificationModel:
+    """Fit on ``train``. The assembled frame is persisted for the duration of
+    the fit: boosting reads it once per tree level and the validation error is
+    re-evaluated every round, which would otherwise recompute the features."""
     data = assemble(train, features)
     if validation_fraction > 0:
         data = with_validation(data, key, validation_fraction, seed)
-    return gbt(label=label, seed=seed, validation=validation_fraction > 0, **params).fit(data)
+    cols = ["features", label] + (["is_validation"] if validation_fraction > 0 else [])
+    data = data.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return gbt(label=label, seed=seed, validation=validation_fraction > 0, **params).fit(data)
+    finally:
+        data.unpersist()
 
 
 def predict(model: GBTClassificationModel, df: DataFrame, features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -130,7 +139,7 @@ def random_search(
     folds: int = 5,
     max_iter: int = 500,
     seed: int = 0,
-    parallelism: int = 2,
+    parallelism: int = 4,
 ) -> list[dict]:
     """k-fold CV accuracy for each draw; folds from a hash of ``key``."""
     draws = sample_params(n_draws, seed)
@@ -144,7 +153,12 @@ def random_search(
         }
         for d in draws
     ]
-    data = assemble(train, features).withColumn("fold", hash_fold(key, seed, folds))
+    data = (
+        assemble(train, features)
+        .withColumn("fold", hash_fold(key, seed, folds))
+        .select("features", label, "fold")
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    )
     cv = CrossValidator(
         estimator=est,
         estimatorParamMaps=maps,
@@ -154,7 +168,10 @@ def random_search(
         parallelism=parallelism,
         seed=seed,
     )
-    model = cv.fit(data)
+    try:
+        model = cv.fit(data)
+    finally:
+        data.unpersist()
     return [dict(d, draw=i + 1, accuracy=float(m)) for i, (d, m) in enumerate(zip(draws, model.avgMetrics))]
 
 

@@ -172,7 +172,15 @@ def _heuristic_start(t: np.ndarray, y: np.ndarray):
     return a0, n0, tau0
 
 
-def logistic_fit(long: DataFrame, key: str, t: str, y: str, starts: DataFrame | None = None, p0=CASES_P0) -> DataFrame:
+def logistic_fit(
+    long: DataFrame,
+    key: str,
+    t: str,
+    y: str,
+    starts: DataFrame | None = None,
+    p0=CASES_P0,
+    num_partitions: int | None = None,
+) -> DataFrame:
     """``(key, a, n, tau, rss, iters, n_points, status)`` per key.
 
     ``starts`` (e.g. ``growth_linear`` output with columns a, n, tau) supplies a
@@ -211,4 +219,10 @@ def logistic_fit(long: DataFrame, key: str, t: str, y: str, starts: DataFrame |
             }
         )
 
-    return series.groupBy(key).applyInPandas(fit_group, out_schema)
+    # The input is small in bytes but each group costs real CPU: AQE would
+    # coalesce the key shuffle into very few tasks. A range partitioning with an
+    # explicit count keeps every core busy (AQE keeps user-given counts; a hash
+    # repartition on the key would be dropped as redundant with the window's).
+    # It clusters each key in one partition, so the grouping adds no exchange.
+    parts = num_partitions or max(series.sparkSession.sparkContext.defaultParallelism, 1)
+    return series.repartitionByRange(parts, key).groupBy(key).applyInPandas(fit_group, out_schema)

@@ -1,7 +1,8 @@
 """Principal-component regression (OP-43, 58-62).
 
-MLlib ``PCA`` computes the covariance with a distributed tree aggregate and
-eigen-decomposes the p x p result on the driver; scores are an Arrow-batched
+The covariance comes from one distributed cross-product pass and is
+eigen-decomposed on the driver (p x p, as MLlib ``PCA`` does; that estimator
+is kept as ``method="mllib"``); scores are an Arrow-batched
 matrix product inside ``mapInPandas`` (a k-by-p native projection would not fit
 in generated code for wide inputs). The R^2 curve
 for the first 1..k components comes from one Gram pass over
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.operators.aggregates import collect_stats, column_moments
+from regionlens.operators.aggregates import collect_stats, column_moments, gram_matrix, gram_to_numpy
 from regionlens.operators.features import assemble
 from regionlens.operators.stepwise import Gram, regression_gram, solve_subset
 
@@ -44,19 +45,43 @@ class PcaFit:
         return self.components * np.sqrt(self.eigenvalues)
 
 
-def fit_pca(df: DataFrame, columns: Sequence[str], k: int | None = None) -> PcaFit:
+def fit_pca(df: DataFrame, columns: Sequence[str], k: int | None = None, method: str = "gram") -> PcaFit:
+    """Principal components of the sample covariance.
+
+    ``gram`` (default): one distributed pass sums ``[x, 1]`` cross products
+    (partial X^T X per Arrow batch, merged by a tiny aggregate); mean,
+    covariance and its eigen-decomposition follow on the driver from the
+    (p+1)^2 numbers -- the same algebra MLlib's ``PCA`` runs after its own
+    covariance pass. ``mllib`` uses ``pyspark.ml.feature.PCA`` directly.
+    """
     cols = list(columns)
-    k = k or len(cols)
-    stats = collect_stats(column_moments(df, cols))
-    mean = np.array([stats[c]["mean"] for c in cols], dtype=float)
-    total = float(sum(stats[c]["std_samp"] ** 2 for c in cols))
-    model = PCA(k=k, inputCol="features", outputCol="pca").fit(assemble(df.select(*cols), cols))
-    comp = model.pc.toArray().copy()
+    p = len(cols)
+    k = k or p
+    if method == "mllib":
+        stats = collect_stats(column_moments(df, cols))
+        mean = np.array([stats[c]["mean"] for c in cols], dtype=float)
+        total = float(sum(stats[c]["std_samp"] ** 2 for c in cols))
+        model = PCA(k=k, inputCol="features", outputCol="pca").fit(assemble(df.select(*cols), cols))
+        comp = model.pc.toArray().copy()
+        ratio = np.asarray(model.explainedVariance.toArray(), dtype=float)
+    else:
+        frame = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols], F.lit(1.0).alias("__one__"))
+        g = gram_to_numpy(gram_matrix(frame.na.fill(0.0), cols + ["__one__"], method="arrow"), p + 1)
+        n = g[p, p]
+        s1 = g[:p, p]
+        mean = s1 / n
+        cov = (g[:p, :p] - np.outer(s1, s1) / n) / (n - 1)
+        w, v = np.linalg.eigh(cov)
+        order = np.argsort(w)[::-1]
+        w, v = np.clip(w[order], 0.0, None), v[:, order]
+        total = float(np.trace(cov))
+        comp = v[:, :k].copy()
+        ratio = w[:k] / w.sum() if w.sum() > 0 else np.zeros(k)
     for j in range(comp.shape[1]):
         i = int(np.argmax(np.abs(comp[:, j])))
         if comp[i, j] < 0:
             comp[:, j] = -comp[:, j]
-    return PcaFit(cols, mean, comp, np.asarray(model.explainedVariance.toArray(), dtype=float), total)
+    return PcaFit(cols, mean, comp, ratio, total)
 
 
 def scores(df: DataFrame, fit: PcaFit, keep: Sequence[str] = (), k: int | None = None, prefix: str = "pc") -> DataFrame:
