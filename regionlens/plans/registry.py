@@ -358,9 +358,9 @@ def supplier_panel(spark: SparkSession, base: str) -> DataFrame:
     + """
 , acct AS (SELECT printf('%05d', s_suppkey) AS FIPS, s_acctbal AS ACCTBAL_2018 FROM supplier),
 per AS (SELECT l_suppkey, sum(l_quantity) AS qty, sum(l_extendedprice::DECIMAL(18,2)) AS price,
-               avg(l_discount) AS disc FROM lineitem GROUP BY l_suppkey),
+               sum(l_discount::DECIMAL(18,2)) AS disc FROM lineitem GROUP BY l_suppkey),
 vol AS (SELECT printf('%05d', l_suppkey) AS FIPS, round_even(qty, 0) AS QTY_2018, price::DOUBLE AS PRICE_2018 FROM per),
-terms AS (SELECT printf('%05d', l_suppkey) AS FIPS, TRY_CAST(printf('%.6f', disc) AS DOUBLE) AS DISC_2018 FROM per)
+terms AS (SELECT printf('%05d', l_suppkey) AS FIPS, disc::DOUBLE AS DISC_2018 FROM per)
 SELECT r.*, ACCTBAL_2018, QTY_2018, PRICE_2018, DISC_2018
 FROM rates r JOIN acct USING (FIPS) JOIN vol USING (FIPS) JOIN terms USING (FIPS)
 """,
@@ -410,7 +410,7 @@ def q_latest_measure(spark, base):
     "keep_columns",
     """
 SELECT user_id::DOUBLE AS FIPS, printf('User %d', user_id) AS Combined_Key,
-       round(sum(value))::BIGINT AS Population, count_if(event_type = 'error')::BIGINT AS Deaths
+       round(sum(value::DECIMAL(18,2)))::BIGINT AS Population, count_if(event_type = 'error')::BIGINT AS Deaths
 FROM events GROUP BY user_id
 """,
 )
@@ -439,7 +439,7 @@ def q_topk_series(spark, base):
     "scan_wide_csv",
     """
 SELECT user_id::DOUBLE AS FIPS, printf('User %d', user_id) AS Combined_Key,
-       round(sum(value))::BIGINT::DOUBLE AS Population, count_if(event_type = 'error')::DOUBLE AS Deaths
+       round(sum(value::DECIMAL(18,2)))::BIGINT::DOUBLE AS Population, count_if(event_type = 'error')::DOUBLE AS Deaths
 FROM events GROUP BY user_id
 """,
 )

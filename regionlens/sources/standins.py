@@ -84,11 +84,15 @@ def event_daily(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id", F.to_date("ts").alias("day")).agg(
         F.count(F.lit(1)).cast("long").alias("n_all"),
         F.count_if(F.col("event_type") == DEATH_EVENT_TYPE).cast("long").alias("n_death"),
+        F.sum(F.col("value").cast("decimal(18,2)")).alias("v_sum"),
     )
 
 
 def event_series(spark: SparkSession, base: str, bounds: tuple[dt.date, dt.date] | None = None) -> DataFrame:
-    """Dense cumulative series ``(user_id, day, t, cases, deaths)``.
+    """Dense cumulative series ``(user_id, day, t, cases, deaths, v_sum)``.
+
+    ``v_sum`` is the day's (not cumulative) sum of event values, in decimal so
+    that totals are exact whatever the summation order.
 
     Every user gets every day from the first to the last event day (like the
     wide files, which have all dates for all counties). The grid is generated
@@ -96,7 +100,7 @@ def event_series(spark: SparkSession, base: str, bounds: tuple[dt.date, dt.date]
     user, and a partition holds one row per day, so a user with a third of all
     events still yields a bounded partition.
     """
-    events = load(spark, base, "events").select("user_id", "ts", "event_type")
+    events = load(spark, base, "events").select("user_id", "ts", "event_type", "value")
     d0, d1 = bounds or day_bounds(events)
     daily = event_daily(events)
     users = daily.select("user_id").distinct()
@@ -112,6 +116,7 @@ def event_series(spark: SparkSession, base: str, bounds: tuple[dt.date, dt.date]
         (F.datediff("day", F.lit(d0)) + 1).cast("int").alias("t"),
         F.sum(F.coalesce("n_all", F.lit(0))).over(w).cast("long").alias("cases"),
         F.sum(F.coalesce("n_death", F.lit(0))).over(w).cast("long").alias("deaths"),
+        F.coalesce("v_sum", F.lit(0).cast("decimal(18,2)")).alias("v_sum"),
     )
 
 
@@ -124,25 +129,24 @@ def series_labels(d0: dt.date, d1: dt.date) -> list[str]:
 def wide_series(spark: SparkSession, base: str, measure: str = "cases") -> DataFrame:
     """Wide file role: ``FIPS, Combined_Key[, Population], <M/d/yy>...``.
 
-    The pivot values are passed explicitly (no extra distinct pass). The deaths
-    file also carries ``Population``: the rounded sum of event values per user.
+    One conditional aggregation per user builds the row: it groups on
+    ``user_id``, which the running-sum window has already hash-partitioned, so
+    no further shuffle is planned (a ``pivot`` would add two). The deaths file
+    also carries ``Population``: the rounded sum of the user's event values,
+    taken from the same daily pre-aggregate.
     """
     events = load(spark, base, "events")
     d0, d1 = day_bounds(events)
     series = event_series(spark, base, (d0, d1))
     labels = series_labels(d0, d1)
-    labelled = series.withColumn("label", F.date_format("day", SERIES_LABEL_FORMAT))
-    wide = (
-        labelled.groupBy(F.col("user_id").cast("double").alias("FIPS"), F.format_string("User %d", "user_id").alias("Combined_Key"))
-        .pivot("label", labels)
-        .agg(F.first(measure))
-    )
+    days = [d0 + dt.timedelta(days=i) for i in range(len(labels))]
+    cells = [F.max(F.when(F.col("day") == F.lit(d), F.col(measure))).alias(h) for d, h in zip(days, labels)]
+    extra = [F.round(F.sum("v_sum")).cast("long").alias("Population")] if measure == "deaths" else []
+    wide = series.groupBy("user_id").agg(*extra, *cells)
+    head = [F.col("user_id").cast("double").alias("FIPS"), F.format_string("User %d", "user_id").alias("Combined_Key")]
     if measure == "deaths":
-        pop = events.groupBy(F.col("user_id").cast("double").alias("FIPS")).agg(
-            F.round(F.sum("value")).cast("long").alias("Population")
-        )
-        wide = wide.join(pop, "FIPS", "inner").select("FIPS", "Combined_Key", "Population", *labels)
-    return wide
+        head.append("Population")
+    return wide.select(*head, *[F.col(f"`{h}`") for h in labels])
 
 
 # --------------------------------------------------------------------------- attributes
@@ -178,7 +182,8 @@ def supplier_attributes(spark: SparkSession, base: str) -> list[DataFrame]:
 
     * account: ``ACCTBAL_2018`` money text, ``NATION_2017`` (an older column);
     * volume: ``QTY_2018`` total quantity, ``PRICE_2018`` total price (money text);
-    * terms: ``DISC_2018`` and ``TAX_2018``, mean discount and tax (6 decimals).
+    * terms: ``DISC_2018`` and ``TAX_2018``, total discount and tax rates (exact
+      decimal sums rendered with 2 decimals).
 
     Volume and terms come from one per-supplier aggregate of ``lineitem``; its
     exchange is reused by both.
@@ -194,8 +199,8 @@ def supplier_attributes(spark: SparkSession, base: str) -> list[DataFrame]:
     per_supplier = li.groupBy("l_suppkey").agg(
         F.sum("l_quantity").alias("qty"),
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"),
-        F.avg("l_discount").alias("disc"),
-        F.avg("l_tax").alias("tax"),
+        F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("disc"),
+        F.sum(F.col("l_tax").cast("decimal(18,2)")).alias("tax"),
     )
     volume = per_supplier.select(
         F.col("l_suppkey").cast("string").alias("FIPStxt"),
@@ -204,7 +209,7 @@ def supplier_attributes(spark: SparkSession, base: str) -> list[DataFrame]:
     )
     terms = per_supplier.select(
         F.col("l_suppkey").cast("string").alias("FIPStxt"),
-        F.format_number("disc", 6).alias("DISC_2018"),
-        F.format_number("tax", 6).alias("TAX_2018"),
+        F.format_number("disc", 2).alias("DISC_2018"),
+        F.format_number("tax", 2).alias("TAX_2018"),
     )
     return [account, volume, terms]
