@@ -533,3 +533,12 @@ def q_param_search(spark, base):
     return spark.createDataFrame(
         rows, "max_depth int, colsample double, subsample double, step_size double, draw int, accuracy double"
     )
+
+
+# ============================================================================ E2 on the regional panel
+@register("panel_stepwise_path")
+def q_panel_stepwise_path(spark, base):
+    """Forward path of log10(1 + Cases) on the min-max scaled panel attributes."""
+    from regionlens.plans.panel_models import build_panel, stepwise_report
+
+    return stepwise_report(spark, build_panel(spark, base), "Cases")["path"]
