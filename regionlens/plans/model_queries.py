@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from regionlens.functions.scalar import log10_1p, log10_positive, round_to
 from regionlens.operators import aggregates, boost, features, growth, metrics, pcr, stepwise
 from regionlens.plans.registry import _SERIES_SQL, register
+from regionlens.session import cut_lineage
 from regionlens.sources import standins
 from regionlens.sources.tables import load
 
@@ -489,10 +490,15 @@ GBT_ITER = 20  # registered queries keep the trees few; the library default is 5
 
 
 def document_frame(spark: SparkSession, base: str, target: str = "quality") -> DataFrame:
+    """Labelled documents with text-shape features and the 0.33 hash split.
+
+    The features read whole texts; the result (a few numbers per labelled
+    document) is written once to the shared checkpoint folder, so boosting,
+    validation and prediction read it instead of re-scanning the texts."""
     d = load(spark, base, "documents").select("doc_id", "text")
     lab = load(spark, base, "labels").select("doc_id", F.col(target).cast("double").alias("label"))
     f = boost.text_shape_features(d.join(lab, "doc_id")).drop("text")
-    return features.hash_split(f, "doc_id", 0.33, 7)
+    return cut_lineage(features.hash_split(f, "doc_id", 0.33, 7))
 
 
 def _gbt_model(spark, base):
