@@ -14,14 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.functions.scalar import (
-    log10_1p,
-    log10_positive,
-    pad_key,
-    round_to,
-    threshold_label,
-    to_number,
-)
+from regionlens.functions.scalar import pad_key, round_to, threshold_label, to_number
 from regionlens.operators import aggregates, missing, projection, rates, series, topk
 from regionlens.operators.joins import panel
 from regionlens.plans.rates_report import ranking, supplier_rates

@@ -15,8 +15,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.functions.scalar import parse_header_date
-
 ATTRIBUTE_ENCODING = "ISO-8859-1"
 
 
@@ -78,7 +76,6 @@ __all__ = [
     "ATTRIBUTE_ENCODING",
     "csv_header",
     "date_columns",
-    "parse_header_date",
     "read_attribute_csv",
     "read_boundaries",
     "read_wide_csv",

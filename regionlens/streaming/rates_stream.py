@@ -3,10 +3,11 @@
 The reference re-downloads the whole cumulative files on every run. Here new
 row files are read as a stream; a streaming aggregation keeps the running
 cases / deaths / population per entity in the state store (checkpointed, so a
-restarted query resumes exactly), and each micro-batch rewrites the rates table
-through ``foreachBatch`` with the same batch operators (rates, validity
-filter). Only keys touched by the batch are emitted (``update`` mode), and the
-rates table is maintained by a key-preserving overwrite of those keys' rows.
+restarted query resumes exactly), and each micro-batch computes the rates of
+the changed entities through ``foreachBatch`` with the same batch operators
+(rates, validity filter). Only keys touched by the batch are emitted (``update`` mode); the
+caller's sink upserts those keys (for example a MERGE into a table, or a
+per-key overwrite), so each micro-batch costs in proportion to what changed.
 """
 
 from __future__ import annotations

@@ -40,3 +40,12 @@ def test_growth_curves_end_to_end(spark):
     assert len(report) == 8
     latest = [r.latest for r in report]
     assert latest == sorted(latest, reverse=True)
+
+
+def test_panel_classifier_report(spark):
+    panel = panel_models.build_panel(spark, SF)
+    median = panel.frame.approxQuantile("Fatality", [0.5], 0.0)[0]
+    rep = panel_models.classifier_report(panel, "Fatality", median, max_iter=5, max_depth=3)
+    m = rep["metrics"].collect()[0]
+    assert m.tp + m.fp + m.fn + m.tn == rep["predictions"].count()
+    assert {r["feature"] for r in rep["importance"]} == set(panel.features)
