@@ -185,8 +185,9 @@ def supplier_attributes(spark: SparkSession, base: str) -> list[DataFrame]:
     * terms: ``DISC_2018`` and ``TAX_2018``, total discount and tax rates (exact
       decimal sums rendered with 2 decimals).
 
-    Volume and terms come from one per-supplier aggregate of ``lineitem``; its
-    exchange is reused by both.
+    Volume and terms are written as one per-supplier aggregate of ``lineitem``;
+    column pruning gives each table only the sums it needs, so Catalyst plans
+    two narrow scans, each with partial aggregation before its shuffle.
     """
     sup = load(spark, base, "supplier")
     li = load(spark, base, "lineitem")
