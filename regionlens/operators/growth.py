@@ -160,6 +160,32 @@ FIT_SCHEMA = T.StructType(
 )
 
 
+def linear_start(t: np.ndarray, y: np.ndarray):
+    """The ``growth_linear`` start computed on one series in NumPy: regress 1/y
+    on its lag, q = slope, b = intercept, tau = -1/ln q, a = (1-q)/b, n through
+    the first positive point. None when the recurrence does not give 0<q<1, b>0."""
+    pos = y > 0
+    tp, yp = t[pos], y[pos]
+    if len(yp) < 3:
+        return None
+    z = 1.0 / yp
+    x, w = z[:-1], z[1:]
+    vx = np.var(x)
+    if vx <= 0:
+        return None
+    q = float(np.mean((x - x.mean()) * (w - w.mean())) / vx)
+    b = float(w.mean() - q * x.mean())
+    if not (0 < q < 1 and b > 0):
+        return None
+    tau = -1.0 / np.log(q)
+    a = (1.0 - q) / b
+    if a <= yp[0]:
+        return None
+    with np.errstate(over="ignore"):
+        n = (a / yp[0] - 1.0) * np.exp(tp[0] / tau)
+    return (a, n, tau) if np.isfinite(n) and n > 0 else None
+
+
 def _heuristic_start(t: np.ndarray, y: np.ndarray):
     ymax = float(np.max(y))
     span = float(np.ptp(t)) or 1.0
@@ -184,7 +210,9 @@ def logistic_fit(
     """``(key, a, n, tau, rss, iters, n_points, status)`` per key.
 
     ``starts`` (e.g. ``growth_linear`` output with columns a, n, tau) supplies a
-    per-key start; the fixed ``p0`` and a data-driven start are always tried too.
+    per-key start; without it the same closed-form start is computed inside the
+    group (no second pass over the series, no join). The fixed ``p0`` and a
+    data-driven start are always tried too.
     """
     key_field = long.schema[key]
     series = long.select(key, F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y"))
@@ -204,6 +232,10 @@ def logistic_fit(
         row0 = pdf.iloc[0]
         if pd.notna(row0["a0"]) and pd.notna(row0["n0"]) and pd.notna(row0["tau0"]):
             cands.insert(0, (float(row0["a0"]), float(row0["n0"]), float(row0["tau0"])))
+        else:
+            own = linear_start(tt, yy)
+            if own is not None:
+                cands.insert(0, own)
         p, rss, it, status = fit_one(tt, yy, cands)
         a, n, tau = (p if p is not None else (None, None, None))
         return pd.DataFrame(

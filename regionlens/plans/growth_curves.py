@@ -1,8 +1,8 @@
 """E3: growth curves for every series.
 
-wide or long series -> long form -> closed-form start values (window +
-regression) -> per-series Levenberg-Marquardt fit (grouped map) -> ceiling and
-growth rate; the top-k series by latest value are a report on top of the fits
+wide or long series -> long form -> per-series fit in one grouped map
+(closed-form start from the linear recurrence, then Levenberg-Marquardt) ->
+ceiling and growth rate; the top-k series by latest value are a report on top of the fits
 of all series, not a restriction of what is fitted.
 """
 
@@ -19,8 +19,7 @@ from regionlens.operators.series import wide_to_long
 
 def fit_all(long: DataFrame, key: str, t: str = "t", y: str = "value", p0=growth.CASES_P0) -> DataFrame:
     """Parameters of every series: ``(key, a, n, tau, rss, iters, n_points, status, growth_rate)``."""
-    starts = growth.growth_linear(long, key, t, y)
-    fits = growth.logistic_fit(long, key, t, y, starts=starts, p0=p0)
+    fits = growth.logistic_fit(long, key, t, y, p0=p0)
     return fits.withColumn("growth_rate", F.when(F.col("status") == "ok", 1.0 / F.col("tau")))
 
 

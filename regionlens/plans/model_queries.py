@@ -106,8 +106,7 @@ def q_logistic_curve(spark, base):
 
 @register("logistic_fit")
 def q_logistic_fit(spark, base):
-    s, p = _linear(spark, base)
-    return growth.logistic_fit(s, "user_id", "t", "cases", starts=p)
+    return growth.logistic_fit(_series(spark, base), "user_id", "t", "cases")
 
 
 # ============================================================================ descriptive statistics

@@ -18,7 +18,7 @@ from regionlens.functions.scalar import pad_key, round_to, threshold_label, to_n
 from regionlens.operators import aggregates, missing, projection, rates, series, topk
 from regionlens.operators.joins import panel
 from regionlens.plans.rates_report import ranking, supplier_rates
-from regionlens.session import shared_path
+from regionlens.session import stable_path
 from regionlens.sources import files, standins
 from regionlens.sources.tables import load
 
@@ -372,7 +372,7 @@ FROM a
 """,
 )
 def q_scan_attr_csv(spark, base):
-    path = shared_path(spark, "attributes-csv")
+    path = stable_path(spark, "attributes-csv", base)
     files.write_csv(standins.customer_attributes(spark, base), path, files.ATTRIBUTE_ENCODING)
     attrs = files.read_attribute_csv(spark, path)
     picked = projection.columns_by_token(attrs, "FIPStxt", "2018")
@@ -437,7 +437,7 @@ FROM events GROUP BY user_id
 """,
 )
 def q_scan_wide_csv(spark, base):
-    path = shared_path(spark, "deaths-csv")
+    path = stable_path(spark, "deaths-csv", base)
     files.write_csv(standins.wide_series(spark, base, "deaths"), path)
     meta = T.StructType(
         [

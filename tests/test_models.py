@@ -186,3 +186,17 @@ def test_pca_properties(spark):
     curve = pcr.r2_curve(scored, "y", 4)
     r2 = [c["r2"] for c in curve]
     assert all(0 <= v <= 1 for v in r2) and all(b >= a - 1e-12 for a, b in zip(r2, r2[1:]))
+
+
+def test_linear_start_matches_spark_growth_linear(spark):
+    series = _f4(spark)
+    p = {r.key: r for r in growth.growth_linear(series, "key", "t", "y").collect()}
+    t = np.arange(1, 201, dtype=float)
+    y = 70000 / (1 + 500 * np.exp(-t / 6))
+    a, n, tau = growth.linear_start(t, y)
+    assert a == pytest.approx(p["s1"].a, rel=1e-9)
+    assert tau == pytest.approx(p["s1"].tau, rel=1e-9)
+    assert n == pytest.approx(p["s1"].n, rel=1e-6)
+    fits = {r.key: r for r in growth.logistic_fit(series, "key", "t", "y").collect()}
+    assert fits["s2"].tau == pytest.approx(22, rel=1e-6)
+    assert fits["s6"].status == "no_fit"
