@@ -38,23 +38,26 @@ SERIES_LABEL_FORMAT = "M/d/yy"
 
 
 # --------------------------------------------------------------------------- entity counts
+def _supplier_keys():
+    """Entity key columns. A missing key is filled with 0 here, as the reference
+    fills the file before using it; the keys are then non-nullable, so the later
+    ``fillna`` leaves them untouched and a join on them can reuse the
+    aggregation's hash partitioning instead of shuffling again."""
+    k = F.coalesce(F.col("l_suppkey"), F.lit(0).cast("long"))
+    return k.alias("FIPS"), F.format_string("Supplier#%09d", k).alias("Combined_Key")
+
+
 def supplier_cases(spark: SparkSession, base: str) -> DataFrame:
     """Cases file role: ``(FIPS, Combined_Key, Cases)`` per supplier."""
     li = load(spark, base, "lineitem")
-    return li.groupBy(
-        F.col("l_suppkey").alias("FIPS"),
-        F.format_string("Supplier#%09d", F.col("l_suppkey")).alias("Combined_Key"),
-    ).agg(F.count_if(F.col("l_returnflag") == RETURNED_FLAG).cast("long").alias("Cases"))
+    return li.groupBy(*_supplier_keys()).agg(F.count_if(F.col("l_returnflag") == RETURNED_FLAG).cast("long").alias("Cases"))
 
 
 def supplier_deaths(spark: SparkSession, base: str) -> DataFrame:
     """Deaths file role: ``(FIPS, Combined_Key, Population, Deaths)`` per supplier."""
     li = load(spark, base, "lineitem")
     returned_finished = (F.col("l_returnflag") == RETURNED_FLAG) & (F.col("l_linestatus") == FINISHED_STATUS)
-    return li.groupBy(
-        F.col("l_suppkey").alias("FIPS"),
-        F.format_string("Supplier#%09d", F.col("l_suppkey")).alias("Combined_Key"),
-    ).agg(
+    return li.groupBy(*_supplier_keys()).agg(
         F.count(F.lit(1)).cast("long").alias("Population"),
         F.count_if(returned_finished).cast("long").alias("Deaths"),
     )
