@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions.scalar import clamp, log10_positive
+from regionlens.session import ship_package
 
 
 def _stack(wide: DataFrame, names: Sequence[str], stats: Sequence[str], label: str = "column") -> DataFrame:
@@ -127,6 +128,7 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "auto") ->
                 acc += x.T @ x
             yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "value": acc[iu]})
 
+        ship_package(df.sparkSession)
         long = clean.mapInPandas(partial, schema).groupBy("i", "j").agg(F.sum("value").alias("value"))
     names = F.array(*[F.lit(c) for c in cols])
     return long.select(

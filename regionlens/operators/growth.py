@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.functions.scalar import logistic
+from regionlens.session import ship_package
 
 # The starting points of the reference's fits (cases, deaths).
 CASES_P0 = (70000.0, 500000.0, 6.0)
@@ -256,5 +257,6 @@ def logistic_fit(
     # explicit count keeps every core busy (AQE keeps user-given counts; a hash
     # repartition on the key would be dropped as redundant with the window's).
     # It clusters each key in one partition, so the grouping adds no exchange.
+    ship_package(series.sparkSession)
     parts = num_partitions or max(series.sparkSession.sparkContext.defaultParallelism, 1)
     return series.repartitionByRange(parts, key).groupBy(key).applyInPandas(fit_group, out_schema)

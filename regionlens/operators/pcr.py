@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from regionlens.operators.aggregates import collect_stats, column_moments, gram_matrix, gram_to_numpy
 from regionlens.operators.features import assemble
 from regionlens.operators.stepwise import Gram, regression_gram, solve_subset
+from regionlens.session import ship_package
 
 
 @dataclass
@@ -113,6 +114,7 @@ def scores(df: DataFrame, fit: PcaFit, keep: Sequence[str] = (), k: int | None =
                 out[f"{prefix}{j + 1}"] = s[:, j]
             yield out
 
+    ship_package(df.sparkSession)
     return src.mapInPandas(project, schema)
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regionlens.operators.aggregates import gram_matrix, gram_to_numpy
+from regionlens.session import ship_package
 
 ONE = "__one__"
 
@@ -203,6 +204,7 @@ def best_subset(spark: SparkSession, gram: Gram, k: int) -> DataFrame:
         if best is not None:
             yield pd.DataFrame([best], columns=["idx", "predictors", "rss", "rank"])
 
+    ship_package(spark)
     return spark.range(total).mapInPandas(score, schema).orderBy("rss", "idx").limit(1)
 
 

@@ -14,6 +14,36 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_FALLBACK = "/tmp/regionlens-checkpoints"
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``regionlens`` importable in the executors' Python workers.
+
+    Grouped-map and map-in-pandas functions are pickled by reference to this
+    package, so the workers must be able to import it. The package is zipped
+    once per application on the driver and handed to ``addPyFile`` (what
+    ``--py-files`` does); Spark distributes it to every executor.
+    """
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out_dir = tempfile.mkdtemp(prefix="regionlens-pyfiles-")
+    zpath = os.path.join(out_dir, "regionlens.zip")
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(app)
 
 
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "regionlens") -> SparkSession:
@@ -35,6 +65,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
