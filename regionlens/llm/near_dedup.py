@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.llm.common import prepared, row_slices, store, text_hash, text_list, utf8_rows
+from regionlens.llm.common import packed_texts, prepared, row_slices, store, text_hash, utf8_rows
 from regionlens.llm.shingles import mixed, shingle_sets
 
 LINK_PERCENT = 85
@@ -110,18 +110,8 @@ def sketches(docs: DataFrame, doc_id: str, text: str, bands: int, rows: int) ->
 
 
 def class_texts(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(c, body): a deflated text of each class in ``classes`` (c, first, first_th).
-
-    The pass over the documents deflates, so that the join moves less."""
-    source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)), text_hash(text), F.col(text).cast("string")).where(F.col(text).isNotNull())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                rows = batch.slice(at, 256)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([zlib.compress(x, 1) for x in text_list(rows.column(2))], pa.binary())], names=["doc_id", "th", "body"])
-
-    packed = source.mapInArrow(run, "doc_id long, th long, body binary")
+    """(c, body): a deflated text of each class in ``classes`` (c, first, first_th)."""
+    packed = packed_texts(docs.where(F.col(text).isNotNull()), doc_id, text, NO_DOC)
     # repeated rows of a class's first document would bring the same text twice
     return packed.join(classes, (packed["doc_id"] == classes["first"]) & (packed["th"] == classes["first_th"])).select("c", "body").dropDuplicates(["c"])
 

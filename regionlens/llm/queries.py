@@ -12,6 +12,8 @@ from regionlens.llm.line_dedup import dedup_lines
 from regionlens.llm.near_dedup import near_groups
 from regionlens.llm.quality_rules import quality_rules
 from regionlens.llm.sharding import balanced_shards
+from regionlens.llm.suffix_dedup import dedup_substrings
+from regionlens.llm.token_counts import token_counts
 from regionlens.llm.url_filter import url_verdicts
 from regionlens.llm.warc import archive_report
 from regionlens.sources.tables import load
@@ -27,6 +29,11 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_report(load(spark, sf_dir, "pages"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(load(spark, sf_dir, "documents")).drop("th")
 
@@ -41,6 +48,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("th")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dedup_lines(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("clean_text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
@@ -59,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op3_near_dedup, op4_url_filter, op5_quality_rules, op7_line_dedup, op8_sharding, op9_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_near_dedup, op4_url_filter, op5_quality_rules, op6_token_counts, op7_line_dedup, op8_sharding, op9_decontamination, op10_bpe)}
 
 #: Words of a text: maximal runs of anything but space and \\x09-\\x0D.
 _WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
