@@ -43,7 +43,7 @@ from regionlens.llm.shingles import mixed, powers
 LENGTH = 200
 GRAM = 32
 HOT_CONTEXTS = 1000
-BLOCK = 16
+BLOCK = 8
 BUFFER = 512 << 10
 #: Stands for a null doc_id.
 NO_DOC = -(1 << 63)
@@ -290,34 +290,49 @@ def recurring(rows: DataFrame) -> DataFrame:
 
 
 def counted_marks(contexts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
-    """As ``sorted_marks``, for anchors with very many contexts: by counting cores and windows."""
+    """As ``sorted_marks``, for anchors with very many contexts: by counting cores, blocks and windows.
 
-    def cores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A block whose bytes recur as a whole is marked at once; single windows are counted
+    over the distinct blocks, and looked up for those that stand alone."""
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for h, c, copies, body in zip(*(col.to_pylist() for col in batch.columns), strict=True):
                 place = anchor_place(body, length, gram)
                 # windows by their anchor's offset in them, which equal windows share
-                first, last = 0, len(body) - length
-                for b in range((place - last) // block, (place - first) // block + 1):
-                    lo, hi = max(first, place - b * block - block + 1), min(last, place - b * block)
+                last = len(body) - length
+                for b in range((place - last) // block, place // block + 1):
+                    lo, hi = max(0, place - b * block - block + 1), min(last, place - b * block)
                     core = body[place - b * block : place - b * block - block + 1 + length]
-                    found.append((*digest(b"%d " % b + core), copies, h, c, lo, body[lo : hi + length]))
+                    whole = body[lo : hi + length]
+                    found.append((*digest(b"%d " % b + core), *digest(b"%d %d " % (place - lo, place - hi) + whole), copies, h, c, lo, whole))
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.int32(), pa.binary()), strict=True)], names=["k1", "k2", "copies", "h", "c", "lo", "body"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 7, pa.int32(), pa.binary()), strict=True)], names=["k1", "k2", "b1", "b2", "copies", "h", "c", "lo", "body"]
+                )
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for copies, h, c, lo, body in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                found += [(*digest(body[k : k + length]), copies, h, c, lo + k) for k in range(len(body) - length + 1)]
+            for b1, b2, copies, body in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                found += [(*digest(body[k : k + length]), copies, b1, b2, k) for k in range(len(body) - length + 1)]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.int32()), strict=True)], names=["k1", "k2", "copies", "h", "c", "at"])
-
-    parts = store(contexts.select("h", "c", "copies", "body").mapInArrow(cores, "k1 long, k2 long, copies long, h long, c long, lo int, body binary"), "cores")
-    single = recurring(parts).select("copies", "h", "c", "lo", "body").mapInArrow(windows, "k1 long, k2 long, copies long, h long, c long, at int")
-    marked = recurring(store(single, "windows"))
-    return marked.groupBy("h", "c").agg(F.sort_array(F.collect_list("at")).alias("first")).select("h", "c", "first", F.col("first").alias("last"))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.int32()), strict=True)], names=["k1", "k2", "copies", "b1", "b2", "at"])
+
+    parts = contexts.select("h", "c", "copies", "body").mapInArrow(blocks, "k1 long, k2 long, b1 long, b2 long, copies long, h long, c long, lo int, body binary")
+    live = store(recurring(store(parts, "blocks")), "recurring-blocks")
+    distinct = store(live.groupBy("b1", "b2").agg(F.sum("copies").alias("copies"), F.first("body").alias("body")), "distinct-blocks")
+    single = store(distinct.select("b1", "b2", "copies", "body").mapInArrow(windows, "k1 long, k2 long, copies long, b1 long, b2 long, at int"), "windows")
+    often = single.groupBy("k1", "k2").agg(F.sum("copies").alias("places")).where("places > 1")
+    often = store(often.select(F.col("k1").alias("o1"), F.col("k2").alias("o2")), "recurring-windows")
+    alone = single.where("copies = 1").join(often, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
+    some = alone.groupBy("b1", "b2").agg(F.sort_array(F.collect_list("at")).alias("first")).select("b1", "b2", "first", F.col("first").alias("last"))
+    whole = distinct.where("copies > 1").select("b1", "b2", F.array(F.lit(0)).alias("first"), F.array(F.length("body") - length).alias("last"))
+    marks = store(some.unionByName(whole).withColumnsRenamed({"b1": "m1", "b2": "m2"}), "block-marks")
+    met = live.join(marks, (F.col("b1") == F.col("m1")) & (F.col("b2") == F.col("m2")))
+    shifted = [F.flatten(F.collect_list(F.transform(n, lambda x: x + F.col("lo")))).alias(n) for n in ("first", "last")]
+    return met.groupBy("h", "c").agg(*shifted)
 
 
 def dedup_substrings(
