@@ -132,8 +132,10 @@ def anchor_rows(docs: DataFrame, doc_id: str, text: str, length: int, gram: int)
     return source.mapInArrow(run, "doc_id long, th long, start long, windows int, h long, c long")
 
 
-def suffix_order(text: bytes, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of their first ``depth`` bytes, by two-stage sorting."""
+def suffix_order(text: bytes, depth: int, wanted: np.ndarray) -> np.ndarray:
+    """The ``wanted`` suffixes of ``text`` in the order of their first ``depth`` bytes, by
+    two-stage sorting. With them come those that follow them up to the next one that is
+    sorted directly, as a suffix gets its place from its successor's."""
     t = np.frombuffer(text, dtype=np.uint8)
     n = len(t)
     # a suffix is smaller than its successor if the next different byte is larger
@@ -143,23 +145,32 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
     following = np.searchsorted(differ, np.arange(n))
     inside = following < len(differ)
     rise[inside] = up[following[inside]]
-    direct = sorted(np.flatnonzero(rise).tolist(), key=lambda i: text[i : i + depth])
+    last = wanted.copy()
+    last[:-1] &= ~wanted[1:]
+    last = np.flatnonzero(last)
+    sorted_first = np.concatenate([np.flatnonzero(rise), [n - 1]])
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, last, 1)
+    np.add.at(edge, sorted_first[np.searchsorted(sorted_first, last)] + 1, -1)
+    wanted = wanted | (np.cumsum(edge[:n]) > 0)
+    direct = sorted(np.flatnonzero(rise & wanted).tolist(), key=lambda i: text[i : i + depth])
     direct = np.array(direct, dtype=np.int64)
     bounds = np.searchsorted(t[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[t[-1]].append(np.array([n - 1], dtype=np.int64))
-    out = []
+    if wanted[-1]:
+        induced[t[-1]].append(np.array([n - 1], dtype=np.int64))
+    out = [np.zeros(0, np.int64)]
     for c in np.flatnonzero(np.bincount(t, minlength=256)).tolist():
         wave = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
         waves = [wave]
         while len(wave):  # runs of one byte: each suffix gives its predecessor a place behind
             before = wave[wave > 0] - 1
-            wave = before[(t[before] == c) & ~rise[before]]
+            wave = before[(t[before] == c) & ~rise[before] & wanted[before]]
             waves.append(wave)
         order = np.concatenate([*waves, direct[bounds[c] : bounds[c + 1]]])
         out.append(order)
         before = order[order > 0] - 1
-        before = before[t[before] > c]
+        before = before[(t[before] > c) & wanted[before]]
         heads = t[before]
         sort = np.argsort(heads, kind="stable")
         cuts = np.flatnonzero(np.diff(heads[sort])) + 1
@@ -172,14 +183,14 @@ def suffix_order(text: bytes, depth: int) -> np.ndarray:
 def adjacent_prefixes(text: bytes, order: np.ndarray, most: int) -> np.ndarray:
     """Common prefix of each suffix with the one before it in ``order``, up to ``most``
     (exact below it, in steps of eight bytes compared as words)."""
-    n = len(text)
+    n, m = len(text), len(order)
     t = np.zeros(n + most + 8, dtype=np.uint64)
     t[:n] = np.frombuffer(text, dtype=np.uint8)
     word = np.zeros(n + most, dtype=np.uint64)
     for k in range(8):
         word |= t[k : k + n + most] << np.uint64(8 * k)
-    prefix = np.zeros(n, dtype=np.int64)
-    alive = np.arange(1, n)
+    prefix = np.zeros(m, dtype=np.int64)
+    alive = np.arange(1, m)
     for step in range(0, most, 8):
         x = word[order[alive] + step] ^ word[order[alive - 1] + step]
         same = x == 0
@@ -197,14 +208,13 @@ def repeated_windows(contexts: list[bytes], counts: list[int], length: int) -> l
     """For each context which of its windows occur twice or more, each context standing
     for ``counts`` equal ones."""
     text = b"".join(contexts)
-    order = suffix_order(text, length)
-    prefix = adjacent_prefixes(text, order, length)
     sizes = np.array([len(c) for c in contexts])
     ends = np.cumsum(sizes)
     owner = np.repeat(np.arange(len(contexts)), sizes)
     whole = np.arange(len(text)) + length <= ends[owner]  # the window doesn't leave its context
+    order = suffix_order(text, length, whole)
+    group = np.cumsum(adjacent_prefixes(text, order, length) < length)
     weight = np.where(whole, np.array(counts)[owner], 0)
-    group = np.cumsum(prefix < length)
     held = np.bincount(group, weights=weight[order])
     found = np.zeros(len(text), dtype=bool)
     found[order] = held[group] >= 2
