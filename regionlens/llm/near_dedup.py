@@ -5,16 +5,16 @@ bits of a second hash; the smallest hash of a bin is its value, and empty bins c
 value of a bin drawn by a universal hash (optimal densification). The values of a band
 make one bucket key.
 
-Equal sets form a class first (128-bit digest), so copies never meet each other. In
-each bucket every class is tied to the bucket's smallest class only (a star), and the
-ties are verified on the full sets, which are made again from the texts. Linked classes
-are joined to components. A star can miss a link between two of its rays; so a second
-search takes the buckets that still hold several components and verifies the pairs
-across components, except those that the distances to the bucket's centre rule out
-(Jaccard distance is a metric: pairs must differ by no more than the link distance)
-and those already verified. Nothing is capped. The search is probabilistic only in the
-bucket keys: a pair at the limit of 0.85 shares no bucket with probability
-(1 - 0.85^5)^30, about 2e-8.
+Equal sets form a class first (128-bit digest), so copies never meet each other. Equal sets form a class first (128-bit digest), so copies never meet each other. In
+each bucket every class is tied only to the bucket's centre, the class that meets most
+others (a star), and the ties are verified on the full sets, which are made again from
+the texts. Linked classes are joined to components. A star can miss a link between two
+of its rays; so the rays of a centre that are still in several components are searched
+once more, by how they differ from the centre: a linked pair must share a certain number
+of differences (``delta_prefixes``), so only rays that share one of few, rare differences
+are verified as pairs. Nothing is capped. The search is probabilistic only in the bucket
+keys: a pair at the limit of 0.85 shares no bucket with probability (1 - 0.85^5)^30,
+about 2e-8.
 
 Texts travel compressed, once per use; buckets are skinny rows; all steps with a key
 that may be hot are pre-aggregated or meet a written table.
@@ -116,33 +116,73 @@ def class_texts(docs: DataFrame, classes: DataFrame, doc_id: str, text: str) ->
     return packed.join(classes, (packed["doc_id"] == classes["first"]) & (packed["th"] == classes["first_th"])).select("c", "body").dropDuplicates(["c"])
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, shared, joined): intersection and union size of each pair (a, b) of classes."""
+def met_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, a_body, b_body) of pairs (a, b) of classes."""
     left = texts.select(F.col("c").alias("a"), F.col("body").alias("a_body"))
     right = texts.select(F.col("c").alias("b"), F.col("body").alias("b_body"))
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_body", "b_body")
-    out = pa.schema([(n, pa.int64()) for n in ("a", "b", "shared", "joined")])
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "a_body", "b_body")
+
+
+def paired_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Slices of ``met_texts`` with the full shingle sets of both sides of each row."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            rows = batch.slice(at, 64)
+            ids = rows.column(0).to_pylist() + rows.column(1).to_pylist()
+            bodies = rows.column(2).to_pylist() + rows.column(3).to_pylist()
+            once = {c: k for k, c in enumerate(dict.fromkeys(ids))}
+            whole = dict(zip(ids, bodies, strict=True))
+            parts = [zlib.decompress(whole[c]) for c in once]
+            offsets = np.cumsum([0, *map(len, parts)])
+            sets = list(shingle_sets(np.frombuffer(b"".join(parts), dtype=np.uint8), offsets))
+            yield rows, [(sets[once[a]], sets[once[b]]) for a, b in zip(ids[: len(rows)], ids[len(rows) :], strict=True)]
+
+
+def members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the elements of ``y`` are in ``x`` (both sorted, x not empty)."""
+    return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, joined): intersection and union size of each pair (a, b) of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                rows = batch.slice(at, 64)
-                ids = rows.column(0).to_pylist() + rows.column(1).to_pylist()
-                bodies = rows.column(2).to_pylist() + rows.column(3).to_pylist()
-                once = {c: k for k, c in enumerate(dict.fromkeys(ids))}
-                whole = {c: body for c, body in zip(ids, bodies, strict=True)}
-                parts = [zlib.decompress(whole[c]) for c in once]
-                offsets = np.cumsum([0, *map(len, parts)])
-                sets = list(shingle_sets(np.frombuffer(b"".join(parts), dtype=np.uint8), offsets))
-                shared, joined = [], []
-                for a, b in zip(ids[: len(rows)], ids[len(rows) :], strict=True):
-                    x, y = sets[once[a]], sets[once[b]]
-                    held = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-                    shared.append(held)
-                    joined.append(len(x) + len(y) - held)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shared, pa.int64()), pa.array(joined, pa.int64())], schema=out)
-
-    return met.mapInArrow(run, "a long, b long, shared long, joined long")
+        for rows, sets in paired_sets(batches):
+            shared = [int(members(x, y).sum()) for x, y in sets]
+            joined = [len(x) + len(y) - n for (x, y), n in zip(sets, shared, strict=True)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shared, pa.int64()), pa.array(joined, pa.int64())], names=["a", "b", "shared", "joined"])
+
+    return met_texts(pairs, texts).mapInArrow(run, "a long, b long, shared long, joined long")
+
+
+def delta_prefixes(ties: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(c, away, short, delta): prefixes of how a ray b differs from its centre a.
+
+    Let a ray have l shingles of its centre less and m more, and D = 100 l + percent m.
+    Two rays x and y of a centre of n shingles are linked only if they share
+    at least (Dx + Dy - T) / (100 + percent) of their differences, T = (100 - percent) n; a ray
+    is linked to the centre if D <= T. Of rays x and y with y not linked to the centre,
+    the share needed is thus over Dx / (100 + percent), and at least (Dy - T) / (100 + percent):
+    in one fixed order of differences (additions first, as they are rarer) two such
+    prefixes of what remains must meet. ``delta`` is the longer one (the one of y if the
+    ray is ``away`` from the centre), its first ``short`` entries the one of x."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit = 100 + percent
+        for rows, sets in paired_sets(batches):
+            away, short, delta = [], [], []
+            for k, (x, y) in enumerate(sets):
+                lost, more = x[~members(y, x)], y[~members(x, y)]
+                cost, free = 100 * len(lost) + percent * len(more), (100 - percent) * len(x)
+                size = len(lost) + len(more)
+                tag = mixed(np.array([rows.column(0)[k].as_py()], dtype=np.int64).view(np.uint64))
+                own = np.concatenate([mixed(more ^ tag), mixed(lost + tag + np.uint64(1))])
+                away.append(cost > free)
+                short.append(size - cost // unit)
+                delta.append(own[: size + 1 + (free - cost) // unit if cost > free else short[-1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(away, pa.bool_()), pa.array(short, pa.int32()), pa.array(delta, pa.list_(pa.int64()))], names=["c", "away", "short", "delta"])
+
+    return met_texts(ties, texts).mapInArrow(run, "c long, away boolean, short int, delta array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -178,13 +218,18 @@ def components(links: DataFrame) -> DataFrame:
 def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = LINK_PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, th, n_shingles, component_id, kept) of every row of ``docs``; th is its ``text_hash``."""
     sk = store(sketches(docs, doc_id, text, bands, rows), "sketches")
-    classes = sk.where("g is not null").groupBy("g").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.max("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    classes = store(classes.select(F.monotonically_increasing_id().alias("c"), "g", F.col("f.doc_id").alias("first"), F.col("f.th").alias("first_th"), "n", "keys"), "classes")
-    buckets = classes.select(F.explode("keys").alias("key"), "c", "n")
-    centres = buckets.groupBy("key").agg(F.min("c").alias("centre"), F.max("c").alias("last")).where("centre != last")
-    centres = store(centres.select(F.col("key").alias("c_key"), "centre"), "centres")
-    met = buckets.join(centres, F.col("key") == F.col("c_key"))
-    shared = store(met.select("key", "c", "n", "centre"), "shared-buckets")
+    classes = sk.where("g is not null").groupBy("g").agg(F.min(F.struct("doc_id", "th")).alias("f"), F.first("keys").alias("keys"))
+    classes = store(classes.select(F.monotonically_increasing_id().alias("c"), "g", F.col("f.doc_id").alias("first"), F.col("f.th").alias("first_th"), "keys"), "classes")
+    buckets = classes.select(F.explode("keys").alias("key"), "c")
+    # the centre of a bucket is the class that meets most others over all its buckets
+    held = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    held = store(held.withColumnRenamed("key", "h_key"), "held")
+    met = store(buckets.join(held, F.col("key") == F.col("h_key")).select("key", "c", "held"), "met")
+    degree = store(met.groupBy(F.col("c").alias("d_c")).agg(F.sum(F.col("held") - 1).alias("degree")), "degrees")
+    met = store(met.join(degree, F.col("c") == F.col("d_c")).select("key", "c", "degree"), "met-degrees")
+    centres = met.groupBy("key").agg(F.max(F.struct("degree", (-F.col("c")).alias("minus"))).alias("m"))
+    centres = store(centres.select(F.col("key").alias("c_key"), (-F.col("m.minus")).alias("centre")), "centres")
+    shared = store(met.join(centres, F.col("key") == F.col("c_key")).select("key", "c", "centre"), "shared-buckets")
     pairs = store(shared.where("c != centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct(), "ties")
     tied = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     texts = store(class_texts(docs, classes.select("c", "first", "first_th").join(tied, "c"), doc_id, text), "class-texts")
@@ -192,19 +237,24 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     linked = 100 * F.col("shared") >= percent * F.col("joined")
     roots = components(near.where(linked).select("a", "b"))
 
-    # pairs across components in one bucket that the distances to its centre allow
-    comp = F.coalesce("root", "c").alias("comp")
-    away = near.select(F.col("a").alias("centre"), F.col("b").alias("c"), (1 - F.col("shared") / F.col("joined")).alias("away"))
-    placed = shared.where("c != centre").join(roots, shared["c"] == roots["node"], "left").select("key", "c", "n", "centre", comp)
-    mixed_keys = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
-    mixed_keys = store(mixed_keys.select(F.col("key").alias("m_key")), "mixed-buckets")
-    rays = placed.join(mixed_keys, F.col("key") == F.col("m_key")).join(away, ["centre", "c"])
-    rays = store(rays.select("key", "c", "n", "away", "comp"), "rays")
-    other = rays.select(F.col("key").alias("o_key"), F.col("c").alias("o"), F.col("n").alias("m"), F.col("away").alias("o_away"), F.col("comp").alias("o_comp"))
-    limit = 1 - percent / 100 + 1e-9
-    sizes_fit = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    across = rays.join(other, (F.col("key") == F.col("o_key")) & (F.col("comp") < F.col("o_comp")) & (F.abs(F.col("away") - F.col("o_away")) <= limit) & sizes_fit)
-    across = across.select(F.least("c", "o").alias("a"), F.greatest("c", "o").alias("b")).distinct()
+    # links between rays of a centre that are in several components still
+    placed = shared.where("c != centre").select("centre", "c").distinct().join(roots, F.col("c") == F.col("node"), "left").select("centre", "c", F.coalesce("root", "c").alias("comp"))
+    placed = store(placed, "placed")
+    several = placed.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+    several = store(several.select(F.col("centre").alias("s_centre")), "several")
+    ties = placed.join(several, F.col("centre") == F.col("s_centre")).select(F.col("centre").alias("a"), F.col("c").alias("b"))
+    deltas = store(delta_prefixes(ties, texts, percent), "deltas")
+    deltas = deltas.select("c", "away", "short", F.posexplode("delta").alias("at", "key"))
+    often = deltas.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("away").alias("any_away")).where("lo != hi and any_away")
+    often = store(often.select(F.col("key").alias("o_key")), "shared-deltas")
+    live = deltas.join(often, F.col("key") == F.col("o_key")).select("key", "c", "away", (F.col("at") < F.col("short")).alias("first"))
+    live = live.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "away", "first", F.coalesce("root", "c").alias("comp"))
+    live = store(live, "live-deltas")
+    seen = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("away").alias("any_away")).where("lo != hi and any_away")
+    live = store(live.join(store(seen.select(F.col("key").alias("o_key")), "mixed-deltas"), F.col("key") == F.col("o_key")).drop("o_key"), "mixed-live")
+    x = live.where("first").select(F.col("key").alias("x_key"), F.col("c").alias("x"), F.col("comp").alias("x_comp"))
+    across = live.where("away").join(x, (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")))
+    across = across.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
     known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = store(verified(store(across.join(known, ["a", "b"], "left_anti"), "across"), texts), "verified-across")
     links = reduce(DataFrame.unionByName, [near.where(linked).select("a", "b"), more.where(linked).select("a", "b")])
