@@ -156,33 +156,38 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def delta_prefixes(ties: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """(c, away, short, delta): prefixes of how a ray b differs from its centre a.
+    """(c, away, short, size, cost, free, delta): prefixes of how a ray b differs from its centre a.
 
     Let a ray have l shingles of its centre less and m more, and D = 100 l + percent m.
     Two rays x and y of a centre of n shingles are linked only if they share
     at least (Dx + Dy - T) / (100 + percent) of their differences, T = (100 - percent) n; a ray
     is linked to the centre if D <= T. Of rays x and y with y not linked to the centre,
-    the share needed is thus over Dx / (100 + percent), and at least (Dy - T) / (100 + percent):
-    in one fixed order of differences (additions first, as they are rarer) two such
-    prefixes of what remains must meet. ``delta`` is the longer one (the one of y if the
-    ray is ``away`` from the centre), its first ``short`` entries the one of x."""
+    the share needed is thus over Dx / (100 + percent); and as D is at least percent times the
+    number of differences, it is also at least (Dx - T) / 100 and (Dy - T) / 100. In one
+    fixed order of differences (additions first, as they are rarer) two such prefixes of
+    what remains must meet. ``delta`` is the longer one (the one of y if the ray is
+    ``away`` from the centre), its first ``short`` entries the one of x. ``size``, ``cost``
+    and ``free`` are the number of differences, D and T."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = 100 + percent
         for rows, sets in paired_sets(batches):
-            away, short, delta = [], [], []
+            out: list[tuple] = []
             for k, (x, y) in enumerate(sets):
                 lost, more = x[~members(y, x)], y[~members(x, y)]
                 cost, free = 100 * len(lost) + percent * len(more), (100 - percent) * len(x)
                 size = len(lost) + len(more)
                 tag = mixed(np.array([rows.column(0)[k].as_py()], dtype=np.int64).view(np.uint64))
                 own = np.concatenate([mixed(more ^ tag), mixed(lost + tag + np.uint64(1))])
-                away.append(cost > free)
-                short.append(size - cost // unit)
-                delta.append(own[: size + 1 + (free - cost) // unit if cost > free else short[-1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([rows.column(1), pa.array(away, pa.bool_()), pa.array(short, pa.int32()), pa.array(delta, pa.list_(pa.int64()))], names=["c", "away", "short", "delta"])
+                far = -((free - cost) // 100)  # (D - T) / 100, rounded up
+                short = size + 1 - max(cost // unit + 1, far)
+                out.append((cost > free, short, size, cost, free, own[: size + 1 - far if cost > free else short].view(np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [rows.column(1), *(pa.array([o[i] for o in out], t) for i, t in enumerate((pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()))))],
+                names=["c", "away", "short", "size", "cost", "free", "delta"],
+            )
 
-    return met_texts(ties, texts).mapInArrow(run, "c long, away boolean, short int, delta array<long>")
+    return met_texts(ties, texts).mapInArrow(run, "c long, away boolean, short int, size int, cost int, free int, delta array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -244,16 +249,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     several = store(several.select(F.col("centre").alias("s_centre")), "several")
     ties = placed.join(several, F.col("centre") == F.col("s_centre")).select(F.col("centre").alias("a"), F.col("c").alias("b"))
     deltas = store(delta_prefixes(ties, texts, percent), "deltas")
-    deltas = deltas.select("c", "away", "short", F.posexplode("delta").alias("at", "key"))
+    deltas = deltas.select("c", "away", "short", "size", "cost", "free", F.posexplode("delta").alias("at", "key"))
     often = deltas.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("away").alias("any_away")).where("lo != hi and any_away")
     often = store(often.select(F.col("key").alias("o_key")), "shared-deltas")
-    live = deltas.join(often, F.col("key") == F.col("o_key")).select("key", "c", "away", (F.col("at") < F.col("short")).alias("first"))
-    live = live.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "away", "first", F.coalesce("root", "c").alias("comp"))
+    live = deltas.join(often, F.col("key") == F.col("o_key")).withColumn("first", F.col("at") < F.col("short")).withColumn("left", F.col("size") - F.col("at"))
+    live = live.join(roots, F.col("c") == F.col("node"), "left").select("key", "c", "away", "first", "left", "cost", "free", F.coalesce("root", "c").alias("comp"))
     live = store(live, "live-deltas")
     seen = live.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("away").alias("any_away")).where("lo != hi and any_away")
     live = store(live.join(store(seen.select(F.col("key").alias("o_key")), "mixed-deltas"), F.col("key") == F.col("o_key")).drop("o_key"), "mixed-live")
-    x = live.where("first").select(F.col("key").alias("x_key"), F.col("c").alias("x"), F.col("comp").alias("x_comp"))
-    across = live.where("away").join(x, (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")))
+    x = live.where("first").select(F.col("key").alias("x_key"), F.col("c").alias("x"), F.col("comp").alias("x_comp"), F.col("left").alias("x_left"), F.col("cost").alias("x_cost"))
+    # at the first difference that two rays share, enough of both must be left
+    enough = (100 + percent) * F.least("left", "x_left") >= F.col("cost") + F.col("x_cost") - F.col("free")
+    across = live.where("away").join(x, (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("x_comp")) & enough)
     across = across.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
     known = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = store(verified(store(across.join(known, ["a", "b"], "left_anti"), "across"), texts), "verified-across")
