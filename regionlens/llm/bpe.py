@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 from regionlens.llm.common import prepared, text_list
 
 LONG_WORD = 256
-MEMO_ENTRIES = 350_000
+#: Entries of each memo of a worker (about 300 bytes each).
+MEMO_ENTRIES = 120_000
 MEMO_BYTES = 64
 NO_RANK = 1 << 60
 

@@ -33,7 +33,7 @@ from regionlens.llm.common import prepared
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 48
 NEVER = float("-inf")
 PARTS = re.compile(r" *[^ \n]+| +|\n")
