@@ -32,7 +32,7 @@ from regionlens.llm.common import prepared, text_list
 
 LONG_WORD = 256
 #: Entries of each memo of a worker (about 300 bytes each).
-MEMO_ENTRIES = 120_000
+MEMO_ENTRIES = 220_000
 MEMO_BYTES = 64
 NO_RANK = 1 << 60
 

@@ -23,6 +23,9 @@ from regionlens.session import shared_path, ship_package
 #: White space of the word contracts: space and \x09-\x0D.
 SPACES = " \t\n\x0b\x0c\r"
 
+#: Rows of an Arrow batch; texts may be long, and both sides of the transfer hold a batch.
+ARROW_ROWS = 1000
+
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh folder of the shared scratch space and read it back."""
@@ -33,8 +36,12 @@ def store(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Make this package importable in the executors' Python workers."""
+    """Make this package importable in the executors' Python workers, and keep Arrow
+    batches of whole texts small (``ARROW_ROWS``, unless the session sets fewer)."""
     ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, ARROW_ROWS)
     return spark
 
 
