@@ -110,7 +110,7 @@ def parse_header_date(c: str | Column) -> Column:
     return F.try_to_date(_col(c), HEADER_DATE_FORMAT)
 
 
-def hash_unit(key: str | Column, seed: int) -> Column:
+def hash_unit(key: str | Column, seed: int | str) -> Column:
     """Deterministic number in [0, 2^32) from md5('<seed>:<key>').
 
     Unlike ``randomSplit`` it does not depend on partitioning, and DuckDB

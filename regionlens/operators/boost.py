@@ -60,7 +60,7 @@ def text_shape_features(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumns(
         {
             "f_chars": n,
-            "f_words": F.size(F.split(F.trim(t), r"\s+")).cast("double"),
+            "f_words": F.when(F.trim(t) == "", 0).otherwise(F.size(F.split(F.trim(t), r"\s+"))).cast("double"),
             "f_lines": F.size(F.split(t, "\n")).cast("double"),
             "f_digit_share": share(DIGIT_CHARS),
             "f_punct_share": share(PUNCT_CHARS),
@@ -73,7 +73,7 @@ TEXT_FEATURES = ("f_chars", "f_words", "f_lines", "f_digit_share", "f_punct_shar
 
 
 def with_validation(df: DataFrame, key: str, fraction: float, seed: int, name: str = "is_validation") -> DataFrame:
-    return df.withColumn(name, hash_unit(key, seed + 1) < F.lit(int(fraction * HASH_RANGE)))
+    return df.withColumn(name, hash_unit(key, f"val:{seed}") < F.lit(int(fraction * HASH_RANGE)))
 
 
 def gbt(

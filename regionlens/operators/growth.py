@@ -80,7 +80,11 @@ def _curve(t, a, n, tau):
         return a / (1.0 + n * np.exp(-t / tau))
 
 
-def levenberg_marquardt(t: np.ndarray, y: np.ndarray, p0, max_iter: int = 500, tol: float = 1e-15):
+#: Iterations of a fit; one that needs as many has status ``max_iter``.
+MAX_ITER = 500
+
+
+def levenberg_marquardt(t: np.ndarray, y: np.ndarray, p0, max_iter: int = MAX_ITER, tol: float = 1e-15):
     """Least squares in log-parameters (keeps a, n, tau > 0). Returns (params, rss, iters)."""
     p = np.log(np.asarray(p0, dtype=float))
     lam = 1e-3
@@ -145,7 +149,7 @@ def fit_one(t: np.ndarray, y: np.ndarray, starts) -> tuple[np.ndarray | None, fl
     p, c, it = best
     if p is None or not np.all(np.isfinite(p)):
         return None, np.nan, it, "no_fit"
-    return np.array([p[0] * scale, p[1], p[2]]), c * scale * scale, it, "ok"
+    return np.array([p[0] * scale, p[1], p[2]]), c * scale * scale, it, "ok" if it < MAX_ITER else "max_iter"
 
 
 FIT_SCHEMA = T.StructType(

@@ -5,8 +5,7 @@ to the rates. We keep that shape. No side is forced to broadcast: attribute
 tables grow with the number of regions, so the decision is left to AQE, which
 broadcasts a side only when its measured size is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and otherwise keeps a
-sort-merge join. ``broadcast_max_rows`` adds an explicit, counted guard for
-callers who want the hint.
+sort-merge join.
 """
 
 from __future__ import annotations
@@ -14,22 +13,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only after checking the row count (one cheap pass)."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
-def attribute_join(tables: Sequence[DataFrame], key: str, broadcast_max_rows: int | None = None) -> DataFrame:
+def attribute_join(tables: Sequence[DataFrame], key: str) -> DataFrame:
     """Nested inner join of attribute tables: t0 ⋈ (t1 ⋈ (t2 ⋈ ...))."""
     acc = tables[-1]
     for t in reversed(tables[:-1]):
         acc = t.join(acc, key, "inner")
-    if broadcast_max_rows is not None:
-        acc = broadcast_if_small(acc, broadcast_max_rows)
     return acc
 
 
@@ -38,8 +28,7 @@ def panel(
     attributes: Sequence[DataFrame],
     key: str = "FIPS",
     drop: Sequence[str] = (),
-    broadcast_max_rows: int | None = None,
 ) -> DataFrame:
     """Rates ⋈ (attribute join), then drop the listed columns."""
-    joined = rates.join(attribute_join(attributes, key, broadcast_max_rows), key, "inner")
+    joined = rates.join(attribute_join(attributes, key), key, "inner")
     return joined.drop(*drop) if drop else joined

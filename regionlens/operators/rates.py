@@ -52,6 +52,11 @@ def join_composite(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("FI
     return left.join(right, list(keys), "inner")
 
 
+def _has_key(df: DataFrame, key: str) -> Column:
+    present = F.col(key).isNotNull()
+    return present & ~F.isnan(key) if df.schema[key].dataType.typeName() in ("float", "double") else present
+
+
 def entity_rates(
     cases: DataFrame,
     deaths: DataFrame,
@@ -66,8 +71,7 @@ def entity_rates(
     """
     key_col, name_col = keys
     if drop_missing_key:
-        cases = cases.filter(F.col(key_col).isNotNull())
-        deaths = deaths.filter(F.col(key_col).isNotNull())
+        cases, deaths = (d.filter(_has_key(d, key_col)) for d in (cases, deaths))
     joined = join_composite(fill_numeric(cases), fill_numeric(deaths), keys)
     out = add_rates(joined, method).withColumnRenamed(name_col, "County")
     out = fill_numeric(out).withColumn(key_col, pad_key(key_col))

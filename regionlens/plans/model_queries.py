@@ -456,7 +456,7 @@ def q_pca_loadings(spark, base):
 @register("pca_scores")
 def q_pca_scores(spark, base):
     e, _, fit = _pca_train(spark, base)
-    return pcr.scores(e, fit, keep=("vec_id", "split"), k=8)
+    return pcr.scores(e, fit, keep=("vec_id", "split"))
 
 
 def _pcr_response(df: DataFrame) -> DataFrame:

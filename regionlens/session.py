@@ -76,6 +76,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    if not conf_dir and sc.master != "local" and not sc.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = conf_dir or _LOCAL_FALLBACK
     sc.setCheckpointDir(target)
     return sc.getCheckpointDir() or target
@@ -87,17 +89,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/regionlens/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stable_path(spark: SparkSession, name: str, *parts: str) -> str:
-    """A deterministic path under the shared checkpoint folder for a derived
-    copy of ``parts`` (e.g. an input directory): rewriting it in overwrite mode
-    keeps one copy per input instead of one per call."""
-    import hashlib
-
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    digest = hashlib.sha1("|".join(parts).encode()).hexdigest()[:12]
-    return f"{base}/regionlens/{name}-{digest}"
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (survives executor loss); never a local checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)

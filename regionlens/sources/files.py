@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +41,8 @@ def read_wide_csv(
     if names[: len(meta_names)] != meta_names:
         raise ValueError(f"expected leading columns {meta_names}, found {names[: len(meta_names)]}")
     date_names = names[len(meta_names) :]
+    for name in date_names:
+        datetime.strptime(name, "%m/%d/%y")  # raises on anything else
     schema = T.StructType(list(meta.fields) + [T.StructField(n, value_type, True) for n in date_names])
     return spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path)
 
@@ -52,7 +56,7 @@ def read_attribute_csv(spark: SparkSession, path: str, encoding: str = ATTRIBUTE
     """Attribute file with every column as text (values hold commas and ``$``)."""
     names = csv_header(spark, path, encoding)
     schema = T.StructType([T.StructField(n, T.StringType(), True) for n in names])
-    return spark.read.option("header", True).option("encoding", encoding).schema(schema).csv(path)
+    return spark.read.option("header", True).option("mode", "FAILFAST").option("encoding", encoding).schema(schema).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> str:

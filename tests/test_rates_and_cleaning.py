@@ -202,3 +202,30 @@ def test_map_layer_clamps(spark):
     assert out["b"].color == pytest.approx(3.0)
     assert out["a"].color == pytest.approx(1.0)
     assert out["c"].value is None
+
+
+def test_nan_key_is_missing(spark):
+    from regionlens.operators.rates import entity_rates
+
+    cases = spark.createDataFrame([(1.0, "a", 5.0), (float("nan"), "b", 3.0)], "FIPS double, Combined_Key string, Cases double")
+    deaths = spark.createDataFrame([(1.0, "a", 1.0, 10.0), (float("nan"), "b", 1.0, 10.0)], "FIPS double, Combined_Key string, Deaths double, Population double")
+    assert [r["FIPS"] for r in entity_rates(cases, deaths, drop_missing_key=True).collect()] == ["00001"]
+
+
+def test_header_that_is_no_date_raises(spark, tmp_path):
+    import pytest
+    from pyspark.sql import types as T
+
+    from regionlens.sources.files import read_wide_csv
+
+    (tmp_path / "w.csv").write_text("FIPS,NotADate,1/22/20\n1,2,3\n")
+    with pytest.raises(ValueError):
+        read_wide_csv(spark, str(tmp_path / "w.csv"), T.StructType([T.StructField("FIPS", T.LongType())]))
+
+
+def test_validation_rows_are_independent_of_the_split(spark):
+    from regionlens.operators.boost import with_validation
+    from regionlens.operators.features import hash_split
+
+    df = hash_split(spark.range(2000), "id", 0.2, 7).where("split = 'train'")
+    assert with_validation(df, "id", 0.2, 6).where("is_validation").count() > 200
