@@ -1,4 +1,4 @@
-"""Registered queries: one per operator of the inventory, each over whole tables.
+"""Registered queries: one per operator of the inventory.
 
 Every query is ``(spark, base_dir) -> DataFrame``. ``ORACLE_SQL`` holds the
 DuckDB equivalent for the SQL-checkable ones (views named after the tables).
