@@ -5,14 +5,15 @@ bits of a second hash; the smallest hash of a bin is its value, and empty bins c
 value of a bin drawn by a universal hash (optimal densification). The values of a band
 make one bucket key.
 
-Equal sets form a class first (128-bit digest), so copies never meet each other. Equal sets form a class first (128-bit digest), so copies never meet each other. In
+Equal sets form a class first (128-bit digest), so copies never meet each other. In
 each bucket every class is tied only to the bucket's centre, the class that meets most
 others (a star), and the ties are verified on the full sets, which are made again from
 the texts. Linked classes are joined to components. A star can miss a link between two
 of its rays; so the rays of a centre that are still in several components are searched
 once more, by how they differ from the centre: a linked pair must share a certain number
 of differences (``delta_prefixes``), so only rays that share one of few, rare differences
-are verified as pairs. Nothing is capped. The search is probabilistic only in the bucket
+are verified as pairs. How rare a difference is, a count sketch of fixed size says; it
+only sets the order in which differences are looked at. Nothing is capped. The search is probabilistic only in the bucket
 keys: a pair at the limit of 0.85 shares no bucket with probability (1 - 0.85^5)^30,
 about 2e-8.
 
@@ -41,6 +42,8 @@ from regionlens.llm.shingles import mixed, shingle_sets
 
 LINK_PERCENT = 85
 BANDS, ROWS = 30, 5
+#: The sketch that orders differences has 2^SKETCH_BITS counts (2 MB).
+SKETCH_BITS = 18
 #: Stands for a null doc_id: larger than any.
 NO_DOC = (1 << 63) - 1
 
@@ -143,6 +146,18 @@ def members(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
 
 
+def differences(centre: int, x: np.ndarray, y: np.ndarray) -> tuple[int, np.ndarray]:
+    """(number of shingles that the ray y has not of its centre x, keys of all its differences)."""
+    lost, more = x[~members(y, x)], y[~members(x, y)]
+    tag = mixed(np.array([centre], dtype=np.int64).view(np.uint64))
+    return len(lost), np.concatenate([mixed(more ^ tag), mixed(lost + tag + np.uint64(1))])
+
+
+def cells(keys: np.ndarray) -> np.ndarray:
+    """The cell of the count sketch that each difference falls into."""
+    return (keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, shared, joined): intersection and union size of each pair (a, b) of classes."""
 
@@ -155,7 +170,39 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return met_texts(pairs, texts).mapInArrow(run, "a long, b long, shared long, joined long")
 
 
-def delta_prefixes(ties: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def verified_ties(ties: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, shared, joined, cell, n): ``verified`` of every tie, and in rows of their own
+    (a is null) how many differences of a task's ties fell into each cell of the sketch."""
+    out = pa.schema([(c, pa.int64()) for c in ("a", "b", "shared", "joined", "cell", "n")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+        for rows, sets in paired_sets(batches):
+            shared, joined, seen = [], [], []
+            for centre, (x, y) in zip(rows.column(0).to_pylist(), sets, strict=True):
+                n_lost, keys = differences(centre, x, y)
+                shared.append(len(x) - n_lost)
+                joined.append(len(x) + len(keys) - n_lost)
+                seen.append(cells(keys))
+            counts += np.bincount(np.concatenate(seen), minlength=len(counts))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(shared, pa.int64()), pa.array(joined, pa.int64()), none, none], schema=out)
+        held = np.flatnonzero(counts)
+        none = pa.nulls(len(held), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], schema=out)
+
+    return met_texts(ties, texts).mapInArrow(run, "a long, b long, shared long, joined long, cell long, n long")
+
+
+def sketch_counts(found: DataFrame) -> np.ndarray:
+    """The count of every cell, of ``verified_ties``: 2^SKETCH_BITS numbers whatever the input."""
+    counts = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
+    total = found.where("a is null").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    counts[total["cell"].to_numpy()] = total["n"].to_numpy()
+    return counts
+
+
+def delta_prefixes(ties: DataFrame, texts: DataFrame, percent: int, counts: np.ndarray) -> DataFrame:
     """(c, away, short, size, cost, free, delta): prefixes of how a ray b differs from its centre a.
 
     Let a ray have l shingles of its centre less and m more, and D = 100 l + percent m.
@@ -164,21 +211,21 @@ def delta_prefixes(ties: DataFrame, texts: DataFrame, percent: int) -> DataFrame
     is linked to the centre if D <= T. Of rays x and y with y not linked to the centre,
     the share needed is thus over Dx / (100 + percent); and as D is at least percent times the
     number of differences, it is also at least (Dx - T) / 100 and (Dy - T) / 100. In one
-    fixed order of differences (additions first, as they are rarer) two such prefixes of
-    what remains must meet. ``delta`` is the longer one (the one of y if the ray is
+    fixed order of differences (rarest first by ``counts``, equal counts by key) two such
+    prefixes of what remains must meet. ``delta`` is the longer one (the one of y if the ray is
     ``away`` from the centre), its first ``short`` entries the one of x. ``size``, ``cost``
     and ``free`` are the number of differences, D and T."""
+    often = ties.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit = 100 + percent
         for rows, sets in paired_sets(batches):
             out: list[tuple] = []
             for k, (x, y) in enumerate(sets):
-                lost, more = x[~members(y, x)], y[~members(x, y)]
-                cost, free = 100 * len(lost) + percent * len(more), (100 - percent) * len(x)
-                size = len(lost) + len(more)
-                tag = mixed(np.array([rows.column(0)[k].as_py()], dtype=np.int64).view(np.uint64))
-                own = np.concatenate([mixed(more ^ tag), mixed(lost + tag + np.uint64(1))])
+                n_lost, own = differences(rows.column(0)[k].as_py(), x, y)
+                size = len(own)
+                cost, free = 100 * n_lost + percent * (size - n_lost), (100 - percent) * len(x)
+                own = own[np.lexsort((own, often.value[cells(own)]))]
                 far = -((free - cost) // 100)  # (D - T) / 100, rounded up
                 short = size + 1 - max(cost // unit + 1, far)
                 out.append((cost > free, short, size, cost, free, own[: size + 1 - far if cost > free else short].view(np.int64)))
@@ -238,7 +285,8 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     pairs = store(shared.where("c != centre").select(F.col("centre").alias("a"), F.col("c").alias("b")).distinct(), "ties")
     tied = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     texts = store(class_texts(docs, classes.select("c", "first", "first_th").join(tied, "c"), doc_id, text), "class-texts")
-    near = store(verified(pairs, texts), "verified")
+    found = store(verified_ties(pairs, texts), "verified")
+    near = found.where("a is not null").select("a", "b", "shared", "joined")
     linked = 100 * F.col("shared") >= percent * F.col("joined")
     roots = components(near.where(linked).select("a", "b"))
 
@@ -248,7 +296,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     several = placed.groupBy("centre").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
     several = store(several.select(F.col("centre").alias("s_centre")), "several")
     ties = placed.join(several, F.col("centre") == F.col("s_centre")).select(F.col("centre").alias("a"), F.col("c").alias("b"))
-    deltas = store(delta_prefixes(ties, texts, percent), "deltas")
+    deltas = store(delta_prefixes(ties, texts, percent, sketch_counts(found)), "deltas")
     deltas = deltas.select("c", "away", "short", "size", "cost", "free", F.posexplode("delta").alias("at", "key"))
     often = deltas.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.max("away").alias("any_away")).where("lo != hi and any_away")
     often = store(often.select(F.col("key").alias("o_key")), "shared-deltas")
