@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from regionlens.functions.scalar import clamp, log10_positive
 from regionlens.session import ship_package
@@ -92,22 +91,17 @@ def collect_stats(stats: DataFrame) -> dict[str, dict[str, float]]:
 
 
 # --------------------------------------------------------------------------- Gram matrix
-GRAM_SQL_MAX_COLUMNS = 64
-
-
-def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "auto") -> DataFrame:
+def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "arrow") -> DataFrame:
     """Cross-product sums ``Σ x_i x_j`` for i <= j as ``(i, j, col_i, col_j, value)``.
 
-    ``sql``: one aggregation with p(p+1)/2 sums, all JVM-side. ``arrow``: each
-    Arrow batch computes its partial X^T X with NumPy, then a small
-    ``groupBy(i, j).sum`` merges them (for wide matrices). Rows with a null in
-    any column are left out, as a regression would leave them out.
+    Every batch adds its X^T X with NumPy to one matrix per task; sums by position merge them. ``method="sql"`` makes the
+    same sums as p(p+1)/2 SQL aggregates, for comparison on few columns. Rows with a
+    null or NaN in any column are left out, as a regression would leave them out.
     """
     cols = list(columns)
     p = len(cols)
-    use_sql = method == "sql" or (method == "auto" and p <= GRAM_SQL_MAX_COLUMNS)
     clean = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(cols)]).na.drop()
-    if use_sql:
+    if method == "sql":
         aggs = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"v__{i}_{j}") for i in range(p) for j in range(i, p)]
         wide = clean.agg(*aggs)
         parts = []
@@ -116,9 +110,7 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "auto") ->
                 parts += [str(i), str(j), f"`v__{i}_{j}`"]
         long = wide.selectExpr(f"stack({p * (p + 1) // 2}, {', '.join(parts)}) as (i, j, value)")
     else:
-        schema = T.StructType(
-            [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())]
-        )
+
         iu = np.triu_indices(p)
 
         def partial(batches):
@@ -129,7 +121,7 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "auto") ->
             yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "value": acc[iu]})
 
         ship_package(df.sparkSession)
-        long = clean.mapInPandas(partial, schema).groupBy("i", "j").agg(F.sum("value").alias("value"))
+        long = clean.mapInPandas(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
     names = F.array(*[F.lit(c) for c in cols])
     return long.select(
         F.col("i").cast("int").alias("i"),

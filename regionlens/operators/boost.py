@@ -101,16 +101,6 @@ def gbt(
     )
 
 
-def training_partitions(df: DataFrame, per_core: int = 2) -> DataFrame:
-    """Cap the partition count of an iterative learner's input at ``per_core`` x
-    the cluster's cores. Boosting runs several jobs per tree level, each with one
-    task per partition; a frame that inherits hundreds of small shuffle
-    partitions would spend its time scheduling. ``coalesce`` merges partitions
-    without a shuffle; the assembled vectors are far smaller than the raw rows."""
-    target = max(1, df.sparkSession.sparkContext.defaultParallelism * per_core)
-    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
-
-
 def fit(train: DataFrame, features: Sequence[str], key: str, label: str = "label", validation_fraction: float = 0.0, seed: int = 0, **params) -> GBTClassificationModel:
     """Fit on ``train``. The assembled frame is persisted for the duration of
     the fit: boosting reads it once per tree level and the validation error is
@@ -119,7 +109,7 @@ def fit(train: DataFrame, features: Sequence[str], key: str, label: str = "label
     if validation_fraction > 0:
         data = with_validation(data, key, validation_fraction, seed)
     cols = ["features", label] + (["is_validation"] if validation_fraction > 0 else [])
-    data = training_partitions(data.select(*cols)).persist(StorageLevel.MEMORY_AND_DISK)
+    data = data.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return gbt(label=label, seed=seed, validation=validation_fraction > 0, **params).fit(data)
     finally:
@@ -173,9 +163,7 @@ def random_search(
         }
         for d in draws
     ]
-    data = training_partitions(
-        assemble(train, features).withColumn("fold", hash_fold(key, seed, folds)).select("features", label, "fold")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    data = assemble(train, features).withColumn("fold", hash_fold(key, seed, folds)).select("features", label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
     cv = CrossValidator(
         estimator=est,
         estimatorParamMaps=maps,

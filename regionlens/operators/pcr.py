@@ -1,6 +1,6 @@
 """Principal-component regression (OP-43, 58-62).
 
-The covariance comes from one distributed cross-product pass and is
+The covariance comes from one pass for the means and one for the products, and is
 eigen-decomposed on the driver (p x p, as MLlib ``PCA`` does; that estimator
 is kept as ``method="mllib"``); scores are an Arrow-batched
 matrix product inside ``mapInPandas`` (a k-by-p native projection would not fit
@@ -43,38 +43,51 @@ class PcaFit:
 
     @property
     def loadings(self) -> np.ndarray:
-        return self.components * np.sqrt(self.eigenvalues)
+        return self.components * np.sqrt(np.maximum(self.eigenvalues, 0.0))
+
+
+def centred(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, DataFrame]:
+    """(column means, the columns minus their means): a missing value (null or NaN) counts
+    as the mean of its column, as in ``scores``. One pass for the means."""
+    xs = [F.col(f"`{c}`").cast("double") for c in columns]
+    xs = [F.when(~F.isnan(x), x) for x in xs]
+    row = df.agg(*[F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)]).first()
+    mean = np.array([0.0 if m is None else m for m in row], dtype=float)
+    return mean, df.select(*[(F.coalesce(x, F.lit(float(m))) - F.lit(float(m))).alias(c) for x, m, c in zip(xs, mean, columns)])
+
+
+def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(column means, sample covariance matrix) from cross products of centred columns, so
+    that large means cancel nothing."""
+    cols = list(columns)
+    p = len(cols)
+    mean, frame = centred(df, cols)
+    g = gram_to_numpy(gram_matrix(frame.withColumn("__one__", F.lit(1.0)), cols + ["__one__"]), p + 1)
+    n, rest = g[p, p], g[:p, p]
+    return mean, (g[:p, :p] - np.outer(rest, rest) / n) / (n - 1)
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], k: int | None = None, method: str = "gram") -> PcaFit:
     """Principal components of the sample covariance.
 
-    ``gram`` (default): one distributed pass sums ``[x, 1]`` cross products
-    (partial X^T X per Arrow batch, merged by a tiny aggregate); mean,
-    covariance and its eigen-decomposition follow on the driver from the
-    (p+1)^2 numbers -- the same algebra MLlib's ``PCA`` runs after its own
-    covariance pass. ``mllib`` uses ``pyspark.ml.feature.PCA`` directly.
+    ``gram`` (default): eigen-decomposition of ``covariance`` on the driver (p^2 numbers).
+    ``mllib`` uses ``pyspark.ml.feature.PCA`` on the centred columns.
     """
     cols = list(columns)
     p = len(cols)
     k = k or p
     if method == "mllib":
-        stats = collect_stats(column_moments(df, cols))
-        mean = np.array([stats[c]["mean"] for c in cols], dtype=float)
+        mean, frame = centred(df, cols)
+        stats = collect_stats(column_moments(frame, cols))
         total = float(sum(stats[c]["std_samp"] ** 2 for c in cols))
-        model = PCA(k=k, inputCol="features", outputCol="pca").fit(assemble(df.select(*cols), cols))
+        model = PCA(k=k, inputCol="features", outputCol="pca").fit(assemble(frame, cols))
         comp = model.pc.toArray().copy()
         ratio = np.asarray(model.explainedVariance.toArray(), dtype=float)
     else:
-        frame = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols], F.lit(1.0).alias("__one__"))
-        g = gram_to_numpy(gram_matrix(frame.na.fill(0.0), cols + ["__one__"], method="arrow"), p + 1)
-        n = g[p, p]
-        s1 = g[:p, p]
-        mean = s1 / n
-        cov = (g[:p, :p] - np.outer(s1, s1) / n) / (n - 1)
+        mean, cov = covariance(df, cols)
         w, v = np.linalg.eigh(cov)
         order = np.argsort(w)[::-1]
-        w, v = np.clip(w[order], 0.0, None), v[:, order]
+        w, v = w[order], v[:, order]
         total = float(np.trace(cov))
         comp = v[:, :k].copy()
         ratio = w[:k] / w.sum() if w.sum() > 0 else np.zeros(k)

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlens.functions.scalar import clean_text
 
@@ -68,6 +69,15 @@ def feature_frame(df: DataFrame, keys: Sequence[str], start: int | None = None,
 
     ``features`` names the columns; ``start`` is the parity form "every column
     from position ``start``", resolved to names on the driver from the schema.
+    Texts that are no numbers become null; so do all values of types without a cast
+    to double (dates, arrays), which are read as their texts.
     """
     names = list(features) if features is not None else [c for c in df.columns[start or 0 :] if c not in keys]
-    return df.select(*keys, *[F.col(f"`{c}`").try_cast("double").alias(c) for c in names])
+    return df.select(*keys, *[_number(df, c).alias(c) for c in names])
+
+
+def _number(df: DataFrame, name: str) -> Column:
+    c = F.col(f"`{name}`")
+    if not isinstance(df.schema[name].dataType, (T.NumericType, T.StringType, T.BooleanType)):
+        c = c.cast("string")
+    return c.try_cast("double")

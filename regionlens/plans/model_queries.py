@@ -109,6 +109,11 @@ def q_logistic_fit(spark, base):
     return growth.logistic_fit(_series(spark, base), "user_id", "t", "cases")
 
 
+@register("logistic_fit_deaths")
+def q_logistic_fit_deaths(spark, base):
+    return growth.logistic_fit(_series(spark, base), "user_id", "t", "deaths", p0=growth.DEATHS_P0)
+
+
 # ============================================================================ descriptive statistics
 _STAT_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
@@ -269,7 +274,6 @@ def q_ols_residuals(spark, base):
 
 def _pair_sql() -> str:
     names = list(REG_FEATURES)
-    idx = {c: i for i, c in enumerate(names)}
     rows = []
     for i in range(len(names)):
         for j in range(i + 1, len(names)):
@@ -279,7 +283,6 @@ def _pair_sql() -> str:
                 f"SELECT '{names[i]},{names[j]}' AS predictors, "
                 f"yy - ({c} * {ay} * {ay} - 2 * {b} * {ay} * {by} + {a} * {by} * {by}) / ({a} * {c} - {b} * {b}) AS rss FROM s"
             )
-    del idx
     return "\nUNION ALL\n".join(rows)
 
 
@@ -408,37 +411,37 @@ def q_classifier_metrics(spark, base):
 
 
 # ============================================================================ PCA / PCR
-PCA_DIMS = 64
-PCA_COLS = tuple(f"e{i}" for i in range(PCA_DIMS))
-
-
 def embedding_frame(spark: SparkSession, base: str) -> DataFrame:
+    """One column per coordinate; as many as the longest vector has (null where one is shorter)."""
     e = load(spark, base, "embeddings")
-    return e.select(
-        "vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(PCA_DIMS)]
-    )
+    dims = e.agg(F.max(F.size("embedding"))).first()[0] or 0
+    return e.select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(dims)])
+
+
+def coordinates(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c not in ("vec_id", "label", "split", "y")]
 
 
 @register(
     "covariance_matrix",
-    "\nUNION ALL\n".join(
-        f"SELECT {i} AS i, {j} AS j, round_even(covar_samp(embedding[{i + 1}]::DOUBLE, embedding[{j + 1}]::DOUBLE) * 1e9, 0) / 1e9 AS cov FROM embeddings"
-        for i in range(8)
-        for j in range(i, 8)
-    ),
+    """
+WITH e AS (SELECT r, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x
+  FROM (SELECT row_number() OVER () AS r, embedding FROM embeddings))
+SELECT a.i AS i, b.i AS j, round_even(covar_samp(a.x, b.x) * 1e9, 0) / 1e9 AS cov
+FROM e a JOIN e b ON a.r = b.r AND a.i <= b.i GROUP BY a.i, b.i
+""",
 )
 def q_covariance_matrix(spark, base):
     e = embedding_frame(spark, base)
-    aggs = [F.covar_samp(f"e{i}", f"e{j}").alias(f"c_{i}_{j}") for i in range(8) for j in range(i, 8)]
-    parts = ", ".join(f"{i}, {j}, c_{i}_{j}" for i in range(8) for j in range(i, 8))
-    long = e.agg(*aggs).selectExpr(f"stack(36, {parts}) as (i, j, cov)")
-    return long.select(F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), round_to("cov", 9).alias("cov"))
+    _, cov = pcr.covariance(e, coordinates(e))
+    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]
+    return spark.createDataFrame(rows, "i int, j int, cov double").select("i", "j", round_to("cov", 9).alias("cov"))
 
 
 def _pca_train(spark, base):
     e = features.hash_split(embedding_frame(spark, base), "vec_id", 0.2, 0)
     train = e.filter(F.col("split") == "train")
-    return e, train, pcr.fit_pca(train, PCA_COLS)
+    return e, train, pcr.fit_pca(train, coordinates(train))
 
 
 @register("pca_variance")
@@ -468,7 +471,7 @@ def _pcr_response(df: DataFrame) -> DataFrame:
 def q_pcr_r2_curve(spark, base):
     _, train, fit = _pca_train(spark, base)
     scored = pcr.scores(_pcr_response(train), fit, keep=("y",))
-    rows = pcr.r2_curve(scored, "y", PCA_DIMS)
+    rows = pcr.r2_curve(scored, "y", len(fit.names))
     return spark.createDataFrame(rows, pcr.R2_SCHEMA)
 
 
@@ -496,7 +499,7 @@ def document_frame(spark: SparkSession, base: str, target: str = "quality") -> D
     validation and prediction read it instead of re-scanning the texts."""
     d = load(spark, base, "documents").select("doc_id", "text")
     lab = load(spark, base, "labels").select("doc_id", F.col(target).cast("double").alias("label"))
-    f = boost.text_shape_features(d.join(lab, "doc_id")).drop("text")
+    f = boost.text_shape_features(d).drop("text").join(lab, "doc_id")
     return cut_lineage(features.hash_split(f, "doc_id", 0.33, 7))
 
 

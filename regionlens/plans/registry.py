@@ -214,6 +214,38 @@ def q_map_layer(spark, base):
     return layer.select("FIPS", *[round_to(c, 9).alias(c) for c in ("value", "range_hi", "color")])
 
 
+@register(
+    "map_layer_fraction",
+    _SUPPLIER_RATES_SQL
+    + """
+, v AS (SELECT FIPS, InfectionRate::DOUBLE AS value FROM rates),
+m AS (SELECT max(value) / 5 AS hi FROM v)
+SELECT FIPS, round_even(value * 1e9, 0) / 1e9 AS value, round_even(hi * 1e9, 0) / 1e9 AS range_hi,
+       round_even(least(greatest(value, 0.0), hi) * 1e9, 0) / 1e9 AS color
+FROM v, m
+""",
+)
+def q_map_layer_fraction(spark, base):
+    layer = aggregates.map_layer(supplier_rates(spark, base), "FIPS", "InfectionRate", scale="fraction")
+    return layer.select("FIPS", *[round_to(c, 9).alias(c) for c in ("value", "range_hi", "color")])
+
+
+@register(
+    "map_layer_fixed",
+    _SUPPLIER_RATES_SQL
+    + """
+, v AS (SELECT FIPS, Fatality::DOUBLE AS value FROM rates),
+m AS (SELECT any_value(0.1::DOUBLE) AS hi FROM v)
+SELECT FIPS, round_even(value * 1e9, 0) / 1e9 AS value, round_even(hi * 1e9, 0) / 1e9 AS range_hi,
+       round_even(least(greatest(value, 0.0), hi) * 1e9, 0) / 1e9 AS color
+FROM v, m
+""",
+)
+def q_map_layer_fixed(spark, base):
+    layer = aggregates.map_layer(supplier_rates(spark, base), "FIPS", "Fatality", scale="fixed")
+    return layer.select("FIPS", *[round_to(c, 9).alias(c) for c in ("value", "range_hi", "color")])
+
+
 @register(
     "count_positive",
     _SERIES_SQL
@@ -270,14 +302,19 @@ def q_columns_by_token(spark, base):
 @register(
     "feature_frame",
     """
-SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE AS l_quantity, l_extendedprice::DOUBLE AS l_extendedprice,
-       l_discount::DOUBLE AS l_discount, l_tax::DOUBLE AS l_tax
+SELECT l_orderkey, l_linenumber, TRY_CAST(l_quantity::VARCHAR AS DOUBLE) AS l_quantity,
+       TRY_CAST(l_extendedprice::VARCHAR AS DOUBLE) AS l_extendedprice,
+       TRY_CAST(l_discount::VARCHAR AS DOUBLE) AS l_discount,
+       TRY_CAST(l_tax::VARCHAR AS DOUBLE) AS l_tax,
+       TRY_CAST(l_returnflag::VARCHAR AS DOUBLE) AS l_returnflag,
+       TRY_CAST(l_linestatus::VARCHAR AS DOUBLE) AS l_linestatus,
+       TRY_CAST(l_shipdate::VARCHAR AS DOUBLE) AS l_shipdate
 FROM lineitem
 """,
 )
 def q_feature_frame(spark, base):
     li = load(spark, base, "lineitem")
-    return projection.feature_frame(li.select(*li.columns[:8]), ["l_orderkey", "l_linenumber"], start=4)
+    return projection.feature_frame(li, ["l_orderkey", "l_linenumber"], start=4)
 
 
 @register(
@@ -428,6 +465,20 @@ def q_topk_series(spark, base):
     return top.select("FIPS", "Combined_Key", F.col(f"`{last}`").alias("latest"))
 
 
+@register(
+    "topk_series_deaths",
+    """
+SELECT user_id::DOUBLE AS FIPS, printf('User %d', user_id) AS Combined_Key, count_if(event_type = 'error')::BIGINT AS latest
+FROM events GROUP BY user_id ORDER BY latest DESC, FIPS LIMIT 8
+""",
+)
+def q_topk_series_deaths(spark, base):
+    wide = standins.wide_series(spark, base, "deaths")
+    last = projection.latest_column(wide)
+    top = topk.top_k_series(wide, 8, tiebreak=("FIPS",))
+    return top.select("FIPS", "Combined_Key", F.col(f"`{last}`").alias("latest"))
+
+
 @register(
     "scan_wide_csv",
     """
