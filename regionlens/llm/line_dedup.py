@@ -3,9 +3,10 @@
 The state is a set of runs: bucketed tables sorted by line hash, each with one entry
 per hash: the number of documents that hold the line and the largest doc_id among
 them. A batch of documents is reduced to one entry per hash, merge-anti-joined with
-the runs (its fresh lines; buckets meet without a shuffle of the runs) and added as a
-run of level 0. When a level holds ``fanout`` runs they are merged into one run of
-the next level, so a store of B batches has O(log B) runs.
+the runs (its fresh lines) and added as a run of level 0. When a level holds ``fanout``
+runs they are merged into one run of the next level, so a store of B batches has
+O(log B) runs. Runs are bucketed by the whole hash, so anti-joins and merges of two
+runs need no shuffle.
 
 Batches are slices of the documents by doc_id hash, so a document (all rows of its
 doc_id) is in one batch and document counts add up over runs. A line that a third of
@@ -79,12 +80,11 @@ class LineRuns:
     """The levelled runs. ``add`` takes a batch of (doc_id, h1, h2), distinct in a document."""
 
     spark: SparkSession
-    buckets: int = 0
     fanout: int = FANOUT
     levels: dict[int, list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
-        self.buckets = self.buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"llm_lines_{uuid.uuid4().hex}"
         self.made = 0
 
@@ -92,32 +92,43 @@ class LineRuns:
         per_doc = batch.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         return per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
-    def write(self, entries: DataFrame, level: int) -> None:
+    def write(self, entries: DataFrame, level: int) -> str:
+        """Write a run. ``entries`` are already dealt by (h1, h2) into ``buckets`` parts, by
+        their aggregation or a merge of runs, so each task writes whole buckets."""
         table = f"{self.name}_{level}_{self.made}"
         self.made += 1
-        entries.repartition(self.buckets, "h1").write.bucketBy(self.buckets, "h1").sortBy("h1").format("parquet").saveAsTable(table)
+        entries.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
         self.levels.setdefault(level, []).append(table)
+        return table
 
     def runs(self) -> list[str]:
         return [t for level in sorted(self.levels, reverse=True) for t in self.levels[level]]
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Add a batch; returns (h1, h2) of its lines that no earlier run has."""
-        own = store(self.entries(batch), "line-batch")
+        earlier = self.runs()
+        own = self.spark.table(self.write(self.entries(batch), 0))
         fresh = own
-        for table in self.runs():
+        for table in earlier:
             run = self.spark.table(table).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
             fresh = fresh.join(run.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left_anti")
         fresh = store(fresh.select("h1", "h2"), "line-fresh")
-        self.write(own, 0)
         self.compact()
         return fresh
 
     def merged(self, tables: list[str]) -> DataFrame:
+        """The runs as one, by merge joins that keep the buckets."""
         one = self.spark.table(tables[0])
         for t in tables[1:]:
-            one = one.unionByName(self.spark.table(t))
-        return one.groupBy("h1", "h2").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
+            two = self.spark.table(t).select(*[F.col(c).alias(f"r_{c}") for c in ("h1", "h2", "n_docs", "max_doc")])
+            met = one.join(two.hint("merge"), (F.col("h1") == F.col("r_h1")) & (F.col("h2") == F.col("r_h2")), "full_outer")
+            one = met.select(
+                F.coalesce("h1", "r_h1").alias("h1"),
+                F.coalesce("h2", "r_h2").alias("h2"),
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("r_n_docs", F.lit(0))).alias("n_docs"),
+                F.greatest("max_doc", "r_max_doc").alias("max_doc"),
+            )
+        return one
 
     def compact(self, level: int = 0) -> None:
         """Merge full levels into the next ones."""
