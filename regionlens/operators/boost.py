@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from itertools import product
 
 import numpy as np
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -126,21 +127,14 @@ def predict(model: GBTClassificationModel, df: DataFrame, features: Sequence[str
 
 
 def sample_params(n_draws: int, seed: int) -> list[dict]:
-    """Seeded draws from the search space (with replacement per dimension)."""
-    rng = np.random.RandomState(seed)
-    etas = eta_grid()
-    return [
-        {
-            "max_depth": int(rng.choice(SEARCH_MAX_DEPTH)),
-            "colsample": float(rng.choice(SEARCH_COLSAMPLE)),
-            "subsample": float(rng.choice(SEARCH_SUBSAMPLE)),
-            "step_size": float(rng.choice(etas)),
-        }
-        for _ in range(n_draws)
-    ]
+    """Seeded draws from the grid of the search space, without replacement (the whole
+    grid if more are asked for)."""
+    grid = list(product(SEARCH_MAX_DEPTH, SEARCH_COLSAMPLE, SEARCH_SUBSAMPLE, eta_grid()))
+    drawn = np.random.RandomState(seed).choice(len(grid), size=min(n_draws, len(grid)), replace=False)
+    return [dict(zip(("max_depth", "colsample", "subsample", "step_size"), grid[i], strict=True)) for i in drawn]
 
 
-def random_search(
+def search(
     train: DataFrame,
     features: Sequence[str],
     key: str,
@@ -150,10 +144,14 @@ def random_search(
     max_iter: int = 500,
     seed: int = 0,
     parallelism: int = 4,
-) -> list[dict]:
-    """k-fold CV accuracy for each draw; folds from a hash of ``key``."""
+    validation_fraction: float = 0.2,
+) -> tuple[list[dict], GBTClassificationModel]:
+    """(k-fold CV accuracy of each draw, the best draw fitted on all of ``train``).
+
+    Folds come from a hash of ``key``. Every fit stops early on a validation slice of
+    its own training rows (none if ``validation_fraction`` is 0)."""
     draws = sample_params(n_draws, seed)
-    est = gbt(max_iter=max_iter, seed=seed, label=label)
+    est = gbt(max_iter=max_iter, seed=seed, label=label, validation=validation_fraction > 0)
     maps = [
         {
             est.maxDepth: d["max_depth"],
@@ -163,7 +161,8 @@ def random_search(
         }
         for d in draws
     ]
-    data = assemble(train, features).withColumn("fold", hash_fold(key, seed, folds)).select("features", label, "fold").persist(StorageLevel.MEMORY_AND_DISK)
+    data = with_validation(assemble(train, features).withColumn("fold", hash_fold(key, seed, folds)), key, validation_fraction, seed)
+    data = data.select("features", label, "fold", "is_validation").persist(StorageLevel.MEMORY_AND_DISK)
     cv = CrossValidator(
         estimator=est,
         estimatorParamMaps=maps,
@@ -177,7 +176,12 @@ def random_search(
         model = cv.fit(data)
     finally:
         data.unpersist()
-    return [dict(d, draw=i + 1, accuracy=float(m)) for i, (d, m) in enumerate(zip(draws, model.avgMetrics))]
+    return [dict(d, draw=i + 1, accuracy=float(m)) for i, (d, m) in enumerate(zip(draws, model.avgMetrics))], model.bestModel
+
+
+def random_search(train: DataFrame, features: Sequence[str], key: str, **options) -> list[dict]:
+    """The scores of ``search`` alone."""
+    return search(train, features, key, **options)[0]
 
 
 _SPLIT = re.compile(r"If \(feature (\d+) ")

@@ -87,8 +87,8 @@ def criteria(rss: float, n: float, k: int, yty: float) -> dict[str, float]:
 
 
 def forward_path(gram: Gram) -> list[dict]:
-    """Sizes 1..p: at each step add the predictor with the lowest RSS (first in
-    column order on ties)."""
+    """Sizes 1..rank: at each step add the predictor with the lowest RSS (first in
+    column order on ties) of those that raise the rank; the path ends when none does."""
     chosen: list[int] = []
     path = []
     remaining = list(range(gram.p))
@@ -96,8 +96,10 @@ def forward_path(gram: Gram) -> list[dict]:
         best = None
         for c in remaining:
             _, rss, rank = solve_subset(gram, chosen + [c])
-            if best is None or rss < best[1]:
+            if rank == size and (best is None or rss < best[1]):
                 best = (c, rss, rank)
+        if best is None:
+            break
         c, rss, rank = best
         chosen.append(c)
         remaining.remove(c)
@@ -128,9 +130,9 @@ PATH_SCHEMA = T.StructType(
 )
 
 
-def forward_path_frame(spark: SparkSession, gram: Gram) -> DataFrame:
-    """The path as a DataFrame (p rows)."""
-    rows = [{k: r[k] for k in PATH_SCHEMA.names} for r in forward_path(gram)]
+def forward_path_frame(spark: SparkSession, path: Sequence[dict]) -> DataFrame:
+    """A ``forward_path`` as a DataFrame (at most p rows)."""
+    rows = [{k: r[k] for k in PATH_SCHEMA.names} for r in path]
     return spark.createDataFrame(rows, PATH_SCHEMA)
 
 

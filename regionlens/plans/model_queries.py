@@ -9,6 +9,7 @@ features of ``documents``; growth curves use the cumulative ``events`` series.
 
 from __future__ import annotations
 
+from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -319,18 +320,110 @@ def q_gram_matrix(spark, base):
     return g.select("i", "j", "col_i", "col_j", round_to("value", 4).alias("value"))
 
 
-@register("forward_path")
-def q_forward_path(spark, base):
+def _sweep_sql() -> str:
+    """Forward selection in SQL: the matrix of ``s`` as a list, swept at the predictor that
+    lowers the RSS most, step by step. After a sweep at c, row c holds the coefficients,
+    the diagonal the inverse, the last cell the RSS."""
+    p = len(REG_FEATURES)
+    w = p + 1
+    name = [[f"xx{i}" if i == j else f"x{min(i, j)}{max(i, j)}" for j in range(p)] + [f"xy{i}"] for i in range(p)]
+    cells = ", ".join(c for row in [*name, [f"xy{i}" for i in range(p)] + ["yy"]] for c in row)
+    return (
+        _REG_SQL.replace("WITH b AS", "WITH RECURSIVE b AS", 1)
+        + f""",
+step AS (
+  SELECT 0 AS size, 0::BIGINT AS c, []::BIGINT[] AS chosen, [{cells}] AS m, n, yy FROM s
+  UNION ALL
+  SELECT size + 1, c, list_append(chosen, c), list_transform(range(0, {w * w}), lambda k: CASE
+      WHEN k // {w} = c - 1 AND k % {w} = c - 1 THEN 1 / m[(c - 1) * {w} + c]
+      WHEN k // {w} = c - 1 THEN m[k + 1] / m[(c - 1) * {w} + c]
+      WHEN k % {w} = c - 1 THEN -m[k + 1] / m[(c - 1) * {w} + c]
+      ELSE m[k + 1] - m[(k // {w}) * {w} + c] * m[(c - 1) * {w} + k % {w} + 1] / m[(c - 1) * {w} + c] END), n, yy
+  FROM (SELECT *, list_position(gains, list_max(gains))::BIGINT AS c FROM (
+    SELECT size, chosen, m, n, yy, list_transform(range(1, {w}), lambda i:
+      CASE WHEN list_contains(chosen, i) THEN -1.0 ELSE m[i * {w}] * m[i * {w}] / m[(i - 1) * {w} + i] END) AS gains
+    FROM step WHERE size < {p}))),
+path AS (
+  SELECT size, c, chosen, m, n, yy, m[{w * w}] AS rss, 1 - m[{w * w}] / yy AS r2,
+         -n / 2.0 * (ln(2 * pi() * m[{w * w}] / n) + 1) AS llf FROM step WHERE size > 0),
+sized AS (
+  SELECT *, 1 - n / (n - size::DOUBLE) * (1 - r2) AS adj_r2, -2 * llf + 2 * size AS aic, -2 * llf + size * ln(n) AS bic,
+         {list(REG_FEATURES)} AS names FROM path)
+"""
+    )
+
+
+_PATH_SQL = _sweep_sql()
+
+
+def _path(spark, base):
     gram = stepwise.regression_gram(regression_frame(spark, base), REG_FEATURES, "y")
-    return stepwise.forward_path_frame(spark, gram)
+    return gram, stepwise.forward_path(gram)
+
+
+@register(
+    "forward_path",
+    _PATH_SQL
+    + """
+SELECT size::INTEGER AS size, names[c] AS added, array_to_string(list_transform(chosen, lambda i: names[i]), ',') AS predictors,
+       round_even(rss * 1e4, 0) / 1e4 AS rss, size::INTEGER AS rank, round_even(r2 * 1e9, 0) / 1e9 AS r2,
+       round_even(adj_r2 * 1e9, 0) / 1e9 AS adj_r2, round_even(aic * 1e4, 0) / 1e4 AS aic, round_even(bic * 1e4, 0) / 1e4 AS bic
+FROM sized
+""",
+)
+def q_forward_path(spark, base):
+    path = stepwise.forward_path_frame(spark, _path(spark, base)[1])
+    return path.select(
+        "size",
+        "added",
+        F.concat_ws(",", "predictors").alias("predictors"),
+        round_to("rss", 4).alias("rss"),
+        "rank",
+        *[round_to(c, 9).alias(c) for c in ("r2", "adj_r2")],
+        *[round_to(c, 4).alias(c) for c in ("aic", "bic")],
+    )
+
+
+@register(
+    "selection_size",
+    _PATH_SQL
+    + """
+SELECT 'adj_r2' AS criterion, arg_max(size, adj_r2)::INTEGER AS size FROM sized UNION ALL
+SELECT 'aic', arg_min(size, aic)::INTEGER FROM sized UNION ALL
+SELECT 'bic', arg_min(size, bic)::INTEGER FROM sized
+""",
+)
+def q_selection_size(spark, base):
+    _, path = _path(spark, base)
+    return spark.createDataFrame([(c, stepwise.choose(path, c)["size"]) for c in ("adj_r2", "aic", "bic")], "criterion string, size int")
+
+
+def _summary(spark, base):
+    gram, path = _path(spark, base)
+    rows = stepwise.ols_summary(gram, stepwise.choose(path, "bic")["predictors"])
+    return spark.createDataFrame(rows, "predictor string, coef double, std_err double, t double, p_value double")
 
 
 @register("ols_summary")
 def q_ols_summary(spark, base):
-    gram = stepwise.regression_gram(regression_frame(spark, base), REG_FEATURES, "y")
-    chosen = stepwise.choose(stepwise.forward_path(gram), "bic")
-    rows = stepwise.ols_summary(gram, chosen["predictors"])
-    return spark.createDataFrame(rows, "predictor string, coef double, std_err double, t double, p_value double")
+    return _summary(spark, base)
+
+
+@register(
+    "ols_coefficients",
+    _PATH_SQL
+    + f"""
+, best AS (SELECT * FROM sized ORDER BY bic, size LIMIT 1),
+coefs AS (
+  SELECT names[i] AS predictor, m[i * {len(REG_FEATURES) + 1}] AS coef,
+         sqrt(rss / (n - size) * m[(i - 1) * {len(REG_FEATURES) + 1} + i]) AS std_err
+  FROM (SELECT *, unnest(chosen) AS i FROM best))
+SELECT predictor, round_even(coef * 1e9, 0) / 1e9 AS coef, round_even(std_err * 1e9, 0) / 1e9 AS std_err,
+       round_even(coef / std_err * 1e4, 0) / 1e4 AS t FROM coefs
+""",
+)
+def q_ols_coefficients(spark, base):
+    return _summary(spark, base).select("predictor", round_to("coef", 9).alias("coef"), round_to("std_err", 9).alias("std_err"), round_to("t", 4).alias("t"))
 
 
 # ============================================================================ feature preparation
@@ -444,6 +537,24 @@ def _pca_train(spark, base):
     return e, train, pcr.fit_pca(train, coordinates(train))
 
 
+@register(
+    "pca_reconstruction",
+    """
+WITH e AS (SELECT r, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x
+  FROM (SELECT row_number() OVER () AS r, embedding FROM embeddings
+        WHERE ('0x' || substr(md5('0:' || vec_id::VARCHAR), 1, 8))::BIGINT >= 858993459))
+SELECT a.i AS i, b.i AS j, round_even(covar_samp(a.x, b.x) * 1e9, 0) / 1e9 AS cov
+FROM e a JOIN e b ON a.r = b.r AND a.i <= b.i GROUP BY a.i, b.i
+""",
+)
+def q_pca_reconstruction(spark, base):
+    """Loadings times their transpose: the covariance of the training rows."""
+    _, _, fit = _pca_train(spark, base)
+    cov = fit.loadings @ fit.loadings.T
+    rows = [(i, j, float(cov[i, j])) for i in range(len(cov)) for j in range(i, len(cov))]
+    return spark.createDataFrame(rows, "i int, j int, cov double").select("i", "j", round_to("cov", 9).alias("cov"))
+
+
 @register("pca_variance")
 def q_pca_variance(spark, base):
     _, _, fit = _pca_train(spark, base)
@@ -488,7 +599,7 @@ def q_pcr_holdout(spark, base, n_pc: int = 15):
 
 
 # ============================================================================ boosted trees
-GBT_ITER = 20  # registered queries keep the trees few; the library default is 500
+GBT_ITER = 500
 
 
 def document_frame(spark: SparkSession, base: str, target: str = "quality") -> DataFrame:
@@ -503,14 +614,19 @@ def document_frame(spark: SparkSession, base: str, target: str = "quality") -> D
     return cut_lineage(features.hash_split(f, "doc_id", 0.33, 7))
 
 
-def _gbt_model(spark, base):
-    df = document_frame(spark, base)
-    train = df.filter(F.col("split") == "train")
-    model = boost.fit(
-        train, boost.TEXT_FEATURES, "doc_id", validation_fraction=0.2, seed=0,
-        max_iter=GBT_ITER, max_depth=6, step_size=0.1, subsample=0.8, colsample=0.8,
-    )
-    return df, model
+#: Models by (application, input, target): prediction, metrics and importance share one training.
+_MODELS: dict[tuple[str, str, str], GBTClassificationModel] = {}
+
+
+def _gbt_model(spark, base, target: str = "quality"):
+    df = document_frame(spark, base, target)
+    key = (spark.sparkContext.applicationId, base, target)
+    if key not in _MODELS:
+        _MODELS[key] = boost.fit(
+            df.filter(F.col("split") == "train"), boost.TEXT_FEATURES, "doc_id", validation_fraction=0.2, seed=0,
+            max_iter=GBT_ITER, max_depth=6, step_size=0.1, subsample=0.8, colsample=0.8,
+        )
+    return df, _MODELS[key]
 
 
 @register("gbt_predict")
@@ -527,6 +643,13 @@ def q_gbt_metrics(spark, base):
     return metrics.classifier_metrics(pred, "label", "prediction")
 
 
+@register("gbt_metrics_toxic")
+def q_gbt_metrics_toxic(spark, base):
+    df, model = _gbt_model(spark, base, "toxic")
+    pred = boost.predict(model, df.filter(F.col("split") == "test"), boost.TEXT_FEATURES, keep=("label",))
+    return metrics.classifier_metrics(pred, "label", "prediction")
+
+
 @register("gbt_importance")
 def q_gbt_importance(spark, base):
     _, model = _gbt_model(spark, base)
@@ -550,3 +673,40 @@ def q_panel_stepwise_path(spark, base):
     from regionlens.plans.panel_models import build_panel, stepwise_report
 
     return stepwise_report(spark, build_panel(spark, base), "Cases")["path"]
+
+
+@register("panel_stepwise_path_deaths")
+def q_panel_stepwise_path_deaths(spark, base):
+    from regionlens.plans.panel_models import build_panel, stepwise_report
+
+    return stepwise_report(spark, build_panel(spark, base), "Deaths")["path"]
+
+
+@register("panel_stepwise_summary")
+def q_panel_stepwise_summary(spark, base):
+    """Coefficient tables of the chosen models of cases and deaths."""
+    from regionlens.plans.panel_models import build_panel, stepwise_report
+
+    panel = build_panel(spark, base)
+    cases, deaths = [stepwise_report(spark, panel, r)["summary"].select(F.lit(r).alias("response"), "*") for r in ("Cases", "Deaths")]
+    return cases.unionByName(deaths)
+
+
+@register("panel_classifiers")
+def q_panel_classifiers(spark, base):
+    """Holdout metrics of the fatality and the infection classifier."""
+    from regionlens.plans.panel_models import FATALITY_THRESHOLD, INFECTION_THRESHOLD, build_panel, classifier_report
+
+    panel = build_panel(spark, base)
+    fatality, infection = [
+        classifier_report(panel, rate, threshold, max_iter=GBT_ITER, max_depth=6)["metrics"].select(F.lit(rate).alias("rate"), "*")
+        for rate, threshold in (("Fatality", FATALITY_THRESHOLD), ("InfectionRate", INFECTION_THRESHOLD))
+    ]
+    return fatality.unionByName(infection)
+
+
+@register("panel_pcr_r2_curve")
+def q_panel_pcr_r2_curve(spark, base):
+    from regionlens.plans.panel_models import build_panel, pcr_report
+
+    return pcr_report(spark, build_panel(spark, base))["r2_curve"]

@@ -94,7 +94,7 @@ def stepwise_report(spark: SparkSession, panel: Panel, response: str = "Cases")
     fitted = stepwise.fitted_column(coefs)
     residuals = scaled.select("FIPS", "y", fitted.alias("fitted")).withColumn("residual", F.col("y") - F.col("fitted"))
     return {
-        "path": stepwise.forward_path_frame(spark, gram),
+        "path": stepwise.forward_path_frame(spark, path),
         "chosen": chosen,
         "summary": spark.createDataFrame(summary, "predictor string, coef double, std_err double, t double, p_value double"),
         "residuals": residuals,

@@ -51,3 +51,14 @@ def test_text_shape_features(spark):
     assert r[1].f_punct_share == pytest.approx(1 / 8)
     assert r[1].f_upper_share == pytest.approx(1 / 8)
     assert r[2].f_digit_share == 0.0
+
+
+def test_draws_differ_and_search_returns_the_best_model(spark):
+    draws = [tuple(d.values()) for d in boost.sample_params(800, 1)]
+    assert len(set(draws)) == 800 and len(boost.sample_params(5000, 1)) == 800
+    df = _separable(spark)
+    feats = ["a", "b", "c"]
+    rows, best = boost.search(df, feats, "k", n_draws=2, folds=2, max_iter=3, seed=3)
+    top = max(rows, key=lambda r: r["accuracy"])
+    assert best.getOrDefault("maxDepth") == top["max_depth"] and best.getOrDefault("stepSize") == top["step_size"]
+    assert boost.predict(best, df, feats, keep=("k",)).count() == 300

@@ -200,3 +200,14 @@ def test_linear_start_matches_spark_growth_linear(spark):
     fits = {r.key: r for r in growth.logistic_fit(series, "key", "t", "y").collect()}
     assert fits["s2"].tau == pytest.approx(22, rel=1e-6)
     assert fits["s6"].status == "no_fit"
+
+
+def test_forward_path_skips_dependent_columns(spark):
+    rng = np.random.default_rng(3)
+    x = rng.uniform(size=(80, 2))
+    rows = [(float(a), float(b), float(a + b), float(2 * a), float(a - b + e)) for (a, b), e in zip(x, rng.normal(size=80))]
+    df = spark.createDataFrame(rows, "a double, b double, s double, d double, y double")
+    gram = stepwise.regression_gram(df, ["a", "b", "s", "d"], "y")
+    path = stepwise.forward_path(gram)
+    assert [r["rank"] for r in path] == [1, 2]
+    assert len(stepwise.ols_summary(gram, stepwise.choose(path, "adj_r2")["predictors"])) <= 2
