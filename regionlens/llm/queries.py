@@ -14,7 +14,7 @@ from regionlens.llm.quality_rules import quality_rules
 from regionlens.llm.sharding import balanced_shards
 from regionlens.llm.suffix_dedup import dedup_substrings
 from regionlens.llm.token_counts import token_counts
-from regionlens.llm.url_filter import url_verdicts
+from regionlens.llm.url_filter import MAX_BAD, url_verdicts
 from regionlens.llm.warc import archive_report
 from regionlens.sources.tables import load
 
@@ -39,10 +39,17 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = url_verdicts(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
+    """By the fixed limit of its SQL."""
+    found = url_verdicts(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"), max_bad=MAX_BAD)
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By the share of bad pages over all labelled ones; no SQL."""
+    found = url_verdicts(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
+    return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "bad_lower")
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(load(spark, sf_dir, "documents"))
     return found.drop("th")
@@ -70,7 +77,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_near_dedup, op4_url_filter, op5_quality_rules, op6_token_counts, op7_line_dedup, op8_sharding, op9_decontamination, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_near_dedup, op4_url_filter, op4_url_reputation, op5_quality_rules, op6_token_counts, op7_line_dedup, op8_sharding, op9_decontamination, op10_bpe)}
 
 #: Words of a text: maximal runs of anything but space and \\x09-\\x0D.
 _WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"

@@ -4,8 +4,11 @@ A host's share of bad pages gets a beta-binomial posterior whose prior mean is t
 shrunken share of its registered domain, whose prior in turn is that of its suffix,
 whose prior is the share over all labelled pages. The weight of a prior (pseudo
 counts) at a level is estimated from the spread of the shares at that level (method
-of moments). A page is blocked if the lower bound of its host's posterior is above
-``max_bad``; explicit rules go first, the longest fitting one wins.
+of moments). A page is blocked if the lower bound of its host's posterior is above the
+share over all labelled pages, which the priors pull every host to, by more than
+``margin``; explicit rules go first, the longest fitting one wins. ``max_bad`` sets a
+fixed limit instead: one below the share over all pages blocks clean hosts as soon as
+the labels are many, so it serves only to match a contract that names the limit.
 
 Only skinny columns are read. Counts per host are pre-aggregated map-side; the
 parameters are three one-row aggregates, kept as one-row frames (no collect).
@@ -28,7 +31,9 @@ from regionlens.llm.common import store
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host and path prefix)
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Share of bad pages of a host that must be exceeded with certainty.
+#: By how much a host's lower bound must exceed the share of bad pages over all labelled pages.
+MARGIN = 0.05
+#: The fixed limit of the registered query's SQL.
 MAX_BAD = 0.2
 #: Standard deviations from the posterior mean to its lower bound.
 BOUND_Z = 1.645
@@ -66,7 +71,7 @@ def spread_weight(groups: DataFrame, weight: str) -> DataFrame:
 
 
 def reputations(labelled: DataFrame, z: float = BOUND_Z) -> DataFrame:
-    """(rep_host, n, bad, mean, lower) per labelled host; ``labelled`` has host and bad (0 or 1)."""
+    """(rep_host, n, bad, mean, lower, p0) per labelled host; ``labelled`` has host and bad (0 or 1)."""
     hosts = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
     hosts = store(hosts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2)), "host-counts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -79,30 +84,33 @@ def reputations(labelled: DataFrame, z: float = BOUND_Z) -> DataFrame:
     # one-row frames: the joins below attach parameters, they multiply nothing
     s = suffixes.join(F.broadcast(spread_weight(suffixes, "ws"))).join(F.broadcast(total)).select("suffix", shrunk("ws", "p0").alias("ps"))
     d = domains.join(F.broadcast(spread_weight(domains, "wd"))).join(s, "suffix").select("domain", shrunk("wd", "ps").alias("pd"))
-    h = hosts.join(F.broadcast(spread_weight(hosts, "wh"))).join(d, "domain")
+    h = hosts.join(F.broadcast(spread_weight(hosts, "wh"))).join(F.broadcast(total)).join(d, "domain")
     a, b = F.col("bad") + F.col("wh") * F.col("pd"), F.col("n") - F.col("bad") + F.col("wh") * (1 - F.col("pd"))
     mean = a / (a + b)
-    return h.select(F.col("host").alias("rep_host"), "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"))
+    return h.select(F.col("host").alias("rep_host"), "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"), "p0")
 
 
 def url_verdicts(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    max_bad: float = MAX_BAD,
+    max_bad: float | None = None,
+    margin: float = MARGIN,
     page_id: str = "page_id",
     url: str = "url",
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, n_labelled, bad_lower) per page.
 
     ``labels`` has the page's id as doc_id, quality (0 is bad) and toxic (1 is bad).
+    A host is blocked above ``max_bad``, by default above the share of all by ``margin``.
     """
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     marks = labels.select(F.col("doc_id").alias("its_page"), bad.alias("bad")).where("bad is not null and its_page is not null").groupBy("its_page").agg(F.max("bad").alias("bad"))
     rep = store(reputations(p.join(marks, p["page_id"] == marks["its_page"]).where("host != ''").select("host", "bad")), "host-reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    own = F.when(F.col("lower") > max_bad, "block").otherwise("allow")
+    limit = F.col("p0") + margin if max_bad is None else F.lit(max_bad)
+    own = F.when(F.col("lower") > limit, "block").otherwise("allow")
     return p.join(rep, p["host"] == rep["rep_host"], "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_labelled"), F.col("lower").alias("bad_lower")
     )

@@ -135,6 +135,25 @@ def test_urls(spark):
     assert got[4][2:] == ("com/de/", "block") and got[6][2:] == ("example.org/en/1", "block")
 
 
+@pytest.mark.parametrize("times", [1, 40])
+def test_urls_are_judged_against_the_base_share(spark, times):
+    # ten hosts at or below the base share, one bad throughout, at few and at many labels
+    counts = {f"h{k}.d{k % 3}.net": (20 * times, (2 + k % 4) * times) for k in range(10)} | {"spam.d0.net": (20 * times, 20 * times)}
+    pages = [(f"http://{h}/x", int(i < b)) for h, (n, b) in counts.items() for i in range(n)]
+    p = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(pages)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, None, b) for i, (_, b) in enumerate(pages)], "doc_id long, quality int, toxic int")
+    got = {(r["host"], r["verdict"]) for r in url_filter.url_verdicts(p, marks).collect()}
+    assert got == {(h, "block" if h == "spam.d0.net" else "allow") for h in counts}
+
+
+def test_urls_without_spread_stay_allowed(spark):
+    # hosts that don't differ: the prior's weight is at its most, and a base share above 0.2 blocks nobody
+    pages = [(f"http://h{k}.d{k % 3}.net/x", int(i % 10 < 3)) for k in range(12) for i in range(200)]
+    p = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(pages)], "page_id long, url string")
+    marks = spark.createDataFrame([(i, None, b) for i, (_, b) in enumerate(pages)], "doc_id long, quality int, toxic int")
+    assert {r["verdict"] for r in url_filter.url_verdicts(p, marks).collect()} == {"allow"}
+
+
 def test_quality(docs, none):
     got = {r["doc_id"]: r for r in quality_rules.quality_rules(docs, host="source").collect()}
     assert got[0]["n_words"] == 0 and got[0]["base_failed"] and got[10]["n_dup_lines"] == 0
