@@ -4,19 +4,19 @@ Each stage takes (spark, docs, sf_dir), where docs is what the stage before kept
 returns a DataFrame that is written and read again as the next stage's docs. The
 stages before the last return the columns of ``documents``:
 
-1. quality rules: rejected documents go;
+1. quality rules: rejected documents go, the others lose their host's boilerplate lines;
 2. line dedup: texts lose their repeated lines, all documents stay;
 3. MinHash near-dedup: one document of each group stays (all rows of its doc_id);
 4. benchmark decontamination: documents that contain a test item go;
 5. BPE encoding and decoding of what is left.
 
 A document's columns other than text pass unchanged; ``n_chars`` is set to the new
-length where line dedup changed a text.
+length where the first or second stage changed a text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlens.llm import queries
@@ -30,20 +30,27 @@ from regionlens.session import shared_path
 from regionlens.sources.tables import load
 
 
+def others(docs: DataFrame) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+
+
+def rewritten(found: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
+    """``found`` (doc_id, clean_text and the other columns) with the columns of ``docs``."""
+    cols = {"doc_id": F.col("doc_id"), "text": F.col("clean_text")} | {c: F.col(c) for c in others(docs)}
+    if "n_chars" in docs.columns:
+        cols["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select([cols[c].alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    return without(docs, quality_rules(docs).where("not kept").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
+    found = quality_rules(docs, keep=others(docs)).where("kept")
+    return rewritten(found, docs, F.col("n_boilerplate_words") > 0)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    found = dedup_lines(docs, keep=tuple(others))
-    changed = F.col("n_dropped") > 0
-    cols = {"doc_id": F.col("doc_id"), "text": F.col("clean_text")} | {c: F.col(c) for c in others}
-    if "n_chars" in others:
-        cols["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.select([cols[c].alias(c) for c in docs.columns])
+    return rewritten(dedup_lines(docs, keep=others(docs)), docs, F.col("n_dropped") > 0)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

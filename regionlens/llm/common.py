@@ -27,11 +27,12 @@ SPACES = " \t\n\x0b\x0c\r"
 ARROW_ROWS = 1000
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to a fresh folder of the shared scratch space and read it back."""
+def store(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to a fresh folder of the shared scratch space and read it back;
+    ``codec`` names another Parquet compression than the session's."""
     spark = df.sparkSession
     path = shared_path(spark, f"llm-{name}")
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

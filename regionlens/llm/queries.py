@@ -52,7 +52,7 @@ def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules(load(spark, sf_dir, "documents"))
-    return found.drop("th")
+    return found.drop("th", "clean_text")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

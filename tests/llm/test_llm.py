@@ -161,6 +161,26 @@ def test_quality(docs, none):
     assert got[11]["n_repeat_words"] == got[11]["n_words"] > 0
 
 
+def test_quality_removes_frequent_lines(spark):
+    import corpus_pipeline as cp
+
+    body = lambda k: " ".join(f"v{k}x{i}" for i in range(60))
+    # host a: a footer in 25 documents, once with most of the words; host b: the same line twice only
+    own = {k: f"{body(k)}\n\n{body(k)[::-1]}" for k in range(25)}
+    foot = " ".join(f"f{i}" for i in range(70))
+    texts = [(k, f"{t}\n {foot.upper()}\t\nend {k}\n", "a") for k, t in own.items()]
+    texts += [(25, f"{body(25)}\n{foot}", "a"), (26, None, "a"), (27, f"{foot}\n{body(27)}", "b"), (28, f"{foot}\n{body(28)}", None)]
+    df = spark.createDataFrame([(d, t, "x", h, len(t or "")) for d, t, h in texts], "doc_id long, text string, host string, source string, n_chars int")
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(df).collect()}
+    left = {k: f"{t}\nend {k}\n" for k, t in own.items()} | {25: body(25), 26: None, 27: texts[27][1], 28: texts[28][1]}
+    assert {d: r["clean_text"] for d, r in got.items()} == left
+    assert {d: r["n_boilerplate_words"] for d, r in got.items()} == {d: 70 if d < 26 else 0 for d in left}
+    assert [d for d, r in sorted(got.items()) if not r["kept"]] == [25, 26] and got[25]["base_failed"] is False
+    staged = cp.quality_stage(spark, df, "")
+    assert staged.columns == df.columns
+    assert rows(staged) == sorted([(d, left[d], "x", h, len(left[d])) for d, _, h in texts if d not in (25, 26)], key=repr)
+
+
 def test_pipeline_keeps_one_of_each_group(spark, docs):
     import corpus_pipeline as cp
 
