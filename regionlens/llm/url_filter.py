@@ -6,7 +6,7 @@ whose prior is the share over all labelled pages. The weight of a prior (pseudo
 counts) at a level is estimated from the spread of the shares at that level (method
 of moments). A page is blocked if the lower bound of its host's posterior is above the
 share over all labelled pages, which the priors pull every host to, by more than
-``margin``; explicit rules go first, the longest fitting one wins. ``max_bad`` sets a
+``margin``. A host without labels is judged by its prior in the same way. Explicit rules go first, the longest fitting one wins. ``max_bad`` sets a
 fixed limit instead: one below the share over all pages blocks clean hosts as soon as
 the labels are many, so it serves only to match a contract that names the limit.
 
@@ -14,7 +14,7 @@ Only skinny columns are read. Counts per host are pre-aggregated map-side; the
 parameters are three one-row aggregates, kept as one-row frames (no collect).
 
 Defined results: a null url or one without ``://`` has empty host and path, no rule
-and the verdict of a host without labels; label rows without a page are ignored;
+and no reputation, and passes; so do all hosts if there are no labels; label rows without a page are ignored;
 several labels of a page count as bad if any is bad; null labels are not labels;
 repeated pages get a row each.
 """
@@ -70,10 +70,16 @@ def spread_weight(groups: DataFrame, weight: str) -> DataFrame:
     return g.select(fit.alias(weight))
 
 
-def reputations(labelled: DataFrame, z: float = BOUND_Z) -> DataFrame:
-    """(rep_host, n, bad, mean, lower, p0) per labelled host; ``labelled`` has host and bad (0 or 1)."""
+def with_parents(hosts: DataFrame) -> DataFrame:
+    return hosts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+
+
+def reputations(labelled: DataFrame, seen: DataFrame, z: float = BOUND_Z) -> DataFrame:
+    """(rep_host, n, bad, mean, lower, p0) per host of ``seen`` (host, distinct);
+    ``labelled`` has host and bad (0 or 1). A host without labels has its prior alone:
+    its domain's share, else its suffix's, else that of all."""
     hosts = labelled.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("bad"))
-    hosts = store(hosts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2)), "host-counts")
+    hosts = store(with_parents(hosts), "host-counts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     total = hosts.agg(F.try_divide(F.sum("bad"), F.sum("n")).alias("p0"))
@@ -83,9 +89,12 @@ def reputations(labelled: DataFrame, z: float = BOUND_Z) -> DataFrame:
 
     # one-row frames: the joins below attach parameters, they multiply nothing
     s = suffixes.join(F.broadcast(spread_weight(suffixes, "ws"))).join(F.broadcast(total)).select("suffix", shrunk("ws", "p0").alias("ps"))
+    s = store(s, "suffix-shares")
     d = domains.join(F.broadcast(spread_weight(domains, "wd"))).join(s, "suffix").select("domain", shrunk("wd", "ps").alias("pd"))
-    h = hosts.join(F.broadcast(spread_weight(hosts, "wh"))).join(F.broadcast(total)).join(d, "domain")
-    a, b = F.col("bad") + F.col("wh") * F.col("pd"), F.col("n") - F.col("bad") + F.col("wh") * (1 - F.col("pd"))
+    h = with_parents(seen).join(hosts.select("host", "n", "bad"), "host", "left").join(store(d, "domain-shares"), "domain", "left").join(s, "suffix", "left")
+    h = h.join(F.broadcast(spread_weight(hosts, "wh"))).join(F.broadcast(total))
+    h = h.withColumns({"n": F.coalesce("n", F.lit(0)), "bad": F.coalesce("bad", F.lit(0)), "prior": F.coalesce("pd", "ps", "p0")})
+    a, b = F.col("bad") + F.col("wh") * F.col("prior"), F.col("n") - F.col("bad") + F.col("wh") * (1 - F.col("prior"))
     mean = a / (a + b)
     return h.select(F.col("host").alias("rep_host"), "n", "bad", mean.alias("mean"), (mean - z * F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1)))).alias("lower"), "p0")
 
@@ -102,15 +111,18 @@ def url_verdicts(
     """(page_id, host, path, rule, verdict, n_labelled, bad_lower) per page.
 
     ``labels`` has the page's id as doc_id, quality (0 is bad) and toxic (1 is bad).
-    A host is blocked above ``max_bad``, by default above the share of all by ``margin``.
+    A host is blocked above ``max_bad``, by default above the share of all by ``margin``;
+    with ``max_bad`` hosts without labels pass, as the contract of that limit has it.
     """
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
     marks = labels.select(F.col("doc_id").alias("its_page"), bad.alias("bad")).where("bad is not null and its_page is not null").groupBy("its_page").agg(F.max("bad").alias("bad"))
-    rep = store(reputations(p.join(marks, p["page_id"] == marks["its_page"]).where("host != ''").select("host", "bad")), "host-reputation")
+    named = p.where("host != ''")
+    rep = store(reputations(named.join(marks, named["page_id"] == marks["its_page"]).select("host", "bad"), named.select("host").distinct()), "host-reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     limit = F.col("p0") + margin if max_bad is None else F.lit(max_bad)
-    own = F.when(F.col("lower") > limit, "block").otherwise("allow")
+    judged = F.lit(True) if max_bad is None else F.col("n") > 0
+    own = F.when(judged & (F.col("lower") > limit), "block").otherwise("allow")
     return p.join(rep, p["host"] == rep["rep_host"], "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_labelled"), F.col("lower").alias("bad_lower")
     )

@@ -146,6 +146,18 @@ def test_urls_are_judged_against_the_base_share(spark, times):
     assert got == {(h, "block" if h == "spam.d0.net" else "allow") for h in counts}
 
 
+def test_unlabelled_hosts_are_judged_by_their_prior(spark):
+    counts = {f"h{k}.bad.net": (40, 38) for k in range(4)} | {f"h{k}.good.org": (40, 2) for k in range(12)}
+    pages = [(f"http://{h}/x", int(i < b)) for h, (n, b) in counts.items() for i in range(n)]
+    marks = spark.createDataFrame([(i, None, b) for i, (_, b) in enumerate(pages)], "doc_id long, quality int, toxic int")
+    pages += [(f"http://{h}/x", None) for h in ("new.bad.net", "new.good.org", "new.other.org", "new.other.info")]
+    p = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(pages)], "page_id long, url string")
+    found = url_filter.url_verdicts(p, marks).where("n_labelled = 0").collect()
+    assert {r["host"]: r["verdict"] for r in found} == {"new.bad.net": "block", "new.good.org": "allow", "new.other.org": "allow", "new.other.info": "allow"}
+    assert all(r["bad_lower"] is not None for r in found)
+    assert {r["verdict"] for r in url_filter.url_verdicts(p, marks.limit(0)).collect()} == {"allow"}
+
+
 def test_urls_without_spread_stay_allowed(spark):
     # hosts that don't differ: the prior's weight is at its most, and a base share above 0.2 blocks nobody
     pages = [(f"http://h{k}.d{k % 3}.net/x", int(i % 10 < 3)) for k in range(12) for i in range(200)]
