@@ -184,6 +184,15 @@ def random_search(train: DataFrame, features: Sequence[str], key: str, **options
     return search(train, features, key, **options)[0]
 
 
+def search_report(train: DataFrame, holdout: DataFrame, features: Sequence[str], key: str, label: str = "label", **options) -> list[dict]:
+    """The scores of ``search``; the best draw's has its model's accuracy on ``holdout``, the others' null."""
+    rows, model = search(train, features, key, label, **options)
+    pred = predict(model, holdout, features, keep=(label,))
+    score = pred.agg(F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()[0]
+    best = int(np.argmax([r["accuracy"] for r in rows]))
+    return [dict(r, holdout_accuracy=score if i == best else None) for i, r in enumerate(rows)]
+
+
 _SPLIT = re.compile(r"If \(feature (\d+) ")
 
 

@@ -659,10 +659,10 @@ def q_gbt_importance(spark, base):
 @register("param_search")
 def q_param_search(spark, base):
     df = document_frame(spark, base)
-    train = df.filter(F.col("split") == "train")
-    rows = boost.random_search(train, boost.TEXT_FEATURES, "doc_id", n_draws=4, folds=3, max_iter=10, seed=0)
+    train, holdout = [df.filter(F.col("split") == s) for s in ("train", "test")]
+    rows = boost.search_report(train, holdout, boost.TEXT_FEATURES, "doc_id", seed=0)
     return spark.createDataFrame(
-        rows, "max_depth int, colsample double, subsample double, step_size double, draw int, accuracy double"
+        rows, "max_depth int, colsample double, subsample double, step_size double, draw int, accuracy double, holdout_accuracy double"
     )
 
 

@@ -62,3 +62,11 @@ def test_draws_differ_and_search_returns_the_best_model(spark):
     top = max(rows, key=lambda r: r["accuracy"])
     assert best.getOrDefault("maxDepth") == top["max_depth"] and best.getOrDefault("stepSize") == top["step_size"]
     assert boost.predict(best, df, feats, keep=("k",)).count() == 300
+
+
+def test_search_report_has_the_best_models_holdout_score(spark):
+    df = _separable(spark).coalesce(2)
+    train, holdout = df.where("k < 200"), df.where("k >= 200")
+    rows = boost.search_report(train, holdout, ["a", "b", "c"], "k", n_draws=2, folds=2, max_iter=3, seed=3)
+    best = max(rows, key=lambda r: r["accuracy"])
+    assert 0.5 < best["holdout_accuracy"] <= 1 and sum(r["holdout_accuracy"] is not None for r in rows) == 1
