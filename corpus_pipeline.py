@@ -76,7 +76,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: BPE merges can't be said in SQL; tests hold run() against a brute-force version.
+#: BPE merges can't be said in SQL; no test calls run(), the operators have tests of their own.
 ORACLE_SQL = None
 
 
