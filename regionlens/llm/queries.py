@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from regionlens.llm.bpe import encode_decode
 from regionlens.llm.decontamination import contaminated
+from regionlens.llm.filter_audit import audit_filters
 from regionlens.llm.line_dedup import dedup_lines
 from regionlens.llm.near_dedup import near_groups
+from regionlens.llm.periodic_runs import periodic_runs, planted, run_digest
 from regionlens.llm.quality_rules import quality_rules
 from regionlens.llm.sharding import balanced_shards
+from regionlens.llm.source_mix import mix_sources
 from regionlens.llm.suffix_dedup import dedup_substrings
 from regionlens.llm.token_counts import token_counts
 from regionlens.llm.url_filter import MAX_BAD, url_verdicts
@@ -77,7 +80,25 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_suffix_dedup, op3_near_dedup, op4_url_filter, op4_url_reputation, op5_quality_rules, op6_token_counts, op7_line_dedup, op8_sharding, op9_decontamination, op10_bpe)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(load(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(periodic_runs(load(spark, sf_dir, "documents"), rewrite=planted))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc, op2_suffix_dedup, op3_near_dedup, op4_url_filter, op4_url_reputation, op5_quality_rules, op6_token_counts, op7_line_dedup,
+        op8_sharding, op9_decontamination, op10_bpe, op11_filter_audit, op12_source_mix, op13_periodic_runs,
+    )
+}
 
 #: Words of a text: maximal runs of anything but space and \\x09-\\x0D.
 _WORDS = "list_filter(regexp_split_to_array(coalesce({t}, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')"
@@ -131,6 +152,39 @@ FROM s i JOIN s d ON i.s = d.s AND i.kind = 'i' AND d.kind = 'd' JOIN n ON n.r =
 GROUP BY d.id, d.r, i.id, i.r HAVING 100 * count(*) >= 80 * any_value(n.n)""",
 }
 
+ORACLE_SQL["op11_filter_audit"] = f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, {_WORDS.format(t="text")} AS w FROM documents),
+first AS (SELECT t, min(doc_id) AS least FROM d GROUP BY t),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (SELECT d.part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+  || (CASE WHEN 100 * (length(d.t) - length(regexp_replace(d.t, '[A-Z]', '', 'g'))) > 2 * length(d.t) THEN 'C' ELSE '' END)
+  || (CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN coalesce(d.doc_id > least, false) THEN 'E' ELSE '' END) AS fails
+  FROM d JOIN first ON d.t = first.t LEFT JOIN marks ON d.doc_id = marks.doc_id),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY part, fails),
+o AS (SELECT '' AS filter_order UNION ALL SELECT filter_order || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) AS v(x) WHERE strpos(filter_order, x) = 0 AND length(filter_order) < 5),
+s AS (SELECT filter_order, k AS step, substr(filter_order, k, 1) AS x, left(filter_order, k - 1) AS before FROM o, (SELECT unnest(range(1, 6))::INT AS k) WHERE length(filter_order) = 5),
+m AS (SELECT part, filter_order, step, x, n, good, toxic, fails, strpos(fails, x) > 0 AS bad, translate(fails, before, '') <> fails AS gone FROM c, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (WHERE NOT bad AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (WHERE bad AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = x), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE bad AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(sum(n) FILTER (WHERE bad AND NOT gone)) OVER (PARTITION BY part, x), 0)::BIGINT AS shapley
+FROM m GROUP BY part, filter_order, step, x"""
+
+_PART = "coalesce(length({0}) || ':' || {0}, '-')"
+ORACLE_SQL["op12_source_mix"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, len({_WORDS.format(t="text")})::BIGINT AS size,
+  ('0x' || substr(md5({_PART.format("doc_id::VARCHAR")} || {_PART.format("source")} || {_PART.format("md5(text)")}), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS w FROM d GROUP BY source),
+l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY source_size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level, source_size / w AS ratio FROM s),
+u AS (SELECT arg_min(level, ratio) AS level FROM l WHERE w * level <= 2 * source_size),
+t AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, w * coalesce((SELECT level FROM u), 0)) AS target FROM s),
+k AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM t),
+c AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY h, r) AS upto
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN rest > 0 AND upto - size < rest AND (rest - (upto - size)) * 2 >= size THEN 1 ELSE 0 END))::BIGINT AS taken FROM c"""
+
 _URL = """
 WITH raw AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM raw),
