@@ -9,12 +9,11 @@ features of ``documents``; growth curves use the cumulative ``events`` series.
 
 from __future__ import annotations
 
-from pyspark.ml.classification import GBTClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlens.functions.scalar import log10_1p, log10_positive, round_to
-from regionlens.operators import aggregates, boost, features, growth, metrics, pcr, stepwise
+from regionlens.operators import aggregates, boost, features, growth, metrics, newton_trees, pcr, stepwise
 from regionlens.plans.registry import _SERIES_SQL, register
 from regionlens.session import cut_lineage
 from regionlens.sources import standins
@@ -599,9 +598,6 @@ def q_pcr_holdout(spark, base, n_pc: int = 15):
 
 
 # ============================================================================ boosted trees
-GBT_ITER = 500
-
-
 def document_frame(spark: SparkSession, base: str, target: str = "quality") -> DataFrame:
     """Labelled documents with text-shape features and the 0.33 hash split.
 
@@ -614,19 +610,17 @@ def document_frame(spark: SparkSession, base: str, target: str = "quality") -> D
     return cut_lineage(features.hash_split(f, "doc_id", 0.33, 7))
 
 
-#: Models by (application, input, target): prediction, metrics and importance share one training.
-_MODELS: dict[tuple[str, str, str], GBTClassificationModel] = {}
-
-
 def _gbt_model(spark, base, target: str = "quality"):
+    """The labelled documents and the model of their training rows: all 500 rounds."""
     df = document_frame(spark, base, target)
-    key = (spark.sparkContext.applicationId, base, target)
-    if key not in _MODELS:
-        _MODELS[key] = boost.fit(
-            df.filter(F.col("split") == "train"), boost.TEXT_FEATURES, "doc_id", validation_fraction=0.2, seed=0,
-            max_iter=GBT_ITER, max_depth=6, step_size=0.1, subsample=0.8, colsample=0.8,
-        )
-    return df, _MODELS[key]
+    params = boost.INFECTION_PARAMS if target == "toxic" else boost.FATALITY_PARAMS
+    return df, boost.fit(df.filter(F.col("split") == "train"), boost.TEXT_FEATURES, "doc_id", **params)
+
+
+def _gbt_scores(spark, base, target: str = "quality") -> DataFrame:
+    df, model = _gbt_model(spark, base, target)
+    pred = boost.predict(model, df.filter(F.col("split") == "test"), boost.TEXT_FEATURES, keep=("label",))
+    return metrics.classifier_metrics(pred, "label", "prediction").withColumn("n_trees", F.lit(len(model.trees)))
 
 
 @register("gbt_predict")
@@ -638,16 +632,12 @@ def q_gbt_predict(spark, base):
 
 @register("gbt_metrics")
 def q_gbt_metrics(spark, base):
-    df, model = _gbt_model(spark, base)
-    pred = boost.predict(model, df.filter(F.col("split") == "test"), boost.TEXT_FEATURES, keep=("label",))
-    return metrics.classifier_metrics(pred, "label", "prediction")
+    return _gbt_scores(spark, base)
 
 
 @register("gbt_metrics_toxic")
 def q_gbt_metrics_toxic(spark, base):
-    df, model = _gbt_model(spark, base, "toxic")
-    pred = boost.predict(model, df.filter(F.col("split") == "test"), boost.TEXT_FEATURES, keep=("label",))
-    return metrics.classifier_metrics(pred, "label", "prediction")
+    return _gbt_scores(spark, base, "toxic")
 
 
 @register("gbt_importance")
@@ -656,13 +646,67 @@ def q_gbt_importance(spark, base):
     return spark.createDataFrame(boost.importance(model, boost.TEXT_FEATURES), "feature string, gain double, weight int")
 
 
+@register("gbt_rounds")
+def q_gbt_rounds(spark, base):
+    """Early stopping at every step size of the search: log-loss of the watched slice by
+    round, and whether the model keeps the round."""
+    df = document_frame(spark, base)
+    specs = [boost.spec(step_size=eta, max_depth=6, subsample=0.8, colsample=0.8, patience=boost.PATIENCE) for eta in boost.eta_grid()]
+    train = df.filter(F.col("split") == "train")
+    got = newton_trees.train(spark, train, boost.TEXT_FEATURES, "doc_id", ["label"], specs, checked=boost.validation_slice("doc_id", 0.2, 0))
+    rows = [(t.spec.step_size, k + 1, loss, k < len(t.trees)) for t in got for k, loss in enumerate(t.losses)]
+    return spark.createDataFrame(rows, "step_size double, round int, log_loss double, kept boolean")
+
+
+TREE_FEATURES = ("l_quantity", "l_discount", "l_tax", "l_linenumber")
+TREE_DEPTH = 3
+
+
+def _first_tree_sql() -> str:
+    """A tree from margin 0 (gradient 1/2 - y, Hessian 1/4), level by level."""
+    score = lambda g, h: f"{g} * {g} / ({h} + 1)"
+    sql = ["WITH r0 AS (SELECT 1::BIGINT AS node, 0.5::DOUBLE - (l_returnflag = 'R')::INT AS g, " + ", ".join(f"{c}::DOUBLE AS {c}" for c in TREE_FEATURES) + " FROM lineitem WHERE l_returnflag IS NOT NULL)"]
+    made = []
+    for d in range(TREE_DEPTH + 1):
+        sql.append(f"t{d} AS (SELECT node, sum(g) AS g, count(*) * 0.25::DOUBLE AS h FROM r{d} GROUP BY node)")
+        if d == TREE_DEPTH:
+            made.append(f"SELECT node, NULL AS feature, NULL::DOUBLE AS threshold, NULL::DOUBLE AS gain, -0.3::DOUBLE * g / (h + 1) AS weight FROM t{d}")
+            break
+        values = " UNION ALL ".join(f"SELECT node, {k} AS f, {c} AS v, sum(g) AS g, count(*) * 0.25::DOUBLE AS h FROM r{d} GROUP BY node, {c}" for k, c in enumerate(TREE_FEATURES))
+        sql.append(f"v{d} AS ({values})")
+        sql.append(
+            f"c{d} AS (SELECT node, f, v, sum(g) OVER w AS gl, sum(h) OVER w AS hl FROM v{d} WINDOW w AS (PARTITION BY node, f ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"
+        )
+        gain = f"({score('gl', 'hl')} + {score('(t.g - gl)', '(t.h - hl)')} - {score('t.g', 't.h')})"
+        sql.append(
+            f"s{d} AS (SELECT * FROM (SELECT c.node, f, v, {gain} AS gain, row_number() OVER (PARTITION BY c.node ORDER BY {gain} DESC, f, v) AS k"
+            f" FROM c{d} c JOIN t{d} t ON c.node = t.node WHERE hl >= 1 AND t.h - hl >= 1) WHERE k = 1 AND gain > 1e-6)"
+        )
+        name = " ".join(f"WHEN {k} THEN '{c}'" for k, c in enumerate(TREE_FEATURES))
+        value = " ".join(f"WHEN {k} THEN {c}" for k, c in enumerate(TREE_FEATURES))
+        made.append(f"SELECT t.node, CASE f {name} END AS feature, v AS threshold, gain, -0.3::DOUBLE * t.g / (t.h + 1) AS weight FROM t{d} t LEFT JOIN s{d} s ON t.node = s.node")
+        sql.append(f"r{d + 1} AS (SELECT 2 * r.node + (CASE s.f {value} END >= s.v)::INT AS node, g, {', '.join(TREE_FEATURES)} FROM r{d} r JOIN s{d} s ON r.node = s.node)")
+    rounded = "round_even({0} * 1e6, 0) / 1e6 AS {0}"
+    return ",\n".join(sql) + f"\nSELECT node, feature, threshold, {rounded.format('gain')}, {rounded.format('weight')} FROM (\n" + "\nUNION ALL\n".join(made) + ")"
+
+
+@register("gbt_first_tree", _first_tree_sql())
+def q_gbt_first_tree(spark, base):
+    """The first tree for returned line items, over every row of the table."""
+    li = load(spark, base, "lineitem").filter(F.col("l_returnflag").isNotNull())
+    rows = li.select(F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), *TREE_FEATURES, (F.col("l_returnflag") == "R").cast("double").alias("label"))
+    model = boost.fit(rows, TREE_FEATURES, "id", max_iter=1, max_depth=TREE_DEPTH, step_size=0.3)
+    tree = spark.createDataFrame(boost.tree_rows(model, 0), "node long, feature string, threshold double, gain double, weight double")
+    return tree.select("node", "feature", "threshold", round_to("gain", 6).alias("gain"), round_to("weight", 6).alias("weight"))
+
+
 @register("param_search")
 def q_param_search(spark, base):
     df = document_frame(spark, base)
     train, holdout = [df.filter(F.col("split") == s) for s in ("train", "test")]
     rows = boost.search_report(train, holdout, boost.TEXT_FEATURES, "doc_id", seed=0)
     return spark.createDataFrame(
-        rows, "max_depth int, colsample double, subsample double, step_size double, draw int, accuracy double, holdout_accuracy double"
+        rows, "max_depth int, colsample double, subsample double, step_size double, draw int, accuracy double, n_trees double, holdout_accuracy double"
     )
 
 
@@ -695,13 +739,11 @@ def q_panel_stepwise_summary(spark, base):
 @register("panel_classifiers")
 def q_panel_classifiers(spark, base):
     """Holdout metrics of the fatality and the infection classifier."""
-    from regionlens.plans.panel_models import FATALITY_THRESHOLD, INFECTION_THRESHOLD, build_panel, classifier_report
+    from regionlens.plans.panel_models import FATALITY_THRESHOLD, INFECTION_THRESHOLD, build_panel, classifier_reports
 
-    panel = build_panel(spark, base)
-    fatality, infection = [
-        classifier_report(panel, rate, threshold, max_iter=GBT_ITER, max_depth=6)["metrics"].select(F.lit(rate).alias("rate"), "*")
-        for rate, threshold in (("Fatality", FATALITY_THRESHOLD), ("InfectionRate", INFECTION_THRESHOLD))
-    ]
+    models = {"Fatality": (FATALITY_THRESHOLD, boost.FATALITY_PARAMS), "InfectionRate": (INFECTION_THRESHOLD, boost.INFECTION_PARAMS)}
+    report = classifier_reports(build_panel(spark, base), models)
+    fatality, infection = [report[rate]["metrics"].select(F.lit(rate).alias("rate"), "*") for rate in models]
     return fatality.unionByName(infection)
 
 

@@ -66,18 +66,29 @@ def pcr_report(spark: SparkSession, panel: Panel, n_pc: int | None = None) -> di
     }
 
 
-def classifier_report(panel: Panel, rate: str, threshold: float, max_iter: int = 500, **params) -> dict:
-    """Boosted trees for ``rate >= threshold`` with a 0.33 hash holdout."""
-    df = panel.frame.withColumn("label", threshold_label(rate, threshold).cast("double"))
+def classifier_reports(panel: Panel, models: dict[str, tuple[float, dict]]) -> dict[str, dict]:
+    """Boosted trees for ``rate >= threshold`` of each of ``models`` (rate: threshold and
+    parameters) with a 0.33 hash holdout; the models are grown together."""
+    label = {rate: f"label_{k}" for k, rate in enumerate(models)}
+    df = panel.frame.withColumns({label[r]: threshold_label(r, t).cast("double") for r, (t, _) in models.items()})
     df = features.hash_split(df, "FIPS", 0.33, 7)
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
-    model = boost.fit(train, panel.features, "FIPS", validation_fraction=0.2, max_iter=max_iter, **params)
-    pred = boost.predict(model, test, panel.features, keep=("FIPS", "label"))
-    return {
-        "predictions": pred,
-        "metrics": metrics.classifier_metrics(pred),
-        "importance": boost.importance(model, panel.features),
-    }
+    fitted = boost.fit_each(train, panel.features, "FIPS", {label[r]: params for r, (_, params) in models.items()})
+    out = {}
+    for rate in models:
+        model = fitted[label[rate]]
+        pred = boost.predict(model, test, panel.features, keep=("FIPS", label[rate]))
+        out[rate] = {
+            "predictions": pred,
+            "metrics": metrics.classifier_metrics(pred, label[rate]).withColumn("n_trees", F.lit(len(model.trees))),
+            "importance": boost.importance(model, panel.features),
+        }
+    return out
+
+
+def classifier_report(panel: Panel, rate: str, threshold: float, **params) -> dict:
+    """One of ``classifier_reports``."""
+    return classifier_reports(panel, {rate: (threshold, params)})[rate]
 
 
 def stepwise_report(spark: SparkSession, panel: Panel, response: str = "Cases") -> dict:

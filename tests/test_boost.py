@@ -30,9 +30,6 @@ def test_gbt_beats_majority_and_importance(spark):
 
 
 def test_search_reproducible(spark):
-    # same seed and same input -> same draws and scores. (MLlib seeds its row
-    # subsampling per partition, so scores may move if the input is repartitioned;
-    # the draws and the hash folds do not.)
     df = _separable(spark).coalesce(2)
     a = boost.random_search(df, ["a", "b", "c"], "k", n_draws=2, folds=2, max_iter=3, seed=3)
     b = boost.random_search(df, ["a", "b", "c"], "k", n_draws=2, folds=2, max_iter=3, seed=3)
@@ -60,7 +57,7 @@ def test_draws_differ_and_search_returns_the_best_model(spark):
     feats = ["a", "b", "c"]
     rows, best = boost.search(df, feats, "k", n_draws=2, folds=2, max_iter=3, seed=3)
     top = max(rows, key=lambda r: r["accuracy"])
-    assert best.getOrDefault("maxDepth") == top["max_depth"] and best.getOrDefault("stepSize") == top["step_size"]
+    assert best.spec.max_depth == top["max_depth"] and best.spec.step_size == top["step_size"]
     assert boost.predict(best, df, feats, keep=("k",)).count() == 300
 
 
