@@ -13,12 +13,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regionlens.functions.scalar import clamp, log10_positive
-from regionlens.session import ship_package
+from regionlens.operators.blocks import complete_rows, cross_products
 
 
 def _stack(wide: DataFrame, names: Sequence[str], stats: Sequence[str], label: str = "column") -> DataFrame:
@@ -94,14 +93,15 @@ def collect_stats(stats: DataFrame) -> dict[str, dict[str, float]]:
 def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "arrow") -> DataFrame:
     """Cross-product sums ``Σ x_i x_j`` for i <= j as ``(i, j, col_i, col_j, value)``.
 
-    Every batch adds its X^T X with NumPy to one matrix per task; sums by position merge them. ``method="sql"`` makes the
-    same sums as p(p+1)/2 SQL aggregates, for comparison on few columns. Rows with a
-    null or NaN in any column are left out, as a regression would leave them out.
+    Every task adds its batches' X^T X to one matrix, a binary row; a tree of tasks adds
+    those up (``blocks.cross_products``). ``method="sql"`` makes the same sums as
+    p(p+1)/2 SQL aggregates, for comparison on few columns. Rows with a null or NaN in any
+    column are left out, as a regression would leave them out.
     """
     cols = list(columns)
     p = len(cols)
-    clean = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{k}") for k, c in enumerate(cols)]).na.drop()
     if method == "sql":
+        clean = complete_rows(df, cols)
         aggs = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"v__{i}_{j}") for i in range(p) for j in range(i, p)]
         wide = clean.agg(*aggs)
         parts = []
@@ -110,18 +110,9 @@ def gram_matrix(df: DataFrame, columns: Sequence[str], method: str = "arrow") ->
                 parts += [str(i), str(j), f"`v__{i}_{j}`"]
         long = wide.selectExpr(f"stack({p * (p + 1) // 2}, {', '.join(parts)}) as (i, j, value)")
     else:
-
-        iu = np.triu_indices(p)
-
-        def partial(batches):
-            acc = np.zeros((p, p))
-            for b in batches:
-                x = b.to_numpy(dtype=float)
-                acc += x.T @ x
-            yield pd.DataFrame({"i": iu[0].astype("int32"), "j": iu[1].astype("int32"), "value": acc[iu]})
-
-        ship_package(df.sparkSession)
-        long = clean.mapInPandas(partial, "i int, j int, value double").groupBy("i", "j").agg(F.sum("value").alias("value"))
+        g, _ = cross_products(df, cols)
+        rows = [(i, j, float(g[i, j])) for i in range(p) for j in range(i, p)]
+        long = df.sparkSession.createDataFrame(rows, "i int, j int, value double")
     names = F.array(*[F.lit(c) for c in cols])
     return long.select(
         F.col("i").cast("int").alias("i"),

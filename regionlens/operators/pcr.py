@@ -5,8 +5,8 @@ eigen-decomposed on the driver (p x p, as MLlib ``PCA`` does; that estimator
 is kept as ``method="mllib"``); scores are an Arrow-batched
 matrix product inside ``mapInPandas`` (a k-by-p native projection would not fit
 in generated code for wide inputs). The R^2 curve
-for the first 1..k components comes from one Gram pass over
-``[scores, y, 1]`` plus k small solves.
+for the first 1..k components comes from one QR pass over ``[scores, y, 1]``, whose
+columns are swept out of y one after another.
 
 Components have arbitrary sign; each is flipped so that its largest-magnitude
 entry is positive, which makes scores and loadings reproducible.
@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.operators.aggregates import collect_stats, column_moments, gram_matrix, gram_to_numpy
+from regionlens.operators.aggregates import collect_stats, column_moments
+from regionlens.operators.blocks import cross_products
 from regionlens.operators.features import assemble
-from regionlens.operators.stepwise import Gram, regression_gram, solve_subset
+from regionlens.operators.stepwise import nested_fits, regression_gram, solve_subset
 from regionlens.session import ship_package
 
 
@@ -62,8 +63,8 @@ def covariance(df: DataFrame, columns: Sequence[str]) -> tuple[np.ndarray, np.nd
     cols = list(columns)
     p = len(cols)
     mean, frame = centred(df, cols)
-    g = gram_to_numpy(gram_matrix(frame.withColumn("__one__", F.lit(1.0)), cols + ["__one__"]), p + 1)
-    n, rest = g[p, p], g[:p, p]
+    g, n = cross_products(frame.withColumn("__one__", F.lit(1.0)), cols + ["__one__"])
+    rest = g[:p, p]
     return mean, (g[:p, :p] - np.outer(rest, rest) / n) / (n - 1)
 
 
@@ -145,20 +146,13 @@ def loadings_frame(spark: SparkSession, fit: PcaFit) -> DataFrame:
 
 def r2_curve(scored: DataFrame, y: str, k: int) -> list[dict]:
     """Centred R^2 of y on the first i components (with intercept), i = 1..k."""
-    names = [f"pc{j + 1}" for j in range(k)]
-    gram: Gram = regression_gram(scored, names, y)
-    n = gram.n
-    sy = float(gram.g[gram.p, gram.p + 1])
-    tss = gram.yty - sy * sy / n
-    out = []
-    for i in range(1, k + 1):
-        _, rss, rank = solve_subset(gram, list(range(i)), intercept=True)
-        out.append({"components": i, "r2": 1.0 - rss / tss if tss > 0 else float("nan"), "rank": rank})
-    return out
+    gram = regression_gram(scored, [f"pc{j + 1}" for j in range(k)], y)
+    rss, rank = nested_fits(gram)
+    return [{"components": i, "r2": 1.0 - rss[i] / rss[0] if rss[0] > 0 else float("nan"), "rank": rank[i]} for i in range(1, k + 1)]
 
 
 def fit_linear(scored: DataFrame, names: Sequence[str], y: str) -> tuple[np.ndarray, float]:
-    """OLS with intercept from one Gram pass: (coefficients, intercept)."""
+    """OLS with intercept from one QR pass: (coefficients, intercept)."""
     gram = regression_gram(scored, list(names), y)
     beta, _, _ = solve_subset(gram, list(range(len(names))), intercept=True)
     return beta[:-1], float(beta[-1])

@@ -1,11 +1,11 @@
-"""No-intercept OLS and forward stepwise selection (OP-29, 70-78).
+"""No-intercept OLS and forward stepwise selection (OP-70..78).
 
-One Spark pass builds the cross-product matrix of ``[x_1..x_p, y, 1]``
-(``aggregates.gram_matrix``: partial sums per task, one row merged). Every
-candidate model of the forward path is then solved from that (p+2)^2 matrix
-on the driver -- the reference refits on all rows p(p+1)/2 times; here the data
-is read once. Singular designs are handled with a rank-revealing solve, and
-the rank (not the count) enters the criteria.
+One Spark pass builds the triangular factor R of ``[x_1..x_p, y, 1]`` (``blocks.tall_qr``:
+a QR per task, factors merged by a tree). Every model is solved from that (p+2)^2 matrix
+on the driver -- the reference refits on all rows p(p+1)/2 times; here the data is read
+once. R holds the columns' inner products without squaring them, so a residual sum of
+squares far below the sum of squares is right, too. Singular designs are handled with a
+rank-revealing solve, and the rank (not the count) enters the criteria.
 
 Criteria for a model of rank k on n rows, without intercept (R^2 uncentred):
 R^2 = 1 - RSS/sum(y^2); adjR^2 = 1 - n/(n-k) (1 - R^2);
@@ -17,66 +17,96 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regionlens.operators.aggregates import gram_matrix, gram_to_numpy
-from regionlens.session import ship_package
+from regionlens.operators.blocks import tall_qr
+from regionlens.operators.leaps import DEPENDENT, leaps
 
 ONE = "__one__"
 
 
 @dataclass
 class Gram:
-    """Cross products of ``names + [y, 1]``; ``n`` rows."""
+    """Triangular factor of ``names + [y, 1]`` over ``n`` rows, and its cross products."""
 
-    g: np.ndarray
+    r: np.ndarray
     names: list[str]
     y: str
+    n: float
+
+    @property
+    def g(self) -> np.ndarray:
+        return self.r.T @ self.r
 
     @property
     def p(self) -> int:
         return len(self.names)
 
     @property
-    def n(self) -> float:
-        return float(self.g[-1, -1])
+    def response(self) -> np.ndarray:
+        return self.r[:, self.p]
 
     @property
     def yty(self) -> float:
-        return float(self.g[self.p, self.p])
+        return float(self.response @ self.response)
 
 
 def regression_gram(df: DataFrame, features: Sequence[str], y: str) -> Gram:
     cols = list(features) + [y]
     frame = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in cols], F.lit(1.0).alias(ONE))
-    g = gram_to_numpy(gram_matrix(frame, cols + [ONE]), len(cols) + 1)
-    return Gram(g, list(features), y)
+    r, n = tall_qr(frame, cols + [ONE])
+    return Gram(r, list(features), y, float(n))
+
+
+def _solved(gram: Gram, cols: Sequence[int]) -> tuple[np.ndarray, float, int, np.ndarray]:
+    """Coefficients, RSS, rank and (pseudo-)inverse cross products for columns of R."""
+    a, y = gram.r[:, list(cols)], gram.response
+    # unit columns for a better-conditioned rank decision
+    d = np.linalg.norm(a, axis=0)
+    d = np.where(d > 0, d, 1.0)
+    u, s, vt = np.linalg.svd(a / d, full_matrices=False)
+    keep = s > DEPENDENT * (s[0] if len(s) else 1.0)
+    u, s, vt = u[:, keep], s[keep], vt[keep]
+    along = u.T @ y
+    rest = y - u @ along
+    rest -= u @ (u.T @ rest)
+    return (vt.T @ (along / s)) / d, float(rest @ rest), int(keep.sum()), ((vt.T / s**2) @ vt) / np.outer(d, d)
 
 
 def solve_subset(gram: Gram, idx: Sequence[int], intercept: bool = False) -> tuple[np.ndarray, float, int]:
     """Coefficients, RSS and rank of y on the columns ``idx`` (optionally + 1)."""
     cols = list(idx) + ([gram.p + 1] if intercept else [])
-    xtx = gram.g[np.ix_(cols, cols)]
-    xty = gram.g[cols, gram.p]
     if not cols:
         return np.zeros(0), gram.yty, 0
-    # scale to unit diagonal for a better-conditioned rank decision
-    d = np.sqrt(np.where(np.diag(xtx) > 0, np.diag(xtx), 1.0))
-    a = xtx / np.outer(d, d)
-    tol = max(a.shape) * np.finfo(float).eps * max(np.abs(a).max(), 1.0) * 1e4
-    w, v = np.linalg.eigh(a)
-    keep = w > tol
-    rank = int(keep.sum())
-    inv = (v[:, keep] / w[keep]) @ v[:, keep].T
-    beta = (inv @ (xty / d)) / d
-    rss = float(gram.yty - 2 * beta @ xty + beta @ xtx @ beta)
-    return beta, max(rss, 0.0), rank
+    return _solved(gram, cols)[:3]
+
+
+def nested_fits(gram: Gram) -> tuple[list[float], list[int]]:
+    """(RSS, rank) of y on 1, on 1 and the first column, on 1 and the first two, ...: the
+    columns are made orthogonal in turn and taken out of y."""
+    rest, w = gram.response.copy(), gram.r.copy()
+    out, rank = [], 0
+    for c in [gram.p + 1, *range(gram.p)]:
+        rank += _take_out(w, rest, c, np.linalg.norm(gram.r[:, c]))
+        out.append((float(rest @ rest), rank))
+    return [x[0] for x in out], [x[1] for x in out]
+
+
+def _take_out(w: np.ndarray, rest: np.ndarray, c: int, norm: float) -> int:
+    """Sweep column c of ``w`` out of all columns and of ``rest``, in place; 1 if it was
+    independent of those swept before, else 0 and nothing changes."""
+    size = np.linalg.norm(w[:, c])
+    if norm == 0 or size <= DEPENDENT * norm:
+        return 0
+    q = w[:, c] / size
+    for _ in range(2):  # twice: what rounding left the first time
+        w -= np.outer(q, q @ w)
+        rest -= q * (q @ rest)
+    return 1
 
 
 def criteria(rss: float, n: float, k: int, yty: float) -> dict[str, float]:
@@ -88,29 +118,32 @@ def criteria(rss: float, n: float, k: int, yty: float) -> dict[str, float]:
 
 def forward_path(gram: Gram) -> list[dict]:
     """Sizes 1..rank: at each step add the predictor with the lowest RSS (first in
-    column order on ties) of those that raise the rank; the path ends when none does."""
+    column order on ties) of those that raise the rank; the path ends when none does.
+
+    The columns not yet chosen are kept orthogonal to the chosen ones: a candidate lowers
+    the RSS by (w.rest)^2 / w.w, and a step sweeps the chosen one out of all others in place."""
     chosen: list[int] = []
     path = []
-    remaining = list(range(gram.p))
+    w, rest = gram.r[:, : gram.p].copy(), gram.response.copy()
+    norms = np.linalg.norm(w, axis=0)
     for size in range(1, gram.p + 1):
-        best = None
-        for c in remaining:
-            _, rss, rank = solve_subset(gram, chosen + [c])
-            if rank == size and (best is None or rss < best[1]):
-                best = (c, rss, rank)
-        if best is None:
+        own = np.linalg.norm(w, axis=0)
+        able = own > DEPENDENT * norms
+        able[chosen] = False
+        if not able.any():
             break
-        c, rss, rank = best
+        gains = np.where(able, (rest @ w / np.where(able, own, 1.0)) ** 2, -1.0)
+        c = int(gains.argmax())
+        _take_out(w, rest, c, norms[c])
         chosen.append(c)
-        remaining.remove(c)
         row = {
             "size": size,
             "added": gram.names[c],
             "predictors": [gram.names[i] for i in chosen],
-            "rss": rss,
-            "rank": rank,
+            "rss": float(rest @ rest),
+            "rank": size,
         }
-        row.update(criteria(rss, gram.n, rank, gram.yty))
+        row.update(criteria(row["rss"], gram.n, size, gram.yty))
         path.append(row)
     return path
 
@@ -182,37 +215,23 @@ def unrank_combination(idx: int, p: int, k: int) -> list[int]:
 
 
 def best_subset(spark: SparkSession, gram: Gram, k: int) -> DataFrame:
-    """Lowest-RSS model with exactly k predictors over all C(p, k) subsets.
-
-    The subsets are numbered by ``spark.range`` and unranked inside
-    ``mapInPandas`` tasks against a broadcast Gram matrix, so the enumeration
-    is spread over the cluster; only the best row per task is kept before the
-    final ``orderBy(...).limit(1)``.
-    """
-    total = math.comb(gram.p, k)
-    bg = spark.sparkContext.broadcast((gram.g, gram.names, gram.y))
-    schema = "idx long, predictors string, rss double, rank int"
-
-    def score(batches):
-        g, names, y = bg.value
-        gm = Gram(g, names, y)
-        best = None
-        for b in batches:
-            for i in b["id"].to_numpy():
-                sub = unrank_combination(int(i), gm.p, k)
-                _, rss, rank = solve_subset(gm, sub)
-                if best is None or (rss, i) < (best[2], best[0]):
-                    best = (int(i), ",".join(names[j] for j in sub), rss, rank)
-        if best is not None:
-            yield pd.DataFrame([best], columns=["idx", "predictors", "rss", "rank"])
-
-    ship_package(spark)
-    return spark.range(total).mapInPandas(score, schema).orderBy("rss", "idx").limit(1)
+    """Lowest-RSS model with exactly k predictors, by leaps and bounds over Spark tasks.
+
+    The forward path gives the first bound. Where fewer than k columns are independent,
+    the path's columns are filled up with the first others, which change nothing."""
+    path = forward_path(gram)
+    sub = [gram.names.index(c) for c in path[min(k, len(path)) - 1]["predictors"]] if path and k else []
+    if k <= len(path) and k:
+        sub = leaps(spark, gram.r[:, : gram.p], gram.response, k, path[k - 1]["rss"], sub)
+    sub = sorted(sub + [i for i in range(gram.p) if i not in sub][: k - len(sub)])
+    _, rss, rank = solve_subset(gram, sub)
+    return spark.createDataFrame([(",".join(gram.names[i] for i in sub), rss, rank)], "predictors string, rss double, rank int")
 
 
 def all_subsets_small(gram: Gram, k: int) -> list[tuple[list[str], float]]:
-    """Driver-side brute force for tests."""
-    return [([gram.names[i] for i in s], solve_subset(gram, list(s))[1]) for s in combinations(range(gram.p), k)]
+    """Driver-side enumeration for tests."""
+    subsets = [unrank_combination(i, gram.p, k) for i in range(math.comb(gram.p, k))]
+    return [([gram.names[i] for i in s], solve_subset(gram, s)[1]) for s in subsets]
 
 
 # --------------------------------------------------------------------------- coefficient table
@@ -265,13 +284,12 @@ def t_two_sided_p(t: float, df: float) -> float:
 def ols_summary(gram: Gram, predictors: Sequence[str]) -> list[dict]:
     """coef, std err, t and p per predictor of a full-rank no-intercept model."""
     idx = [gram.names.index(c) for c in predictors]
-    beta, rss, rank = solve_subset(gram, idx)
+    beta, rss, rank, inv = _solved(gram, idx)
     if rank < len(idx):
         raise ValueError("design is rank deficient; drop dependent columns first")
     n = gram.n
     dof = n - rank
     sigma2 = rss / dof
-    inv = np.linalg.inv(gram.g[np.ix_(idx, idx)])
     out = []
     for j, c in enumerate(predictors):
         se = math.sqrt(sigma2 * inv[j, j])
