@@ -6,16 +6,19 @@ Model: ``y(t) = a / (1 + n * exp(-t / tau))``.
   ``1/y[t+1] = q * (1/y[t]) + (1 - q) / a`` with ``q = exp(-1/tau)``, so a
   per-key linear regression of ``1/y`` on its lag gives ``q`` and the
   intercept ``b``: ``tau = -1/ln q``, ``a = (1 - q)/b``. Pure window + aggregate.
-* ``logistic_fit`` -- nonlinear least squares per key (Levenberg-Marquardt in
-  NumPy) inside ``applyInPandas``. Input is one row per (key, day), so a group
-  holds at most one row per date however skewed the raw events are; the groups
-  are spread over tasks by the shuffle on the key.
+* ``logistic_fit`` -- nonlinear least squares per key. A series becomes one row of
+  arrays (at most one point per date however skewed the raw events are), by the
+  partitioning on the key that it already has; a task fits all series of an Arrow batch
+  at once (``fit_batch``): Levenberg-Marquardt on (series, points) matrices with a damping
+  of each series' own, from several starts each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,81 +78,146 @@ def growth_summary(params: DataFrame, key: str) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- nonlinear fit
-def _curve(t, a, n, tau):
-    with np.errstate(over="ignore", invalid="ignore"):
-        return a / (1.0 + n * np.exp(-t / tau))
-
-
 #: Iterations of a fit; one that needs as many has status ``max_iter``.
 MAX_ITER = 500
+#: Cells (series x points) of the matrices of one vectorised fit.
+CELLS = 1 << 19
 
 
-def levenberg_marquardt(t: np.ndarray, y: np.ndarray, p0, max_iter: int = MAX_ITER, tol: float = 1e-15):
-    """Least squares in log-parameters (keeps a, n, tau > 0). Returns (params, rss, iters)."""
-    p = np.log(np.asarray(p0, dtype=float))
-    lam = 1e-3
-
-    def resid(lp):
-        a, n, tau = np.exp(lp)
-        return _curve(t, a, n, tau) - y
-
-    r = resid(p)
-    cost = float(r @ r)
-    if not np.isfinite(cost):
-        return None, np.inf, 0
-    it = 0
-    for it in range(1, max_iter + 1):
-        a, n, tau = np.exp(p)
-        with np.errstate(over="ignore", invalid="ignore"):
-            e = np.exp(-t / tau)
-            den = 1.0 + n * e
-            f = a / den
-            jac = np.column_stack([f, -a * n * e / den**2, -a * n * e * t / (tau * den**2)])
-        if not np.all(np.isfinite(jac)):
-            break
-        g = jac.T @ r
-        h = jac.T @ jac
-        improved = False
-        while lam < 1e16:
+def _model(t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(curve, n e^(-t/tau)) of every row of log-parameters ``p`` (rows, 3)."""
+    a, n, tau = np.exp(p).T[:, :, None]
+    with np.errstate(over="ignore", invalid="ignore"):
+        e = n * np.exp(-t / tau)
+        return a / (1.0 + e), e
+
+
+def levenberg_marquardt(t: np.ndarray, y: np.ndarray, used: np.ndarray, p0: np.ndarray, max_iter: int = MAX_ITER, tol: float = 1e-15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least squares in log-parameters (keeps a, n, tau > 0) of every row of ``t``, ``y``
+    (rows, points; ``used`` marks the points that count) from ``p0`` (rows, 3).
+
+    Returns (parameters, rss, iterations) by row. A step that doesn't lower a row's RSS
+    is tried again with ten times that row's damping; a row leaves when its RSS, its step
+    or its damping says so."""
+    p = np.log(p0)
+    with np.errstate(invalid="ignore", over="ignore"):
+        r = np.where(used, _model(t, p)[0] - y, 0.0)
+        cost = (r * r).sum(axis=1)
+    lam, iters = np.full(len(p), 1e-3), np.zeros(len(p), dtype=int)
+    live = np.flatnonzero(np.isfinite(cost))
+    cost[~np.isfinite(cost)] = np.inf
+    while len(live):
+        f, e = _model(t[live], p[live])
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            share = np.where(np.isfinite(e), e / (1.0 + e), 1.0)
+            slope = -f * share
+            jac = np.stack([f, slope, np.where(share > 0, slope * t[live] / np.exp(p[live, 2])[:, None], 0.0)], axis=2) * used[live][:, :, None]
+        sound = np.isfinite(jac).all(axis=(1, 2))
+        live, jac = live[sound], jac[sound]
+        g = np.einsum("rtk,rt->rk", jac, r[live])
+        h = np.einsum("rtk,rtm->rkm", jac, jac)
+        diagonal = np.einsum("rkk->rk", h) + 1e-18
+        iters[live] += 1
+        trying, tried, last = np.arange(len(live)), np.zeros(len(live), dtype=bool), np.zeros(len(live))
+        step = np.zeros((len(live), 3))
+        while len(trying):
+            at = live[trying]
+            damped = h[trying] + lam[at, None, None] * diagonal[trying][:, :, None] * np.eye(3)
             try:
-                step = np.linalg.solve(h + lam * np.diag(np.diag(h) + 1e-18), -g)
+                new = np.linalg.solve(damped, -g[trying][:, :, None])[:, :, 0]
             except np.linalg.LinAlgError:
-                lam *= 10
-                continue
-            pn = p + step
-            rn = resid(pn)
-            cn = float(rn @ rn)
-            if np.isfinite(cn) and cn < cost:
-                rel = (cost - cn) / max(cost, 1e-300)
-                p, r, cost = pn, rn, cn
-                lam = max(lam / 10, 1e-15)
-                improved = True
-                break
-            lam *= 10
-        if not improved or rel < tol or np.max(np.abs(step)) < 1e-12:
-            break
-    return np.exp(p), cost, it
+                new = (np.linalg.pinv(damped) @ -g[trying][:, :, None])[:, :, 0]
+            with np.errstate(invalid="ignore", over="ignore"):
+                rn = np.where(used[at], _model(t[at], p[at] + new)[0] - y[at], 0.0)
+                cn = (rn * rn).sum(axis=1)
+                better = np.isfinite(cn) & (cn < cost[at])
+            won, to = trying[better], at[better]
+            step[won], tried[won] = new[better], True
+            last[won] = (cost[to] - cn[better]) / np.maximum(cost[to], 1e-300)
+            p[to], r[to], cost[to] = p[to] + new[better], rn[better], cn[better]
+            lam[to] = np.maximum(lam[to] / 10, 1e-15)
+            trying = trying[~better]
+            lam[live[trying]] *= 10
+            trying = trying[lam[live[trying]] < 1e16]
+        on = tried & (last >= tol) & (np.abs(step).max(axis=1, initial=0.0) >= 1e-12) & (iters[live] < max_iter)
+        live = live[on]
+    return np.exp(p), cost, iters
+
+
+def linear_starts(t: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The ``growth_linear`` start of every row (a, n, tau; NaN where there is none): regress
+    1/y on its lag over the positive points, q = slope, b = intercept, tau = -1/ln q,
+    a = (1-q)/b, n through the first positive point."""
+    pos = used & (y > 0)
+    front = np.argsort(~pos, axis=1, kind="stable")
+    m = pos.sum(axis=1)
+    tp, yp = np.take_along_axis(t, front, 1), np.take_along_axis(y, front, 1)
+    with np.errstate(all="ignore"):
+        z = np.where(np.arange(t.shape[1]) < m[:, None], 1.0 / yp, 0.0)
+        pair = np.arange(t.shape[1] - 1) < (m - 1)[:, None]
+        k = np.maximum(m - 1, 1)
+        x, w = np.where(pair, z[:, :-1], 0.0), np.where(pair, z[:, 1:], 0.0)
+        mx, mw = x.sum(axis=1) / k, w.sum(axis=1) / k
+        dx, dw = np.where(pair, x - mx[:, None], 0.0), np.where(pair, w - mw[:, None], 0.0)
+        q = (dx * dw).sum(axis=1) / (dx * dx).sum(axis=1)
+        b = mw - q * mx
+        tau = -1.0 / np.log(q)
+        a = (1.0 - q) / b
+        n = (a / yp[:, 0] - 1.0) * np.exp(tp[:, 0] / tau)
+        ok = (m >= 3) & (q > 0) & (q < 1) & (b > 0) & (a > yp[:, 0]) & np.isfinite(n) & (n > 0)
+    return np.where(ok[:, None], np.column_stack([a, n, tau]), np.nan)
+
+
+def heuristic_starts(t: np.ndarray, y: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """A ceiling a fifth above the largest value, a tenth of the span as tau, n through the
+    first positive point."""
+    pos = used & (y > 0)
+    top = np.where(used, y, -np.inf).max(axis=1)
+    span = np.where(used, t, -np.inf).max(axis=1) - np.where(used, t, np.inf).min(axis=1)
+    tau = np.where(span > 0, span, 1.0) / 10.0
+    a = np.where(top > 0, 1.2 * top, 1.0)
+    first = pos.argmax(axis=1)
+    row = np.arange(len(t))
+    some = pos.any(axis=1)
+    y1, t1 = np.where(some, y[row, first], 1.0), np.where(some, t[row, first], 1.0)
+    n = np.maximum((a / y1 - 1.0) * np.exp(np.minimum(t1 / tau, 700.0)), 1e-6)
+    return np.column_stack([a, n, tau])
+
+
+def fit_batch(t: np.ndarray, y: np.ndarray, used: np.ndarray, starts: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Every row's best fit over its starts (each (rows, 3), NaN for none) on y scaled by its
+    maximum: (parameters, rss, iterations, status). ``no_fit`` where a row has fewer than
+    MIN_POINTS positive values or is flat, or nothing came of any start."""
+    rows = len(t)
+    fit, rss, iters = np.full((rows, 3), np.nan), np.full(rows, np.inf), np.zeros(rows, dtype=int)
+    low, high = np.where(used, y, np.inf).min(axis=1, initial=np.inf), np.where(used, y, -np.inf).max(axis=1, initial=-np.inf)
+    able = ((used & (y > 0)).sum(axis=1) >= MIN_POINTS) & (high > low)
+    scale = np.where(able, high, 1.0)
+    for s in starts:
+        at = np.flatnonzero(able & np.isfinite(s).all(axis=1) & (s > 0).all(axis=1))
+        if not len(at):
+            continue
+        begin = s[at].copy()
+        begin[:, 0] /= scale[at]
+        p, c, it = levenberg_marquardt(t[at], y[at] / scale[at, None], used[at], begin)
+        won = c < rss[at]
+        fit[at[won]], rss[at[won]], iters[at[won]] = p[won], c[won], it[won]
+    fit[:, 0] *= scale
+    ok = able & np.isfinite(fit).all(axis=1)
+    fit[~ok] = np.nan
+    status = np.where(~ok, "no_fit", np.where(iters < MAX_ITER, "ok", "max_iter"))
+    return fit, np.where(ok, rss * scale * scale, np.nan), iters, status
+
+
+def _one(t: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    t, y = np.asarray(t, dtype=float)[None], np.asarray(y, dtype=float)[None]
+    return t, y, np.ones(t.shape, dtype=bool)
 
 
 def fit_one(t: np.ndarray, y: np.ndarray, starts) -> tuple[np.ndarray | None, float, int, str]:
-    """Best of several starts on y scaled by its maximum; ``no_fit`` when the
-    series has fewer than MIN_POINTS positive values or is flat."""
-    pos = y > 0
-    if pos.sum() < MIN_POINTS or np.ptp(y) <= 0:
-        return None, np.nan, 0, "no_fit"
-    scale = float(np.max(y))
-    ys = y / scale
-    best = (None, np.inf, 0)
-    for a0, n0, tau0 in starts:
-        if not all(np.isfinite(v) and v > 0 for v in (a0, n0, tau0)):
-            continue
-        p, c, it = levenberg_marquardt(t, ys, (a0 / scale, n0, tau0))
-        if p is not None and c < best[1]:
-            best = (p, c, it)
-    p, c, it = best
-    if p is None or not np.all(np.isfinite(p)):
-        return None, np.nan, it, "no_fit"
-    return np.array([p[0] * scale, p[1], p[2]]), c * scale * scale, it, "ok" if it < MAX_ITER else "max_iter"
+    """``fit_batch`` of one series."""
+    p, rss, it, status = fit_batch(*_one(t, y), [np.array([s], dtype=float) for s in starts])
+    return (None if status[0] == "no_fit" else p[0]), float(rss[0]), int(it[0]), str(status[0])
 
 
 FIT_SCHEMA = T.StructType(
@@ -166,41 +234,13 @@ FIT_SCHEMA = T.StructType(
 
 
 def linear_start(t: np.ndarray, y: np.ndarray):
-    """The ``growth_linear`` start computed on one series in NumPy: regress 1/y
-    on its lag, q = slope, b = intercept, tau = -1/ln q, a = (1-q)/b, n through
-    the first positive point. None when the recurrence does not give 0<q<1, b>0."""
-    pos = y > 0
-    tp, yp = t[pos], y[pos]
-    if len(yp) < 3:
-        return None
-    z = 1.0 / yp
-    x, w = z[:-1], z[1:]
-    vx = np.var(x)
-    if vx <= 0:
-        return None
-    q = float(np.mean((x - x.mean()) * (w - w.mean())) / vx)
-    b = float(w.mean() - q * x.mean())
-    if not (0 < q < 1 and b > 0):
-        return None
-    tau = -1.0 / np.log(q)
-    a = (1.0 - q) / b
-    if a <= yp[0]:
-        return None
-    with np.errstate(over="ignore"):
-        n = (a / yp[0] - 1.0) * np.exp(tp[0] / tau)
-    return (a, n, tau) if np.isfinite(n) and n > 0 else None
+    """``linear_starts`` of one series; None when the recurrence does not give 0<q<1, b>0."""
+    s = linear_starts(*_one(t, y))[0]
+    return tuple(s) if np.isfinite(s).all() else None
 
 
 def _heuristic_start(t: np.ndarray, y: np.ndarray):
-    ymax = float(np.max(y))
-    span = float(np.ptp(t)) or 1.0
-    tau0 = span / 10.0
-    a0 = 1.2 * ymax if ymax > 0 else 1.0
-    first = y[y > 0]
-    y1 = float(first[0]) if len(first) else 1.0
-    t1 = float(t[y > 0][0]) if len(first) else 1.0
-    n0 = max((a0 / y1 - 1.0) * np.exp(min(t1 / tau0, 700.0)), 1e-6)
-    return a0, n0, tau0
+    return tuple(heuristic_starts(*_one(t, y))[0])
 
 
 def logistic_fit(
@@ -210,57 +250,61 @@ def logistic_fit(
     y: str,
     starts: DataFrame | None = None,
     p0=CASES_P0,
-    num_partitions: int | None = None,
 ) -> DataFrame:
     """``(key, a, n, tau, rss, iters, n_points, status)`` per key.
 
     ``starts`` (e.g. ``growth_linear`` output with columns a, n, tau) supplies a
-    per-key start; without it the same closed-form start is computed inside the
-    group (no second pass over the series, no join). The fixed ``p0`` and a
+    per-key start; without it (or for a key it lacks) the same closed-form start is computed
+    beside the fit (no second pass over the series, no join). The fixed ``p0`` and a
     data-driven start are always tried too.
     """
     key_field = long.schema[key]
-    series = long.select(key, F.col(t).cast("double").alias("t"), F.col(y).cast("double").alias("y"))
+    series = long.select(F.col(key).alias("k"), F.col(t).cast("double").alias("t"), F.coalesce(F.col(y).cast("double"), F.lit(0.0)).alias("y"))
+    points = F.sort_array(F.collect_list(F.struct("t", F.nanvl("y", F.lit(0.0)).alias("y"))))
+    rows = series.groupBy("k").agg(points.alias("points"))
+    rows = rows.select("k", F.col("points.t").alias("t"), F.col("points.y").alias("y"))
     if starts is not None:
-        s = starts.select(key, F.col("a").alias("a0"), F.col("n").alias("n0"), F.col("tau").alias("tau0"))
-        series = series.join(s, key, "left")
+        s = starts.select(F.col(key).alias("s_k"), F.col("a").alias("a0"), F.col("n").alias("n0"), F.col("tau").alias("tau0"))
+        rows = rows.join(s, F.col("k") == F.col("s_k"), "left").drop("s_k")
     else:
-        series = series.select("*", *[F.lit(None).cast("double").alias(c) for c in ("a0", "n0", "tau0")])
+        rows = rows.select("*", *[F.lit(None).cast("double").alias(c) for c in ("a0", "n0", "tau0")])
     out_schema = T.StructType([T.StructField(key, key_field.dataType, True)] + list(FIT_SCHEMA.fields))
-    fixed = tuple(float(v) for v in p0)
-
-    def fit_group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
-        tt = pdf["t"].to_numpy(dtype=float)
-        yy = pdf["y"].fillna(0.0).to_numpy(dtype=float)
-        cands = [fixed, _heuristic_start(tt, yy)]
-        row0 = pdf.iloc[0]
-        if pd.notna(row0["a0"]) and pd.notna(row0["n0"]) and pd.notna(row0["tau0"]):
-            cands.insert(0, (float(row0["a0"]), float(row0["n0"]), float(row0["tau0"])))
-        else:
-            own = linear_start(tt, yy)
-            if own is not None:
-                cands.insert(0, own)
-        p, rss, it, status = fit_one(tt, yy, cands)
-        a, n, tau = (p if p is not None else (None, None, None))
-        return pd.DataFrame(
-            {
-                key: [row0[key]],
-                "a": [a],
-                "n": [n],
-                "tau": [tau],
-                "rss": [None if status != "ok" else float(rss)],
-                "iters": [int(it)],
-                "n_points": [int((yy > 0).sum())],
-                "status": [status],
-            }
+    fixed = np.array([float(v) for v in p0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            at = 0
+            while at < batch.num_rows:
+                # as many series as fit the matrices, padded to the longest
+                widest = np.maximum.accumulate(size[at:]) * np.arange(1, len(size) - at + 1)
+                take = max(1, int(np.searchsorted(widest, CELLS, side="right")))
+                yield fitted(batch.slice(at, take), size[at : at + take])
+                at += take
+
+    def fitted(batch: pa.RecordBatch, size: np.ndarray) -> pa.RecordBatch:
+        used = np.arange(max(int(size.max()), 2)) < size[:, None]
+        tt, yy = np.zeros(used.shape), np.zeros(used.shape)
+        tt[used], yy[used] = (batch.column(c).flatten().to_numpy(zero_copy_only=False) for c in (1, 2))
+        given = np.column_stack([batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (3, 4, 5)])
+        own = linear_starts(tt, yy, used)
+        first = np.where(np.isfinite(given).all(axis=1)[:, None], given, own)
+        p, rss, iters, status = fit_batch(tt, yy, used, [first, np.broadcast_to(fixed, first.shape), heuristic_starts(tt, yy, used)])
+        number = lambda x, ok: pa.array(x, pa.float64(), mask=~ok)
+        found, exact = status != "no_fit", status == "ok"
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                *[number(p[:, i], found) for i in range(3)],
+                number(rss, exact),
+                pa.array(iters.astype(np.int32)),
+                pa.array((used & (yy > 0)).sum(axis=1).astype(np.int32)),
+                pa.array(status.tolist(), pa.string()),
+            ],
+            names=out_schema.names,
         )
 
-    # The input is small in bytes but each group costs real CPU: AQE would
-    # coalesce the key shuffle into very few tasks. A range partitioning with an
-    # explicit count keeps every core busy (AQE keeps user-given counts; a hash
-    # repartition on the key would be dropped as redundant with the window's).
-    # It clusters each key in one partition, so the grouping adds no exchange.
-    ship_package(series.sparkSession)
-    parts = num_partitions or max(series.sparkSession.sparkContext.defaultParallelism, 1)
-    return series.repartitionByRange(parts, key).groupBy(key).applyInPandas(fit_group, out_schema)
+    # the series keep the partitioning on their key (a window's or an aggregate's): grouping
+    # them adds no exchange, and the fits run in the same stage
+    ship_package(long.sparkSession)
+    return rows.mapInArrow(run, out_schema)

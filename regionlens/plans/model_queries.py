@@ -114,6 +114,61 @@ def q_logistic_fit_deaths(spark, base):
     return growth.logistic_fit(_series(spark, base), "user_id", "t", "deaths", p0=growth.DEATHS_P0)
 
 
+def _fit_sql(measure: str, trials: int = 250) -> str:
+    """Levenberg-Marquardt for every user in a recursive query, a trial step a round, from a
+    ceiling a fifth above the last value and a tenth of the span as tau. Logs of the
+    parameters to 4 places."""
+    dot = lambda x, y: f"list_dot_product({x}, {y})"
+    curve = "list_transform(ts, lambda t: exp(a{0}) / (1 + exp(n{0} - t * exp(-u{0}))))"
+    cost = lambda f: f"list_sum(list_transform(list_zip({f}, ys), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    det = "({0}11 * ({0}22 * {0}33 - {0}23 * {0}23) - {0}12 * ({0}12 * {0}33 - {0}23 * {0}13) + {0}13 * ({0}12 * {0}23 - {0}22 * {0}13))"
+    return (
+        _SERIES_SQL.replace("WITH b AS", "WITH RECURSIVE b AS", 1)
+        + f""",
+s AS (SELECT user_id, list(t::DOUBLE ORDER BY t) AS ts, max({measure})::DOUBLE AS top, list({measure}::DOUBLE ORDER BY t) AS raw,
+        (max(t) - min(t)) / 10.0 AS tau0, arg_min({measure}, t) FILTER (WHERE {measure} > 0)::DOUBLE AS y1, (min(t) FILTER (WHERE {measure} > 0))::DOUBLE AS t1
+      FROM ser GROUP BY user_id HAVING count(*) FILTER (WHERE {measure} > 0) >= 4 AND max({measure}) > min({measure})),
+y AS (SELECT user_id, ts, top, list_transform(raw, lambda v: v / top) AS ys, ln(1.2) AS a, ln(greatest((1.2 * top / y1 - 1) * exp(t1 / tau0), 1e-6)) AS n, ln(tau0) AS u FROM s),
+lm AS (
+  SELECT user_id, 0 AS it, a, n, u, 1e-3::DOUBLE AS lam, {cost(curve.format(''))} AS cost FROM y
+  UNION ALL
+  SELECT user_id, it + 1, CASE WHEN won THEN a2 ELSE a END, CASE WHEN won THEN n2 ELSE n END, CASE WHEN won THEN u2 ELSE u END,
+         CASE WHEN won THEN greatest(lam / 10, 1e-15) ELSE least(lam * 10, 1e16) END, CASE WHEN won THEN cost2 ELSE cost END
+  FROM (SELECT *, coalesce(isfinite(cost2) AND cost2 < cost, false) AS won FROM (SELECT *, {cost(curve.format('2'))} AS cost2 FROM (
+    SELECT *, a - (g1 * (d22 * d33 - d23 * d23) - d12 * (g2 * d33 - d23 * g3) + d13 * (g2 * d23 - d22 * g3)) / det AS a2,
+           n - (d11 * (g2 * d33 - d23 * g3) - g1 * (d12 * d33 - d23 * d13) + d13 * (d12 * g3 - g2 * d13)) / det AS n2,
+           u - (d11 * (d22 * g3 - g2 * d23) - d12 * (d12 * g3 - g2 * d13) + g1 * (d12 * d23 - d22 * d13)) / det AS u2
+    FROM (SELECT *, {det.format('d')} AS det FROM (
+      SELECT *, {dot('j1', 'j1')} * (1 + lam) AS d11, {dot('j1', 'j2')} AS d12, {dot('j1', 'j3')} AS d13, {dot('j2', 'j2')} * (1 + lam) AS d22,
+             {dot('j2', 'j3')} AS d23, {dot('j3', 'j3')} * (1 + lam) AS d33, {dot('j1', 'r')} AS g1, {dot('j2', 'r')} AS g2, {dot('j3', 'r')} AS g3
+      FROM (SELECT *, list_transform(list_zip(j2, ts), lambda z: z[1] * z[2] * exp(-u)) AS j3 FROM (
+        SELECT *, f AS j1, list_transform(f, lambda v: -v * (1 - v / exp(a))) AS j2, list_transform(list_zip(f, ys), lambda z: z[1] - z[2]) AS r
+        FROM (SELECT lm.*, ts, ys, {curve.format('').replace('exp(a)', 'exp(lm.a)').replace('exp(n ', 'exp(lm.n ').replace('exp(-u)', 'exp(-lm.u)')} AS f
+              FROM lm JOIN y USING (user_id) WHERE it < {trials})))))))))
+SELECT user_id, round_even((lm.a + ln(top)) * 1e4, 0) / 1e4 AS log_a, round_even(lm.n * 1e4, 0) / 1e4 AS log_n, round_even(lm.u * 1e4, 0) / 1e4 AS log_tau
+FROM lm JOIN y USING (user_id) WHERE it = {trials}
+"""
+    )
+
+
+def _fit_logs(spark, base, measure: str, p0) -> DataFrame:
+    fits = growth.logistic_fit(_series(spark, base), "user_id", "t", measure, p0=p0).filter(F.col("status") == "ok")
+    return fits.select("user_id", *[round_to(F.log(c), 4).alias(f"log_{c}") for c in ("a", "n", "tau")])
+
+
+@register("logistic_params", _fit_sql("cases"))
+def q_logistic_params(spark, base):
+    """The fitted parameters of every series of cases (their logs)."""
+    return _fit_logs(spark, base, "cases", growth.CASES_P0)
+
+
+@register("logistic_params_deaths", f"SELECT * FROM ({_fit_sql('deaths')}) WHERE log_a < 10")
+def q_logistic_params_deaths(spark, base):
+    """Series of deaths whose ceiling the data determine; where they are still growing
+    exponentially, a and n run off together and only their ratio is known."""
+    return _fit_logs(spark, base, "deaths", growth.DEATHS_P0).filter("log_a < 10")
+
+
 # ============================================================================ descriptive statistics
 _STAT_COLS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 
