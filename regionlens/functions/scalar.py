@@ -120,6 +120,12 @@ def hash_unit(key: str | Column, seed: int | str) -> Column:
     return F.conv(F.substring(F.md5(s), 1, 8), 16, 10).cast("long")
 
 
+def hash_bits(key: str | Column, seed: int | str) -> Column:
+    """Like ``hash_unit``, in [0, 2^60): the first 15 digits of the md5."""
+    s = F.concat(F.lit(f"{seed}:"), _col(key).cast("string"))
+    return F.conv(F.substring(F.md5(s), 1, 15), 16, 10).cast("long")
+
+
 def round_to(c: str | Column, digits: int) -> Column:
     """Output rounding used for values compared across engines."""
     return round_half_even(c, digits)

@@ -13,11 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from regionlens.functions.scalar import clamp, log10_positive
 from regionlens.operators.blocks import complete_rows, cross_products
+from regionlens.session import shared_path
 
 
 def _stack(wide: DataFrame, names: Sequence[str], stats: Sequence[str], label: str = "column") -> DataFrame:
@@ -39,26 +40,30 @@ def scalar_max(df: DataFrame, expr: Column) -> float | None:
     return df.agg(F.max(expr).alias("m")).first()["m"]
 
 
+def written_with_max(df: DataFrame, column: str) -> tuple[DataFrame, float | None]:
+    """(``df`` written and read back, the largest value of ``column``): the maximum is
+    observed while the rows are written, so ``df`` runs once."""
+    spark = df.sparkSession
+    path, seen = shared_path(spark, "observed"), Observation()
+    df.observe(seen, F.max(column).alias("most")).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get["most"]
+
+
 def map_layer(df: DataFrame, key: str, value: str, scale: str = "log10", fixed_hi: float = 0.1, divisor: float = 5.0) -> DataFrame:
     """Value per key clamped to the display range of a choropleth layer.
 
     ``scale='log10'``: log10(value), range [0, max log10]; ``'fraction'``: the
     raw value, range [0, max/divisor]; ``'fixed'``: range [0, fixed_hi].
     """
-    if scale == "log10":
-        v = log10_positive(value)
-        hi = scalar_max(df, v)
-    elif scale == "fraction":
-        v = F.col(value).cast("double")
-        m = scalar_max(df, v)
-        hi = None if m is None else m / divisor
-    elif scale == "fixed":
-        v = F.col(value).cast("double")
-        hi = fixed_hi
-    else:
+    if scale not in ("log10", "fraction", "fixed"):
         raise ValueError(scale)
-    hi_lit = F.lit(hi if hi is not None else 0.0).cast("double")
-    return df.select(key, v.alias("value"), hi_lit.alias("range_hi"), clamp(v, 0.0, hi_lit).alias("color"))
+    v = log10_positive(value) if scale == "log10" else F.col(value).cast("double")
+    layer, hi = df.select(key, v.alias("value")), fixed_hi
+    if scale != "fixed":
+        layer, most = written_with_max(layer, "value")
+        hi = 0.0 if most is None else most / (divisor if scale == "fraction" else 1.0)
+    hi_lit = F.lit(hi).cast("double")
+    return layer.select(key, "value", hi_lit.alias("range_hi"), clamp(F.col("value"), 0.0, hi_lit).alias("color"))
 
 
 def minmax_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:

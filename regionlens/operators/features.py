@@ -9,14 +9,16 @@ DuckDB computes the same assignment.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regionlens.functions.scalar import hash_unit
+from regionlens.functions.scalar import hash_bits, hash_unit
 from regionlens.operators.aggregates import collect_stats, column_moments, minmax_stats
+from regionlens.session import cut_lineage
 
 HASH_RANGE = 2**32
 
@@ -55,6 +57,35 @@ def hash_split(df: DataFrame, key: str, test_fraction: float, seed: int, name: s
     return df.withColumn(name, F.when(hash_unit(key, seed) < F.lit(threshold), "test").otherwise("train"))
 
 
+def smallest_hashes(hashes: DataFrame, name: str, k: int, bits: int = 60, step: int = 12) -> int:
+    """The k-th smallest value of ``name`` (numbers below 2^bits, k from 1 to the rows): counts
+    by the upper bits, then by the next bits of the one bucket in which the k-th lies. Every
+    step is one aggregate with 2^step counts at most."""
+    low, left = 0, k
+    for shift in range(bits - step, -step, -step):
+        shift, width = max(shift, 0), step + min(shift, 0)
+        inside = hashes.filter(F.shiftright(name, shift + width) == F.lit(low >> (shift + width)))
+        bucket = F.shiftright(name, shift).bitwiseAND(F.lit((1 << width) - 1)).cast("int")
+        for b, n in sorted(inside.groupBy(bucket).count().collect()):
+            if left <= n:
+                low += b << shift
+                break
+            left -= n
+    return low
+
+
+def exact_split(df: DataFrame, key: str, test_fraction: float, seed: int, name: str = "split") -> DataFrame:
+    """Adds ``split`` = 'test' for the ceil(test_fraction * n) rows with the smallest key
+    hashes, else 'train'. Which rows those are is found without sorting; rows of one key
+    go together, so the number is exact where keys are unique. A null key is a train row."""
+    hashes = cut_lineage(df.filter(F.col(key).isNotNull()).select(hash_bits(key, seed).alias("h")))
+    n = hashes.count()
+    k = min(n, math.ceil(round(test_fraction * df.count(), 9)))
+    if not k:
+        return df.withColumn(name, F.lit("train"))
+    return df.withColumn(name, F.when(hash_bits(key, seed) <= F.lit(smallest_hashes(hashes, "h", k)), "test").otherwise("train"))
+
+
 def hash_fold(key: str, seed: int, k: int):
     """Fold number in [0, k) from the same hash (for cross-validation)."""
     return (hash_unit(key, seed) % F.lit(k)).cast("int")

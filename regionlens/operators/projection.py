@@ -69,8 +69,8 @@ def feature_frame(df: DataFrame, keys: Sequence[str], start: int | None = None,
 
     ``features`` names the columns; ``start`` is the parity form "every column
     from position ``start``", resolved to names on the driver from the schema.
-    Texts that are no numbers become null; so do all values of types without a cast
-    to double (dates, arrays), which are read as their texts.
+    Texts that are no numbers become null; so does a column of a type without a cast
+    to double (dates, arrays), as a whole and without being read.
     """
     names = list(features) if features is not None else [c for c in df.columns[start or 0 :] if c not in keys]
     return df.select(*keys, *[_number(df, c).alias(c) for c in names])
@@ -79,5 +79,5 @@ def feature_frame(df: DataFrame, keys: Sequence[str], start: int | None = None,
 def _number(df: DataFrame, name: str) -> Column:
     c = F.col(f"`{name}`")
     if not isinstance(df.schema[name].dataType, (T.NumericType, T.StringType, T.BooleanType)):
-        c = c.cast("string")
+        return F.lit(None).cast("double")
     return c.try_cast("double")

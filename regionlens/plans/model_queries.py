@@ -480,6 +480,52 @@ def q_ols_coefficients(spark, base):
     return _summary(spark, base).select("predictor", round_to("coef", 9).alias("coef"), round_to("std_err", 9).alias("std_err"), round_to("t", 4).alias("t"))
 
 
+def _student_sql(t: str, dof: str, steps: int = 4000) -> str:
+    """Two-sided p-value of Student's t: 1 less the density's integral (Simpson) over [-|t|, |t|]."""
+    density = f"exp(lgamma(({dof} + 1) / 2.0) - lgamma({dof} / 2.0) - 0.5 * ln({dof} * pi()) - ({dof} + 1) / 2.0 * ln(1 + pow(abs({t}) * k / {steps}, 2) / {dof}))"
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    return f"1 - 2 * abs({t}) / {steps} / 3 * list_sum(list_transform(range(0, {steps + 1}), lambda k: {weight} * {density}))"
+
+
+@register(
+    "ols_p_values",
+    _PATH_SQL
+    + f"""
+, last AS (SELECT * FROM sized ORDER BY size DESC LIMIT 1),
+coefs AS (
+  SELECT names[i] AS predictor, m[i * {len(REG_FEATURES) + 1}] / sqrt(rss / (n - size) * m[(i - 1) * {len(REG_FEATURES) + 1} + i]) AS t, (n - size)::DOUBLE AS dof
+  FROM (SELECT *, unnest(chosen) AS i FROM last))
+SELECT predictor, round_even(least(abs(t), 30.0) * 1e4, 0) / 1e4 AS t_size, round_even(({_student_sql("least(abs(t), 30.0)", "dof")}) * 1e6, 0) / 1e6 AS p_value FROM coefs
+""",
+)
+def q_ols_p_values(spark, base):
+    """p-values of the model with all predictors (|t| shown up to 30)."""
+    gram, path = _path(spark, base)
+    rows = stepwise.ols_summary(gram, path[-1]["predictors"])
+    table = spark.createDataFrame(rows, "predictor string, coef double, std_err double, t double, p_value double")
+    return table.select("predictor", round_to(F.least(F.abs("t"), F.lit(30.0)), 4).alias("t_size"), round_to("p_value", 6).alias("p_value"))
+
+
+@register(
+    "chosen_residuals",
+    _PATH_SQL
+    + f"""
+, best AS (SELECT * FROM sized ORDER BY bic, size LIMIT 1),
+coefs AS (SELECT {", ".join(f"CASE WHEN list_contains(chosen, {k + 1}) THEN m[{(k + 1) * (len(REG_FEATURES) + 1)}] ELSE 0 END AS b{k}" for k in range(len(REG_FEATURES)))} FROM best)
+SELECT l_orderkey, k_line, round_even(y * 1e9, 0) / 1e9 AS y, round_even(fitted * 1e6, 0) / 1e6 AS fitted, round_even((y - fitted) * 1e6, 0) / 1e6 AS residual
+FROM (SELECT x.*, {" + ".join(f"b{k} * {c}" for k, c in enumerate(REG_FEATURES))} AS fitted FROM x, coefs)
+""",
+)
+def q_chosen_residuals(spark, base):
+    """Fitted values and residuals of the model that BIC chooses."""
+    frame = regression_frame(spark, base)
+    gram = stepwise.regression_gram(frame, REG_FEATURES, "y")
+    rows = stepwise.ols_summary(gram, stepwise.choose(stepwise.forward_path(gram), "bic")["predictors"])
+    fitted = stepwise.fitted_column({r["predictor"]: r["coef"] for r in rows})
+    out = frame.select(*REG_KEYS, "y", fitted.alias("fitted"))
+    return out.select(*REG_KEYS, round_to("y", 9).alias("y"), round_to("fitted", 6).alias("fitted"), round_to(F.col("y") - F.col("fitted"), 6).alias("residual"))
+
+
 # ============================================================================ feature preparation
 @register(
     "standardize",
@@ -516,6 +562,15 @@ def q_hash_split(spark, base):
     return features.hash_split(load(spark, base, "orders").select("o_orderkey"), "o_orderkey", 0.33, 7)
 
 
+@register(
+    "exact_split",
+    "SELECT o_orderkey, CASE WHEN row_number() OVER (ORDER BY ('0x' || substr(md5('7:' || o_orderkey::VARCHAR), 1, 15))::BIGINT) <= ceil(round(0.33 * count(*) OVER (), 9)) "
+    "THEN 'test' ELSE 'train' END AS split FROM orders",
+)
+def q_exact_split(spark, base):
+    return features.exact_split(load(spark, base, "orders").select("o_orderkey"), "o_orderkey", 0.33, 7)
+
+
 @register(
     "log_response",
     "SELECT l_orderkey, l_linenumber, round_even(log10(l_extendedprice) * 1e12, 0) / 1e12 AS log_y FROM lineitem WHERE l_extendedprice > 0",
@@ -609,6 +664,46 @@ def q_pca_reconstruction(spark, base):
     return spark.createDataFrame(rows, "i int, j int, cov double").select("i", "j", round_to("cov", 9).alias("cov"))
 
 
+_TRAIN_COV_SQL = """
+WITH e AS (SELECT r, unnest(range(0, len(embedding)))::INTEGER AS i, unnest(embedding)::DOUBLE AS x
+  FROM (SELECT row_number() OVER () AS r, embedding FROM embeddings
+        WHERE ('0x' || substr(md5('0:' || vec_id::VARCHAR), 1, 8))::BIGINT >= 858993459)),
+c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS v FROM e a JOIN e b ON a.r = b.r GROUP BY a.i, b.i)
+"""
+
+
+@register(
+    "pca_variance_sums",
+    _TRAIN_COV_SQL
+    + """,
+c2 AS (SELECT a.i AS i, b.j AS j, sum(a.v * b.v) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY a.i, b.j)
+SELECT 1 AS power, round_even(sum(v) * 1e9, 0) / 1e9 AS total FROM c WHERE i = j UNION ALL
+SELECT 2, round_even(sum(v * v) * 1e9, 0) / 1e9 FROM c UNION ALL
+SELECT 3, round_even(sum(c.v * c2.v) * 1e9, 0) / 1e9 FROM c JOIN c2 USING (i, j) UNION ALL
+SELECT 4, round_even(sum(v * v) * 1e9, 0) / 1e9 FROM c2
+""",
+)
+def q_pca_variance_sums(spark, base):
+    """Sums of the eigenvalues' first four powers: the traces of the covariance's powers."""
+    _, _, fit = _pca_train(spark, base)
+    rows = [(k, float((fit.eigenvalues**k).sum())) for k in range(1, 5)]
+    return spark.createDataFrame(rows, "power int, total double").select("power", round_to("total", 9).alias("total"))
+
+
+@register(
+    "pca_loadings_products",
+    "WITH d AS (SELECT unnest(range(0, max(len(embedding))))::INTEGER AS i FROM embeddings) SELECT a.i, b.i AS j, 0.0::DOUBLE AS product FROM d a, d b WHERE a.i < b.i",
+)
+def q_pca_loadings_products(spark, base):
+    """Inner products of different loadings: with ``pca_reconstruction`` (L L' is the covariance),
+    their being 0 makes L the eigenvectors, up to the sign that the largest entry fixes."""
+    _, _, fit = _pca_train(spark, base)
+    lo = fit.loadings
+    products = lo.T @ lo
+    rows = [(i, j, float(products[i, j])) for i in range(len(products)) for j in range(i + 1, len(products))]
+    return spark.createDataFrame(rows, "i int, j int, product double").select("i", "j", F.abs(round_to("product", 9)).alias("product"))
+
+
 @register("pca_variance")
 def q_pca_variance(spark, base):
     _, _, fit = _pca_train(spark, base)
@@ -652,6 +747,49 @@ def q_pcr_holdout(spark, base, n_pc: int = 15):
     return test.select("vec_id", F.col("y").alias("actual"), pred.alias("predicted"))
 
 
+def _full_width_sql(select: str, dims: int = 64) -> str:
+    """OLS of log10(label) on 1 and all coordinates of the training rows, by sweeps: then the
+    last column holds the coefficients and the last cell the RSS."""
+    w = dims + 2
+    return f"""
+WITH RECURSIVE v AS (SELECT vec_id, log10(label) AS y, ('0x' || substr(md5('0:' || vec_id::VARCHAR), 1, 8))::BIGINT < 858993459 AS test,
+    list_append(list_prepend(1.0, list_transform(embedding, lambda x: x::DOUBLE)), log10(label)) AS x FROM embeddings WHERE label > 0),
+p AS (SELECT vec_id, unnest(range(1, {w + 1})) AS i, unnest(x) AS x FROM v WHERE NOT test),
+g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM p a JOIN p b USING (vec_id) GROUP BY a.i, b.i),
+st AS (
+  SELECT 0::BIGINT AS c, list(v ORDER BY i, j) AS m FROM g
+  UNION ALL
+  SELECT c + 1, list_transform(range(0, {w * w}), lambda k: CASE
+      WHEN k // {w} = c AND k % {w} = c THEN 1 / m[c * {w} + c + 1]
+      WHEN k // {w} = c THEN m[k + 1] / m[c * {w} + c + 1]
+      WHEN k % {w} = c THEN -m[k + 1] / m[c * {w} + c + 1]
+      ELSE m[k + 1] - m[(k // {w}) * {w} + c + 1] * m[c * {w} + k % {w} + 1] / m[c * {w} + c + 1] END)
+  FROM st WHERE c < {dims + 1}),
+f AS (SELECT m[{w * w}] AS rss, list_transform(range(1, {dims + 2}), lambda i: m[i * {w}]) AS b FROM st WHERE c = {dims + 1})
+{select}"""
+
+
+@register(
+    "pcr_holdout_full",
+    _full_width_sql(
+        "SELECT vec_id, round_even(y * 1e6, 0) / 1e6 AS actual, round_even(list_dot_product(b, x[1:65]) * 1e6, 0) / 1e6 AS predicted FROM v, f WHERE test"
+    ),
+)
+def q_pcr_holdout_full(spark, base):
+    """The holdout with all components: what the regression on all coordinates predicts."""
+    found = q_pcr_holdout(spark, base, n_pc=len(coordinates(embedding_frame(spark, base))))
+    return found.select("vec_id", round_to("actual", 6).alias("actual"), round_to("predicted", 6).alias("predicted"))
+
+
+@register(
+    "pcr_r2_full",
+    _full_width_sql("SELECT 64 AS components, round_even((1 - rss / (SELECT sum(y * y) - sum(y) * sum(y) / count(*) FROM v WHERE NOT test)) * 1e9, 0) / 1e9 AS r2 FROM f"),
+)
+def q_pcr_r2_full(spark, base):
+    """The last point of the R^2 curve: the regression on all coordinates."""
+    return q_pcr_r2_curve(spark, base).orderBy(F.desc("components")).limit(1).select("components", round_to("r2", 9).alias("r2"))
+
+
 # ============================================================================ boosted trees
 def document_frame(spark: SparkSession, base: str, target: str = "quality") -> DataFrame:
     """Labelled documents with text-shape features and the 0.33 hash split.

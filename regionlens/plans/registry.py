@@ -246,6 +246,28 @@ def q_map_layer_fixed(spark, base):
     return layer.select("FIPS", *[round_to(c, 9).alias(c) for c in ("value", "range_hi", "color")])
 
 
+@register(
+    "map_boundaries",
+    _SUPPLIER_RATES_SQL
+    + """
+, v AS (SELECT FIPS, InfectionRate::DOUBLE AS value FROM rates),
+m AS (SELECT max(value) / 5 AS hi FROM v)
+SELECT FIPS, round_even(least(greatest(value, 0.0), hi) * 1e9, 0) / 1e9 AS color, 'Point' AS geometry_type,
+       s_nationkey::DOUBLE * 10 - 120 AS lon, (s_suppkey % 90)::DOUBLE AS lat
+FROM v, m, supplier WHERE FIPS = printf('%05d', s_suppkey)
+""",
+)
+def q_map_boundaries(spark, base):
+    """A map layer with the shapes it colours: boundaries from a GeoJSON file, one feature a line."""
+    sup = load(spark, base, "supplier")
+    point = F.to_json(F.struct(F.lit("Point").alias("type"), F.array(F.col("s_nationkey").cast("double") * 10 - 120, (F.col("s_suppkey") % 90).cast("double")).alias("coordinates")))
+    path = files.write_boundary_lines(sup.select(pad_key("s_suppkey").alias("id"), point.alias("geometry")), shared_path(spark, "boundaries"))
+    layer = aggregates.map_layer(supplier_rates(spark, base), "FIPS", "InfectionRate", scale="fraction")
+    met = layer.join(files.read_boundary_lines(spark, path), F.col("FIPS") == F.col("id"))
+    at = lambda k: F.get_json_object("geometry", f"$.coordinates[{k}]").try_cast("double")
+    return met.select("FIPS", round_to("color", 9).alias("color"), "geometry_type", at(0).alias("lon"), at(1).alias("lat"))
+
+
 @register(
     "count_positive",
     _SERIES_SQL

@@ -76,12 +76,29 @@ def read_boundaries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_boundary_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from one GeoJSON feature a line (a GeoJSON text sequence): such files split,
+    so many tasks read them. A collection document is one JSON value and one task."""
+    field = lambda p: F.get_json_object("value", f"$.{p}")
+    return spark.read.text(path).select(field("id").alias("id"), field("geometry.type").alias("geometry_type"), field("geometry").alias("geometry"))
+
+
+def write_boundary_lines(boundaries: DataFrame, path: str) -> str:
+    """Write ``(id, geometry)`` (GeoJSON text) as one feature a line; returns ``path``."""
+    head = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("id").cast("string").alias("id")))
+    feature = F.concat(head.substr(F.lit(1), F.length(head) - 1), F.lit(',"geometry":'), "geometry", F.lit("}"))
+    boundaries.select(feature.alias("value")).write.text(path)
+    return path
+
+
 __all__ = [
     "ATTRIBUTE_ENCODING",
     "csv_header",
     "date_columns",
     "read_attribute_csv",
     "read_boundaries",
+    "read_boundary_lines",
     "read_wide_csv",
+    "write_boundary_lines",
     "write_csv",
 ]
