@@ -1,12 +1,15 @@
 """Operator 7: line dedup over levelled sorted runs of line hashes.
 
-The state is a set of runs: bucketed tables sorted by line hash, each with one entry
+The state is two sets of runs: bucketed tables sorted by line hash, each with one entry
 per hash: the number of documents that hold the line and the largest doc_id among
-them. A batch of documents is reduced to one entry per hash, merge-anti-joined with
-the runs (its fresh lines) and added as a run of level 0. When a level holds ``fanout``
-runs they are merged into one run of the next level, so a store of B batches has
-O(log B) runs. Runs are bucketed by the whole hash, so anti-joins and merges of two
-runs need no shuffle.
+them. A batch of documents is reduced to one entry per hash and merge-anti-joined with
+the runs of lines. Its fresh lines are added there as a run of level 0, so that every
+line is in one of these runs only, that of its first batch; what is left, the entries of
+lines seen before, goes to the runs of repeats in the same way. When a level holds
+``fanout`` runs they are merged into one run of the next level, so a store of B batches
+has O(log B) runs. Runs are bucketed by the whole hash, so anti-joins and merges of two
+runs need no shuffle. The runs' files lie in the shared scratch folder, and their
+catalogue entries go when the totals are written, or when a step fails.
 
 Batches are slices of the documents by doc_id hash, so a document (all rows of its
 doc_id) is in one batch and document counts add up over runs. A line that a third of
@@ -28,8 +31,10 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regionlens.llm.common import prepared, store, text_hash, text_list
+from regionlens.session import shared_path
 
 STRIP = b" \t\n\x0b\x0c\r"
 MIN_CHARS = 40
@@ -81,40 +86,52 @@ class LineRuns:
 
     spark: SparkSession
     fanout: int = FANOUT
-    levels: dict[int, list[str]] = field(default_factory=dict)
+    #: Runs by kind (lines, repeats) and level.
+    levels: dict[tuple[str, int], list[str]] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"llm_lines_{uuid.uuid4().hex}"
-        self.made = 0
+        self.made: list[str] = []
 
     def entries(self, batch: DataFrame) -> DataFrame:
         per_doc = batch.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
         return per_doc.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("max_doc"))
 
-    def write(self, entries: DataFrame, level: int) -> str:
+    def write(self, entries: DataFrame) -> str:
         """Write a run. ``entries`` are already dealt by (h1, h2) into ``buckets`` parts, by
-        their aggregation or a merge of runs, so each task writes whole buckets."""
-        table = f"{self.name}_{level}_{self.made}"
-        self.made += 1
-        entries.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").saveAsTable(table)
-        self.levels.setdefault(level, []).append(table)
+        their aggregation or a join of runs, so each task writes whole buckets."""
+        table = f"{self.name}_{len(self.made)}"
+        self.made.append(table)
+        path = shared_path(self.spark, f"llm-{table}")
+        entries.write.bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").format("parquet").option("path", path).saveAsTable(table)
         return table
 
-    def runs(self) -> list[str]:
-        return [t for level in sorted(self.levels, reverse=True) for t in self.levels[level]]
+    def keep(self, table: str, kind: str, level: int = 0) -> None:
+        self.levels.setdefault((kind, level), []).append(table)
+
+    def runs(self, kind: str) -> list[str]:
+        return [t for k, level in sorted(self.levels, reverse=True) if k == kind for t in self.levels[k, level]]
+
+    def lacking(self, table: str, runs: list[str]) -> DataFrame:
+        """Entries of ``table`` whose line is in none of ``runs``, by merge joins of their buckets."""
+        left = self.spark.table(table)
+        for run in runs:
+            r = self.spark.table(run).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
+            left = left.join(r.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left_anti")
+        return left
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Add a batch; returns (h1, h2) of its lines that no earlier run has."""
-        earlier = self.runs()
-        own = self.spark.table(self.write(self.entries(batch), 0))
-        fresh = own
-        for table in earlier:
-            run = self.spark.table(table).select(F.col("h1").alias("r1"), F.col("h2").alias("r2"))
-            fresh = fresh.join(run.hint("merge"), (F.col("h1") == F.col("r1")) & (F.col("h2") == F.col("r2")), "left_anti")
-        fresh = store(fresh.select("h1", "h2"), "line-fresh")
-        self.compact()
-        return fresh
+        """Add a batch; returns the entries of its lines that no earlier batch had."""
+        own = fresh = self.write(self.entries(batch))
+        if earlier := self.runs("lines"):
+            fresh = self.write(self.lacking(own, earlier))
+            self.keep(self.write(self.lacking(own, [fresh])), "repeats")
+        self.keep(fresh, "lines")
+        new = self.spark.table(fresh)
+        self.compact("lines")
+        self.compact("repeats")
+        return new
 
     def merged(self, tables: list[str]) -> DataFrame:
         """The runs as one, by merge joins that keep the buckets."""
@@ -130,30 +147,34 @@ class LineRuns:
             )
         return one
 
-    def compact(self, level: int = 0) -> None:
+    def compact(self, kind: str, level: int = 0) -> None:
         """Merge full levels into the next ones."""
-        while len(tables := self.levels.get(level, [])) >= self.fanout:
-            self.write(self.merged(tables), level + 1)
-            self.levels[level] = []
-            for t in tables:
-                self.spark.sql(f"DROP TABLE {t}")
+        while len(tables := self.levels.get((kind, level), [])) >= self.fanout:
+            self.keep(self.write(self.merged(tables)), kind, level + 1)
+            self.levels[kind, level] = []
             level += 1
 
     def totals(self) -> DataFrame:
-        """(h1, h2, n_docs, max_doc) over all runs; ends the store."""
-        out = store(self.merged(self.runs()), "line-totals")
-        for t in self.runs():
-            self.spark.sql(f"DROP TABLE {t}")
+        """(h1, h2, n_docs, max_doc) over all runs: the lines with their repeats."""
+        return store(self.merged(self.runs("lines") + self.runs("repeats")), "line-totals")
+
+    def close(self) -> None:
+        """Take the runs out of the catalogue."""
+        for t in self.made:
+            self.spark.sql(f"DROP TABLE IF EXISTS {t}")
+        self.made.clear()
         self.levels.clear()
-        return out
 
 
 def line_totals(lines: DataFrame, batches: int = BATCHES) -> DataFrame:
     """Totals of ``line_rows`` taken in as ``batches`` batches."""
     runs = LineRuns(lines.sparkSession)
-    for k in range(batches):
-        runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("doc_id", "h1", "h2"))
-    return runs.totals()
+    try:
+        for k in range(batches):
+            runs.add(lines.where(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == k).select("doc_id", "h1", "h2"))
+        return runs.totals()
+    finally:
+        runs.close()
 
 
 def dedup_lines(
@@ -170,7 +191,8 @@ def dedup_lines(
     names = [f"k{i}" for i in range(len(keep))]
     source = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc_id"), text_hash(text).alias("th"), F.col(text).cast("string").alias("t"), *[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)])
     met = source.join(drops, (F.col("doc_id") == F.col("d_doc")) & (F.col("th") == F.col("d_th")), "left").drop("d_doc", "d_th", "th")
-    extra = "".join(f", {n} {met.schema[n].dataType.simpleString()}" for n in names)
+    out = T.StructType([T.StructField(n, t) for n, t in (("doc_id", T.LongType()), ("n_lines", T.LongType()), ("n_dropped", T.LongType()), ("clean_text", T.StringType()))])
+    out = T.StructType([*out.fields, *[met.schema[n] for n in names]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,5 +216,5 @@ def dedup_lines(
                     names=["doc_id", "n_lines", "n_dropped", "clean_text", *names],
                 )
 
-    got = met.mapInArrow(run, f"doc_id long, n_lines long, n_dropped long, clean_text string{extra}")
+    got = met.mapInArrow(run, out)
     return got.select(F.nullif(F.col("doc_id"), F.lit(NO_DOC)).alias("doc_id"), "n_lines", "n_dropped", "clean_text", *[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)])
