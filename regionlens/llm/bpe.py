@@ -9,9 +9,15 @@ the smallest rank, delete that boundary, refresh the two neighbouring ranks,
 repeat. Words over ``LONG_WORD`` parts use a heap over the same ranks (same
 result, no quadratic scan). Pieces repeat, so each worker keeps a bounded memo.
 
+Letters and lower case are the library's: code points that the installed ``regex`` takes
+for letters or numbers by a later Unicode version are none (``NO_LETTERS``,
+``NO_NUMBERS``), and some capitals have a
+lower case that Python may not know yet (``LATER_LOWER``).
+
 Defined results: null text counts as empty (no ids, empty decoded text); the
 strings of the file's added tokens in a text become those tokens, as the library
-does; other columns, repeated rows and ties don't matter, as rows are independent.
+does; other columns (clashing names included), repeated rows and ties don't matter, as rows are
+independent and no other column is read; the empty table gives the empty table.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ import heapq
 import json
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -36,6 +43,25 @@ MEMO_ENTRIES = 220_000
 MEMO_BYTES = 64
 NO_RANK = 1 << 60
 
+# Ranges of code points that the library (letters by Unicode 16) takes for no
+# letters, first and last.
+NO_LETTERS = (
+    (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF),
+    (0xA7DD, 0xA7DD), (0xA7E2, 0xA7E2), (0xA7F1, 0xA7F1), (0xAB6C, 0xAB6D), (0x107BB, 0x107BF), (0x10940, 0x10959), (0x10EC5, 0x10EC7),
+    (0x10ED9, 0x10EEE), (0x11B0A, 0x11B0A), (0x11DB0, 0x11DDB), (0x11DF1, 0x11DF1), (0x16EA0, 0x16EB8), (0x16EBB, 0x16ED3), (0x16FF2, 0x16FF3),
+    (0x187F8, 0x187FF), (0x18CD6, 0x18CDA), (0x18D09, 0x18D20), (0x18D80, 0x18DF2), (0x18E00, 0x19191), (0x191A0, 0x191D2), (0x1B123, 0x1B128),
+    (0x1B168, 0x1B168), (0x1D6A6, 0x1D6A6), (0x1DF1F, 0x1DF24), (0x1DF2B, 0x1DF81), (0x1DF90, 0x1DF96), (0x1DFCD, 0x1DFFF), (0x1E6C0, 0x1E6DE),
+    (0x1E6E0, 0x1E6E2), (0x1E6E4, 0x1E6E5), (0x1E6E7, 0x1E6ED), (0x1E6F0, 0x1E6F4), (0x1E6FE, 0x1E6FF), (0x2B73A, 0x2B73F), (0x2B81E, 0x2B81E),
+    (0x2CEA2, 0x2CEAD), (0x323B0, 0x33479), (0x3D000, 0x3FC3F),
+)
+# The same for numbers.
+NO_NUMBERS = ((0x11DE0, 0x11DE9), (0x1246F, 0x1246F), (0x12475, 0x1247F), (0x12550, 0x12686), (0x16FF4, 0x16FF6))
+# Capitals that the library lower-cases, first, last, and the first's lower case.
+LATER_LOWER = (
+    (0x1C89, 0x1C89, 0x1C8A), (0xA7CB, 0xA7CB, 0x264), (0xA7CC, 0xA7CC, 0xA7CD), (0xA7CE, 0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2, 0xA7D3),
+    (0xA7D4, 0xA7D4, 0xA7D5), (0xA7DA, 0xA7DA, 0xA7DB), (0xA7DC, 0xA7DC, 0x19B), (0x10D50, 0x10D65, 0x10D70), (0x16EA0, 0x16EB8, 0x16EBB),
+)
+
 #: Number of ids, the ids as little-endian unsigned 32-bit integers, their tokens joined by spaces.
 Coded = tuple[int, bytes, str]
 
@@ -54,6 +80,14 @@ def byte_letters() -> list[str]:
     return out
 
 
+def class_of(ranges: Iterable[tuple[int, int]]) -> str:
+    return "[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in ranges) + "]"
+
+
+LATER = regex.compile(class_of([*NO_LETTERS, *NO_NUMBERS, *((a, b) for a, b, _ in LATER_LOWER)]))
+LOWER = {a + k: low + k for a, b, low in LATER_LOWER for k in range(b - a + 1)}
+
+
 @dataclass
 class WordBpe:
     """Encoder and decoder of a word-level BPE file (``tokenizers`` JSON with byte-level
@@ -90,6 +124,14 @@ class WordBpe:
         self.tokens = {i: t for t, i in (self.vocab | self.added).items()}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
 
+    @cached_property
+    def exact_words(self) -> regex.Pattern:
+        """``words`` with the library's letters and numbers."""
+        pattern = self.words.pattern
+        for kind, out in (("\\p{L}", NO_LETTERS), ("\\p{N}", NO_NUMBERS)):
+            pattern = pattern.replace(kind, f"[{kind}--{class_of(out)}]")
+        return regex.compile(pattern, regex.V1)
+
     def merge_short(self, parts: list[int]) -> list[int]:
         find, made = self.ranks.get, self.made
         ranks = [find(a << 20 | b, NO_RANK) for a, b in zip(parts, parts[1:])]
@@ -137,9 +179,12 @@ class WordBpe:
         return len(ids), array("I", ids).tobytes(), self.decode(ids)
 
     def plain(self, text: str) -> list[Coded]:
+        words = self.words
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return [self.word(w) for w in self.words.findall(text.lower())]
+            if LATER.search(text):
+                words, text = self.exact_words, text.translate(LOWER)
+        return [self.word(w) for w in words.findall(text.lower())]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.tokens[i] for i in ids])

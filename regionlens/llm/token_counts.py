@@ -15,8 +15,12 @@ worker keeps a bounded memo. Whole texts are counted, in one pass without a shuf
 The vocabulary comes from a public model file whose path is a parameter; the driver
 reads it once, and its pieces and scores are broadcast (32,000 of them).
 
+Control, unknown and byte pieces (``<s>``, ``<unk>``, ``<0x0A>``) are symbols of their own and
+never matched in a text: their strings there are ordinary text, as in sentencepiece.
+
 Defined results: null and empty texts have 0 tokens and score 0; rows are independent,
-so repeated rows and other columns don't matter.
+so repeated rows and other columns (clashing names included, none is read) don't matter;
+the empty table gives the empty table.
 """
 
 from __future__ import annotations
