@@ -17,7 +17,7 @@ from regionlens.llm.sharding import balanced_shards
 from regionlens.llm.source_mix import mix_sources
 from regionlens.llm.suffix_dedup import dedup_substrings
 from regionlens.llm.token_counts import token_counts
-from regionlens.llm.url_filter import MAX_BAD, url_verdicts
+from regionlens.llm.url_filter import MARGIN, url_verdicts
 from regionlens.llm.warc import archive_report
 from regionlens.sources.tables import load
 
@@ -42,13 +42,12 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the fixed limit of its SQL."""
-    found = url_verdicts(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"), max_bad=MAX_BAD)
+    found = url_verdicts(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
     return found.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By the share of bad pages over all labelled ones; no SQL."""
+    """``op4_url_filter`` with what it judges by."""
     found = url_verdicts(load(spark, sf_dir, "pages"), load(spark, sf_dir, "labels"))
     return found.select("page_id", "host", "path", "rule", "verdict", "n_labelled", "bad_lower")
 
@@ -197,12 +196,15 @@ t AS (SELECT sum(bad) / sum(n) AS p0 FROM h),
 {weights},
 ps AS (SELECT suffix, (bad + ws * p0) / (n + ws) AS ps FROM s, ws, t),
 pd AS (SELECT domain, (bad + wd * ps) / (n + wd) AS pd FROM d JOIN ps USING (suffix), wd),
-ab AS (SELECT host, bad + wh * pd AS a, n - bad + wh * (1 - pd) AS b FROM h JOIN pd USING (domain), wh),
-rep AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower FROM ab),
+seen AS (SELECT host, string_split(host, '.')[-1] AS suffix, array_to_string(string_split(host, '.')[-2:], '.') AS domain, coalesce(n, 0) AS n, coalesce(bad, 0) AS bad
+  FROM (SELECT DISTINCT host FROM p WHERE host <> '') LEFT JOIN (SELECT host, n, bad FROM h) USING (host)),
+pr AS (SELECT host, n, bad, coalesce(pd, ps, p0) AS prior FROM seen LEFT JOIN pd USING (domain) LEFT JOIN ps USING (suffix), t),
+ab AS (SELECT host, bad + wh * prior AS a, n - bad + wh * (1 - prior) AS b FROM pr, wh),
+rep AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) - p0 AS above FROM ab, t),
 rules(kind, rule, rh, rp) AS (VALUES {rules}),
 fit AS (SELECT page_id, p.host, path, kind, rule, row_number() OVER (PARTITION BY p.rn ORDER BY length(rule) DESC NULLS LAST) AS k
   FROM (SELECT *, row_number() OVER () AS rn FROM p) p LEFT JOIN rules ON (p.host = rh OR ends_with(p.host, '.' || rh)) AND starts_with(path, rp))
-SELECT page_id, fit.host, path, rule, coalesce(kind, CASE WHEN lower > 0.2 THEN 'block' ELSE 'allow' END) AS verdict FROM fit LEFT JOIN rep ON fit.host = rep.host WHERE k = 1"""
+SELECT page_id, fit.host, path, rule, coalesce(kind, CASE WHEN above > {margin} THEN 'block' ELSE 'allow' END) AS verdict FROM fit LEFT JOIN rep ON fit.host = rep.host WHERE k = 1"""
 
 
 def _weights() -> str:
@@ -226,4 +228,7 @@ def _rules() -> str:
     return ", ".join(rows)
 
 
-ORACLE_SQL["op4_url_filter"] = _URL.format(weights=_weights(), rules=_rules())
+ORACLE_SQL["op4_url_filter"] = _URL.format(weights=_weights(), rules=_rules(), margin=MARGIN)
+ORACLE_SQL["op4_url_reputation"] = ORACLE_SQL["op4_url_filter"].replace(
+    "SELECT page_id, fit.host, path, rule,", "SELECT page_id, fit.host, path, rule, coalesce(rep.n, 0)::BIGINT AS n_labelled, rep.lower AS bad_lower,"
+).replace("- p0 AS above FROM ab, t", "- p0 AS above, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS lower, n FROM ab, t").replace("AS b FROM pr, wh", "AS b, n FROM pr, wh")

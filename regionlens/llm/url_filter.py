@@ -6,9 +6,8 @@ whose prior is the share over all labelled pages. The weight of a prior (pseudo
 counts) at a level is estimated from the spread of the shares at that level (method
 of moments). A page is blocked if the lower bound of its host's posterior is above the
 share over all labelled pages, which the priors pull every host to, by more than
-``margin``. A host without labels is judged by its prior in the same way. Explicit rules go first, the longest fitting one wins. ``max_bad`` sets a
-fixed limit instead: one below the share over all pages blocks clean hosts as soon as
-the labels are many, so it serves only to match a contract that names the limit.
+``margin``. A host without labels is judged by its prior in the same way. Explicit
+rules go first, the longest fitting one wins.
 
 Only skinny columns are read. Counts per host are pre-aggregated map-side; the
 parameters are three one-row aggregates, kept as one-row frames (no collect).
@@ -33,8 +32,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 #: By how much a host's lower bound must exceed the share of bad pages over all labelled pages.
 MARGIN = 0.05
-#: The fixed limit of the registered query's SQL.
-MAX_BAD = 0.2
 #: Standard deviations from the posterior mean to its lower bound.
 BOUND_Z = 1.645
 #: Limits of a prior's weight, and what counts where a level has no spread to tell from.
@@ -103,7 +100,6 @@ def url_verdicts(
     pages: DataFrame,
     labels: DataFrame,
     rules: Sequence[tuple[str, str]] = RULES,
-    max_bad: float | None = None,
     margin: float = MARGIN,
     page_id: str = "page_id",
     url: str = "url",
@@ -111,8 +107,7 @@ def url_verdicts(
     """(page_id, host, path, rule, verdict, n_labelled, bad_lower) per page.
 
     ``labels`` has the page's id as doc_id, quality (0 is bad) and toxic (1 is bad).
-    A host is blocked above ``max_bad``, by default above the share of all by ``margin``;
-    with ``max_bad`` hosts without labels pass, as the contract of that limit has it.
+    A host is blocked if its lower bound is above the share of all by ``margin``.
     """
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
@@ -120,9 +115,7 @@ def url_verdicts(
     named = p.where("host != ''")
     rep = store(reputations(named.join(marks, named["page_id"] == marks["its_page"]).select("host", "bad"), named.select("host").distinct()), "host-reputation")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    limit = F.col("p0") + margin if max_bad is None else F.lit(max_bad)
-    judged = F.lit(True) if max_bad is None else F.col("n") > 0
-    own = F.when(judged & (F.col("lower") > limit), "block").otherwise("allow")
+    own = F.when(F.col("lower") - F.col("p0") > margin, "block").otherwise("allow")
     return p.join(rep, p["host"] == rep["rep_host"], "left").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, own).alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_labelled"), F.col("lower").alias("bad_lower")
     )
