@@ -3,7 +3,8 @@
 An archive is a folder of two Parquet tables. ``payloads`` holds each distinct
 payload once, under its SHA-256 and length; ``headers`` holds one row per record
 with the exact header bytes (WARC header and HTTP header) and the address of the
-payload. Records are rebuilt by joining the two. Records with equal payloads refer
+payload. Records are rebuilt by joining the two; where the archive is also in the
+catalogue (``table``), both are bucketed by the address and meet without a shuffle. Records with equal payloads refer
 to the one of the smallest page id (``revisit``, profile identical-payload-digest).
 
 Equal addresses are taken as equal payloads; ``read_records`` digests every stored
@@ -21,6 +22,8 @@ columns besides those named are not read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,9 +79,18 @@ def header(kind: Column) -> Column:
     return F.concat(lines, F.lit(CRLF * 2), http).cast("binary")
 
 
-def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_shared: int = MIN_SHARED) -> None:
-    """Write ``path``/payloads and ``path``/headers, a record per row of ``pages``."""
+def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url", payload: str = "html", min_shared: int = MIN_SHARED, table: str | None = None) -> None:
+    """Write ``path``/payloads and ``path``/headers, a record per row of ``pages``; with
+    ``table`` also as bucketed tables of that name and part."""
     spark = pages.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def save(df: DataFrame, part: str) -> None:
+        if table is None:
+            df.write.parquet(f"{path}/{part}")
+        else:
+            df.write.bucketBy(buckets, "sha256", "n").format("parquet").option("path", f"{path}/{part}").saveAsTable(f"{table}_{part}")
+
     body = F.coalesce(F.col(payload).cast("binary"), F.lit(b""))
     src = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), body.alias("body"))
     src = src.withColumns({"sha256": F.unhex(F.sha2("body", 256)), "n": F.length("body").cast("long")})
@@ -88,13 +100,17 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     shared = store(groups.where("copies > 1").select(F.col("sha256").alias("s"), F.col("n").alias("m"), F.col("first.page_id").alias("first_page"), F.col("first.uid").alias("first_uid")), "warc-shared")
     records = facts.join(shared, (facts["sha256"] == shared["s"]) & (facts["n"] == shared["m"]), "left")
     kind = F.when(F.col("first_uid").isNull() | (F.col("first_uid") == F.col("uid")), "response").otherwise("revisit")
-    records.select("sha256", "n", header(kind).alias("header")).write.parquet(f"{path}/headers")
-    src.select("sha256", "n", "body").dropDuplicates(["sha256", "n"]).write.parquet(f"{path}/payloads")
+    save(records.select("sha256", "n", header(kind).alias("header")), "headers")
+    save(src.select("sha256", "n", "body").dropDuplicates(["sha256", "n"]), "payloads")
 
 
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
+def part_of(spark: SparkSession, path: str, part: str, table: str | None) -> DataFrame:
+    return spark.read.parquet(f"{path}/{part}") if table is None else spark.table(f"{table}_{part}")
+
+
+def read_headers(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Records with the fields parsed back from their exact header bytes."""
-    h = spark.read.parquet(f"{path}/headers").withColumn("lines", F.element_at(F.split(F.col("header").cast("string"), CRLF * 2, 2), 1))
+    h = part_of(spark, path, "headers", table).withColumn("lines", F.element_at(F.split(F.col("header").cast("string"), CRLF * 2, 2), 1))
 
     def value(name: str) -> Column:
         return F.nullif(F.regexp_extract("lines", rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
@@ -112,34 +128,42 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def checked_payloads(spark: SparkSession, path: str) -> DataFrame:
+def checked_payloads(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """The payload table; a payload that doesn't fit its address raises."""
-    p = spark.read.parquet(f"{path}/payloads")
+    p = part_of(spark, path, "payloads", table)
     holds = (F.unhex(F.sha2("body", 256)) == F.col("sha256")) & (F.length("body") == F.col("n"))
     return p.select("sha256", "n", F.when(holds, F.col("body")).otherwise(F.raise_error(F.lit("payload doesn't fit its digest")).cast("binary")).alias("body"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
+def read_records(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
     """Original records: the fields of ``read_headers`` and the exact ``record`` bytes
     (header, payload of responses, and the two line ends that close a record)."""
-    h = read_headers(spark, path)
-    own = h.where("record_type = 'response'").join(checked_payloads(spark, path), ["sha256", "n"])
+    h = read_headers(spark, path, table)
+    own = h.where("record_type = 'response'").join(checked_payloads(spark, path, table), ["sha256", "n"])
     end = F.lit(CRLF * 2).cast("binary")
     full = own.withColumn("record", F.concat("header", "body", end)).drop("body")
     return full.unionByName(h.where("record_type = 'revisit'").withColumn("record", F.concat("header", end)))
 
 
-def payload_facts(spark: SparkSession, path: str) -> DataFrame:
-    """Length and WARC digest of every stored payload, taken from its bytes."""
-    return checked_payloads(spark, path).select("sha256", "n", F.length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body")).alias("payload_digest"))
+def payload_facts(records: DataFrame) -> DataFrame:
+    """Length and WARC digest of every payload, taken from the bytes of a rebuilt response."""
+    body = F.expr(f"substring(record, length(header) + 1, length(record) - length(header) - {2 * len(CRLF)})")
+    own = records.where("record_type = 'response'").withColumn("body", body)
+    facts = own.select("sha256", "n", F.length("body").cast("long").alias("payload_bytes"), base32_sha1(F.col("body")).alias("payload_digest"))
+    return facts.dropDuplicates(["sha256", "n"])  # unshared payloads have several responses
 
 
 def archive_report(pages: DataFrame) -> DataFrame:
-    """Write the archive of ``pages`` and report every record as read back:
-    page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Write the archive of ``pages`` and report every record as rebuilt from it:
+    page_id, payload_bytes, payload_digest, record_type, refers_to. A revisit has the
+    length and digest of the response's payload."""
     spark = pages.sparkSession
-    path = shared_path(spark, "llm-warc")
-    write_archive(pages, path)
-    facts = store(payload_facts(spark, path), "warc-facts").withColumnsRenamed({"sha256": "s", "n": "m"})
+    path, table = shared_path(spark, "llm-warc"), f"llm_warc_{uuid.uuid4().hex}"
+    try:
+        write_archive(pages, path, table=table)
+        facts = store(payload_facts(read_records(spark, path, table)), "warc-facts").withColumnsRenamed({"sha256": "s", "n": "m"})
+    finally:
+        for part in ("headers", "payloads"):
+            spark.sql(f"DROP TABLE IF EXISTS {table}_{part}")
     h = read_headers(spark, path)
     return h.join(facts, (h["sha256"] == facts["s"]) & (h["n"] == facts["m"])).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
