@@ -65,7 +65,8 @@ def later_copies(docs: DataFrame, ids: DataFrame) -> DataFrame:
     has; ``ids`` are its written (doc_id, part, h)."""
     again = store(ids.groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select(F.col("h").alias("again_h")), "audit-hashes")
     likely = docs.where("doc_id is not null").join(again, F.col("h") == F.col("again_h"), "left_semi")
-    first = likely.groupBy(F.col("h").alias("first_h"), F.col("t").alias("first_t")).agg(F.min("doc_id").alias("first_id"))
+    # written, so that Spark broadcasts it while it is small, and else splits the hot texts on the left of the join
+    first = store(likely.groupBy(F.col("h").alias("first_h"), F.col("t").alias("first_t")).agg(F.min("doc_id").alias("first_id")), "audit-first")
     smaller = (F.col("h") == F.col("first_h")) & (F.col("t") == F.col("first_t")) & (F.col("first_id") < F.col("doc_id"))
     return likely.join(first, smaller, "left_semi").select("doc_id", "part", "h")
 
