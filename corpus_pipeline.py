@@ -10,8 +10,10 @@ stages before the last return the columns of ``documents``:
 4. benchmark decontamination: documents that contain a test item go;
 5. BPE encoding and decoding of what is left.
 
-A document's columns other than text pass unchanged; ``n_chars`` is set to the new
-length where the first or second stage changed a text.
+A document's columns other than text pass unchanged, whatever their names; ``n_chars`` is
+set to the new length where the first or second stage changed a text. An empty table
+passes every stage as an empty table; null and empty texts fail the quality rules; rows
+of one doc_id and text are kept or dropped together.
 """
 
 from __future__ import annotations
@@ -30,27 +32,33 @@ from regionlens.session import shared_path
 from regionlens.sources.tables import load
 
 
-def others(docs: DataFrame) -> tuple[str, ...]:
-    return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+#: Holds a document's other columns on their way through an operator, whatever their names.
+REST = "rest_of_document"
+
+
+def packed(docs: DataFrame, *also: str) -> DataFrame:
+    """doc_id, text, the columns ``also`` and all columns of ``docs`` but the text in one struct."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select("doc_id", "text", *also, rest.alias(REST))
 
 
 def rewritten(found: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
-    """``found`` (doc_id, clean_text and the other columns) with the columns of ``docs``."""
-    cols = {"doc_id": F.col("doc_id"), "text": F.col("clean_text")} | {c: F.col(c) for c in others(docs)}
+    """The columns of ``docs`` from ``found`` (``clean_text`` and the packed others)."""
+    cols = {c: F.col(f"{REST}.`{c}`") for c in docs.columns if c != "text"} | {"text": F.col("clean_text")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        cols["n_chars"] = F.when(changed, F.length("clean_text").cast(docs.schema["n_chars"].dataType)).otherwise(cols["n_chars"])
     return found.select([cols[c].alias(c) for c in docs.columns])
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    found = quality_rules(docs, keep=others(docs)).where("kept")
+    found = quality_rules(packed(docs, "source"), keep=(REST,)).where("kept")
     return rewritten(found, docs, F.col("n_boilerplate_words") > 0)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepared(spark)
-    return rewritten(dedup_lines(docs, keep=others(docs)), docs, F.col("n_dropped") > 0)
+    return rewritten(dedup_lines(packed(docs), keep=(REST,)), docs, F.col("n_dropped") > 0)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +84,7 @@ STAGES = [
     ("bpe", bpe_stage),
 ]
 
-#: BPE merges can't be said in SQL; no test calls run(), the operators have tests of their own.
+#: BPE merges can't be said in SQL; the tests hold run() against a plain version.
 ORACLE_SQL = None
 
 
