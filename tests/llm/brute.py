@@ -89,3 +89,25 @@ def contaminated(rows: list[tuple], items: list[tuple], percent: int = 80) -> li
         own = shingles(t)
         out += [(d, i, len(s), len(s & own)) for i, s in sets if s and 100 * len(s & own) >= percent * len(s)]
     return out
+
+
+def quality(rows: list[tuple], min_docs: int = 20, share: float = 0.1) -> list[tuple]:
+    """(doc_id, text left) of the documents (doc_id, text, host) that pass."""
+    lines = lambda t: [x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    words = lambda t: [w.decode() for w in raw_of(t).split()]
+    norm = lambda x: " ".join(words(x)).lower()
+    texts, holders = defaultdict(set), defaultdict(set)
+    for _, t, h in rows:
+        texts[h].add(t)
+        for x in lines(t):
+            holders[h, norm(x)].add(t)
+    often = {k for k, v in holders.items() if len(v) > min_docs and len(v) > share * len(texts[k[0]])}
+    out = []
+    for d, t, h in rows:
+        w = words(t)
+        windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        repeated = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+        left = None if t is None else "\n".join(x for x in t.split("\n") if (h, norm(x)) not in often or not lines(x))
+        if len(w) >= 50 and 100 * len(repeated) <= 50 * len(w) and len(w) - len(words(left)) <= 0.5 * len(w):
+            out.append((d, left))
+    return out
