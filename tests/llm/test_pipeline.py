@@ -140,6 +140,18 @@ def test_archive_rows_come_from_rebuilt_records(spark, tmp_path):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("llm_warc")]
 
 
+def test_near_links_of_a_whole_table(spark):
+    """Recall measured: every component of the small documents table against all links that
+    an inverted index of its shingles holds (no document is left out)."""
+    from regionlens.llm.near_dedup import near_groups
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    want = {d: tuple(x) for d, *x in brute.near_groups([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_groups(docs).collect()}
+    assert sum(not kept for _, _, kept in want.values()) > 20
+    assert got == want
+
+
 def test_bpe_letters_are_those_of_the_library():
     from tokenizers import Tokenizer
 
