@@ -105,7 +105,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
 
 
 def part_of(spark: SparkSession, path: str, part: str, table: str | None) -> DataFrame:
-    return spark.read.parquet(f"{path}/{part}") if table is None else spark.table(f"{table}_{part}")
+    schema = f"sha256 binary, n long, {'header' if part == 'headers' else 'body'} binary"  # an empty archive has no files
+    return spark.read.schema(schema).parquet(f"{path}/{part}") if table is None else spark.table(f"{table}_{part}")
 
 
 def read_headers(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
