@@ -9,12 +9,14 @@ features of ``documents``; growth curves use the cumulative ``events`` series.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regionlens.functions.scalar import log10_1p, log10_positive, round_to
 from regionlens.operators import aggregates, boost, features, growth, metrics, newton_trees, pcr, stepwise
-from regionlens.plans.registry import _SERIES_SQL, register
+from regionlens.plans.registry import _SERIES_SQL, PANEL_SQL, register
 from regionlens.session import cut_lineage
 from regionlens.sources import standins
 from regionlens.sources.tables import load
@@ -374,16 +376,16 @@ def q_gram_matrix(spark, base):
     return g.select("i", "j", "col_i", "col_j", round_to("value", 4).alias("value"))
 
 
-def _sweep_sql() -> str:
-    """Forward selection in SQL: the matrix of ``s`` as a list, swept at the predictor that
-    lowers the RSS most, step by step. After a sweep at c, row c holds the coefficients,
-    the diagonal the inverse, the last cell the RSS."""
-    p = len(REG_FEATURES)
+def _sweep_sql(tables: str, names: Sequence[str]) -> str:
+    """Forward selection in SQL: the matrix of ``s`` (the last of ``tables``) as a list, swept
+    at the predictor that lowers the RSS most, step by step. After a sweep at c, row c holds
+    the coefficients, the diagonal the inverse, the last cell the RSS."""
+    p = len(names)
     w = p + 1
     name = [[f"xx{i}" if i == j else f"x{min(i, j)}{max(i, j)}" for j in range(p)] + [f"xy{i}"] for i in range(p)]
     cells = ", ".join(c for row in [*name, [f"xy{i}" for i in range(p)] + ["yy"]] for c in row)
     return (
-        _REG_SQL.replace("WITH b AS", "WITH RECURSIVE b AS", 1)
+        tables.replace("WITH ", "WITH RECURSIVE ", 1)
         + f""",
 step AS (
   SELECT 0 AS size, 0::BIGINT AS c, []::BIGINT[] AS chosen, [{cells}] AS m, n, yy FROM s
@@ -402,12 +404,12 @@ path AS (
          -n / 2.0 * (ln(2 * pi() * m[{w * w}] / n) + 1) AS llf FROM step WHERE size > 0),
 sized AS (
   SELECT *, 1 - n / (n - size::DOUBLE) * (1 - r2) AS adj_r2, -2 * llf + 2 * size AS aic, -2 * llf + size * ln(n) AS bic,
-         {list(REG_FEATURES)} AS names FROM path)
+         {list(names)} AS names FROM path)
 """
     )
 
 
-_PATH_SQL = _sweep_sql()
+_PATH_SQL = _sweep_sql(_REG_SQL, REG_FEATURES)
 
 
 def _path(spark, base):
@@ -747,15 +749,19 @@ def q_pcr_holdout(spark, base, n_pc: int = 15):
     return test.select("vec_id", F.col("y").alias("actual"), pred.alias("predicted"))
 
 
-def _full_width_sql(select: str, dims: int = 64) -> str:
-    """OLS of log10(label) on 1 and all coordinates of the training rows, by sweeps: then the
-    last column holds the coefficients and the last cell the RSS."""
+_EMBEDDING_ROWS_SQL = """
+WITH v AS (SELECT vec_id, log10(label) AS y, ('0x' || substr(md5('0:' || vec_id::VARCHAR), 1, 8))::BIGINT < 858993459 AS test,
+    list_append(list_prepend(1.0, list_transform(embedding, lambda x: x::DOUBLE)), log10(label)) AS x FROM embeddings WHERE label > 0)"""
+
+
+def _full_width_sql(select: str, rows: str = _EMBEDDING_ROWS_SQL, key: str = "vec_id", dims: int = 64) -> str:
+    """OLS of the response on 1 and all coordinates of the training rows, by sweeps: then the
+    last column holds the coefficients and the last cell the RSS. ``rows`` ends with the
+    table v (``key``, y, test, x: 1, coordinates, y)."""
     w = dims + 2
-    return f"""
-WITH RECURSIVE v AS (SELECT vec_id, log10(label) AS y, ('0x' || substr(md5('0:' || vec_id::VARCHAR), 1, 8))::BIGINT < 858993459 AS test,
-    list_append(list_prepend(1.0, list_transform(embedding, lambda x: x::DOUBLE)), log10(label)) AS x FROM embeddings WHERE label > 0),
-p AS (SELECT vec_id, unnest(range(1, {w + 1})) AS i, unnest(x) AS x FROM v WHERE NOT test),
-g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM p a JOIN p b USING (vec_id) GROUP BY a.i, b.i),
+    return f"""{rows.replace("WITH ", "WITH RECURSIVE ", 1)},
+p AS (SELECT {key}, unnest(range(1, {w + 1})) AS i, unnest(x) AS x FROM v WHERE NOT test),
+g AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS v FROM p a JOIN p b USING ({key}) GROUP BY a.i, b.i),
 st AS (
   SELECT 0::BIGINT AS c, list(v ORDER BY i, j) AS m FROM g
   UNION ALL
@@ -945,3 +951,93 @@ def q_panel_pcr_r2_curve(spark, base):
     from regionlens.plans.panel_models import build_panel, pcr_report
 
     return pcr_report(spark, build_panel(spark, base))["r2_curve"]
+
+
+# ============================================================================ panel models against SQL
+PANEL_FEATURES = ("ACCTBAL_2018", "QTY_2018", "PRICE_2018", "DISC_2018")
+
+
+def _panel_path_sql(response: str) -> str:
+    """Forward path of log10(1 + response) on the panel's min-max scaled attributes."""
+    p = len(PANEL_FEATURES)
+    scaled = ", ".join(f"({c} - min({c}) OVER ()) / (max({c}) OVER () - min({c}) OVER ()) AS {c}" for c in PANEL_FEATURES)
+    complete = " AND ".join(f"{c} IS NOT NULL" for c in PANEL_FEATURES)
+    sums = ["sum(y * y) AS yy", "count(*)::BIGINT AS n"]
+    for i, a in enumerate(PANEL_FEATURES):
+        sums += [f"sum({a} * {a}) AS xx{i}", f"sum({a} * y) AS xy{i}"]
+        sums += [f"sum({a} * {PANEL_FEATURES[j]}) AS x{i}{j}" for j in range(i + 1, p)]
+    tables = PANEL_SQL + f"""
+, x AS (SELECT FIPS, {scaled}, log10(1 + {response}) AS y FROM panel WHERE {complete}),
+s AS (SELECT {", ".join(sums)} FROM x)"""
+    return _sweep_sql(tables, PANEL_FEATURES)
+
+
+def _each_response(sql: Callable[[str], str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{r}' AS response, * FROM ({sql(r)})" for r in ("Cases", "Deaths"))
+
+
+def _panel_reports(spark, base) -> dict[str, dict]:
+    from regionlens.plans.panel_models import build_panel, stepwise_report
+
+    panel = build_panel(spark, base)
+    return {r: stepwise_report(spark, panel, r) for r in ("Cases", "Deaths")}
+
+
+@register(
+    "panel_selection",
+    _each_response(
+        lambda r: _panel_path_sql(r)
+        + """
+SELECT size::INTEGER AS size, names[c] AS added, round_even(rss * 1e4, 0) / 1e4 AS rss, round_even(r2 * 1e6, 0) / 1e6 AS r2,
+       round_even(adj_r2 * 1e6, 0) / 1e6 AS adj_r2, round_even(aic * 1e3, 0) / 1e3 AS aic, round_even(bic * 1e3, 0) / 1e3 AS bic,
+       size = (SELECT arg_min(size, bic) FROM sized) AS chosen
+FROM sized"""
+    ),
+)
+def q_panel_selection(spark, base):
+    """Forward paths of cases and deaths on the panel's attributes, their criteria and the model that BIC chooses."""
+    parts = []
+    for response, report in _panel_reports(spark, base).items():
+        rounded = [round_to(c, d).alias(c) for c, d in (("rss", 4), ("r2", 6), ("adj_r2", 6), ("aic", 3), ("bic", 3))]
+        parts.append(report["path"].select(F.lit(response).alias("response"), "size", "added", *rounded, (F.col("size") == report["chosen"]["size"]).alias("chosen")))
+    return parts[0].unionByName(parts[1])
+
+
+@register(
+    "panel_residuals",
+    _each_response(
+        lambda r: _panel_path_sql(r)
+        + f"""
+, best AS (SELECT * FROM sized ORDER BY bic, size LIMIT 1),
+coefs AS (SELECT {", ".join(f"CASE WHEN list_contains(chosen, {k + 1}) THEN m[{(k + 1) * (len(PANEL_FEATURES) + 1)}] ELSE 0 END AS b{k}" for k in range(len(PANEL_FEATURES)))} FROM best)
+SELECT FIPS, round_even(y * 1e5, 0) / 1e5 AS y, round_even(fitted * 1e5, 0) / 1e5 AS fitted, round_even((y - fitted) * 1e5, 0) / 1e5 AS residual
+FROM (SELECT x.*, {" + ".join(f"b{k} * {c}" for k, c in enumerate(PANEL_FEATURES))} AS fitted FROM x, coefs)"""
+    ),
+)
+def q_panel_residuals(spark, base):
+    """Fitted values and residuals of the chosen models of cases and deaths on the panel."""
+    parts = [report["residuals"].select(F.lit(response).alias("response"), "FIPS", *[round_to(c, 5).alias(c) for c in ("y", "fitted", "residual")]) for response, report in _panel_reports(spark, base).items()]
+    return parts[0].unionByName(parts[1])
+
+
+_PANEL_ROWS_SQL = PANEL_SQL + f"""
+, split AS (SELECT *, ('0x' || substr(md5('0:' || FIPS), 1, 8))::BIGINT < 858993459 AS test FROM panel WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PANEL_FEATURES)}),
+mo AS (SELECT {", ".join(f"avg({c}) AS m{k}, stddev_samp({c}) AS s{k}" for k, c in enumerate(PANEL_FEATURES))} FROM split WHERE NOT test),
+v AS (SELECT FIPS, test, log10(Cases) AS y, [1.0::DOUBLE, {", ".join(f"({c} - m{k}) / s{k}" for k, c in enumerate(PANEL_FEATURES))}, log10(Cases)] AS x FROM split, mo WHERE Cases > 0)"""
+
+
+@register(
+    "panel_pcr_holdout",
+    _full_width_sql(
+        f"SELECT FIPS, round_even(y * 1e5, 0) / 1e5 AS actual, round_even(list_dot_product(b, x[1:{len(PANEL_FEATURES) + 1}]) * 1e5, 0) / 1e5 AS predicted FROM v, f WHERE test",
+        _PANEL_ROWS_SQL,
+        "FIPS",
+        len(PANEL_FEATURES),
+    ),
+)
+def q_panel_pcr_holdout(spark, base):
+    """Cases of the panel's holdout regions, predicted from all components of its training regions."""
+    from regionlens.plans.panel_models import build_panel, pcr_report
+
+    found = pcr_report(spark, build_panel(spark, base))["holdout"]
+    return found.select("FIPS", *[round_to(c, 5).alias(c) for c in ("actual", "predicted")])

@@ -404,19 +404,21 @@ def supplier_panel(spark: SparkSession, base: str) -> DataFrame:
     return panel(supplier_rates(spark, base), tables, key="FIPS", drop=_PANEL_DROP)
 
 
-@register(
-    "county_panel",
+PANEL_SQL = (
     _SUPPLIER_RATES_SQL
     + """
 , acct AS (SELECT printf('%05d', s_suppkey) AS FIPS, s_acctbal AS ACCTBAL_2018 FROM supplier),
 per AS (SELECT l_suppkey, sum(l_quantity) AS qty, sum(l_extendedprice::DECIMAL(18,2)) AS price,
                sum(l_discount::DECIMAL(18,2)) AS disc FROM lineitem GROUP BY l_suppkey),
 vol AS (SELECT printf('%05d', l_suppkey) AS FIPS, round_even(qty, 0) AS QTY_2018, price::DOUBLE AS PRICE_2018 FROM per),
-terms AS (SELECT printf('%05d', l_suppkey) AS FIPS, disc::DOUBLE AS DISC_2018 FROM per)
-SELECT r.*, ACCTBAL_2018, QTY_2018, PRICE_2018, DISC_2018
-FROM rates r JOIN acct USING (FIPS) JOIN vol USING (FIPS) JOIN terms USING (FIPS)
-""",
+terms AS (SELECT printf('%05d', l_suppkey) AS FIPS, disc::DOUBLE AS DISC_2018 FROM per),
+panel AS (SELECT r.*, ACCTBAL_2018, QTY_2018, PRICE_2018, DISC_2018
+  FROM rates r JOIN acct USING (FIPS) JOIN vol USING (FIPS) JOIN terms USING (FIPS))
+"""
 )
+
+
+@register("county_panel", PANEL_SQL + "SELECT * FROM panel")
 def q_county_panel(spark, base):
     return supplier_panel(spark, base)
 

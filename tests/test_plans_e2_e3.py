@@ -1,11 +1,13 @@
 """End-to-end E2 (panel models) and E3 (growth curves) on sf0.001."""
 
+import hashlib
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from regionlens.plans import growth_curves, panel_models
+from regionlens.plans import growth_curves, model_queries, panel_models
 from regionlens.sources import standins
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,38 @@ def test_panel_classifier_report(spark):
     m = rep["metrics"].collect()[0]
     assert m.tp + m.fp + m.fn + m.tn == rep["predictions"].count()
     assert {r["feature"] for r in rep["importance"]} == set(panel.features)
+
+
+def test_panel_queries_equal_plain_fits(spark):
+    base = "/root/testdata/sf0.01"
+    panel = panel_models.build_panel(spark, base)
+    rows = panel.frame.orderBy("FIPS").collect()
+    x = np.array([[r[c] for c in panel.features] for r in rows], dtype=float)
+    scaled = (x - x.min(0)) / (x.max(0) - x.min(0))
+    fips = [r["FIPS"] for r in rows]
+    steps = model_queries.q_panel_selection(spark, base).collect()
+    residuals = model_queries.q_panel_residuals(spark, base).collect()
+    for response in ("Cases", "Deaths"):
+        y = np.log10(1 + np.array([r[response] for r in rows], dtype=float))
+        path = sorted((r for r in steps if r["response"] == response), key=lambda r: r["size"])
+        assert sum(r["chosen"] for r in path) == 1
+        used = []
+        for r in path:
+            left = [j for j in range(x.shape[1]) if j not in used]
+            rss = {j: float(np.square(y - scaled[:, [*used, j]] @ np.linalg.lstsq(scaled[:, [*used, j]], y, rcond=None)[0]).sum()) for j in left}
+            used.append(min(left, key=rss.get))
+            assert r["added"] == panel.features[used[-1]] and r["rss"] == pytest.approx(rss[used[-1]], abs=1e-4)
+            if r["chosen"]:
+                model = scaled[:, used]
+                want = dict(zip(fips, y - model @ np.linalg.lstsq(model, y, rcond=None)[0], strict=True))
+        got = {r["FIPS"]: r["residual"] for r in residuals if r["response"] == response}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+    train = np.array([int(hashlib.md5(f"0:{f}".encode()).hexdigest()[:8], 16) >= int(0.2 * 2**32) for f in fips])
+    cases = np.array([r["Cases"] for r in rows], dtype=float)
+    z = np.column_stack([np.ones(len(x)), (x - x[train].mean(0)) / x[train].std(0, ddof=1)])
+    fit = train & (cases > 0)
+    beta = np.linalg.lstsq(z[fit], np.log10(cases[fit]), rcond=None)[0]
+    want = {f: float(v) for f, v, test in zip(fips, z @ beta, ~train & (cases > 0), strict=True) if test}
+    got = {r["FIPS"]: r["predicted"] for r in model_queries.q_panel_pcr_holdout(spark, base).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
