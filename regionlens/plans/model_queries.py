@@ -1020,6 +1020,12 @@ def q_panel_residuals(spark, base):
     return parts[0].unionByName(parts[1])
 
 
+def _panel_pcr(spark, base, n_pc: int | None = None) -> dict[str, DataFrame]:
+    from regionlens.plans.panel_models import build_panel, pcr_report
+
+    return pcr_report(spark, build_panel(spark, base), n_pc)
+
+
 _PANEL_ROWS_SQL = PANEL_SQL + f"""
 , split AS (SELECT *, ('0x' || substr(md5('0:' || FIPS), 1, 8))::BIGINT < 858993459 AS test FROM panel WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PANEL_FEATURES)}),
 mo AS (SELECT {", ".join(f"avg({c}) AS m{k}, stddev_samp({c}) AS s{k}" for k, c in enumerate(PANEL_FEATURES))} FROM split WHERE NOT test),
@@ -1037,7 +1043,93 @@ v AS (SELECT FIPS, test, log10(Cases) AS y, [1.0::DOUBLE, {", ".join(f"({c} - m{
 )
 def q_panel_pcr_holdout(spark, base):
     """Cases of the panel's holdout regions, predicted from all components of its training regions."""
-    from regionlens.plans.panel_models import build_panel, pcr_report
+    found = _panel_pcr(spark, base)["holdout"]
+    return found.select("FIPS", *[round_to(c, 5).alias(c) for c in ("actual", "predicted")])
+
+
+def _jacobi_sql(d: int, sweeps: int = 10) -> str:
+    """Table pc (component, value, vec): eigenvalues of the covariance of the training rows of
+    ``z``, largest first, and their vectors with a positive largest entry, by Jacobi rotations."""
+    pairs = [(i, j) for i in range(d) for j in range(i + 1, d)]
+    cells = ", ".join(f"covar_samp(z[{i + 1}], z[{j + 1}])" for i in range(d) for j in range(d))
+    unit = ", ".join("1.0" if i == j else "0.0" for i in range(d) for j in range(d))
+
+    def turned(m: str, at: str, other_p: str, other_q: str) -> str:
+        return f"""list_transform(range(0, {d * d}), lambda e: CASE
+      WHEN {at} = p THEN c * {m}[e + 1] - s * {m}[{other_q}] WHEN {at} = q THEN s * {m}[{other_p}] + c * {m}[e + 1] ELSE {m}[e + 1] END)"""
+
+    columns = (f"e % {d}", f"e // {d} * {d} + p + 1", f"e // {d} * {d} + q + 1")
+    rows = (f"e // {d}", f"p * {d} + e % {d} + 1", f"q * {d} + e % {d} + 1")
+    return f"""
+jac AS (
+  SELECT 0::BIGINT AS k, [{cells}] AS a, [{unit}]::DOUBLE[] AS v FROM z WHERE NOT test
+  UNION ALL
+  SELECT k + 1, {turned("b", *rows)}, v
+  FROM (SELECT k, p, q, c, s, {turned("a", *columns)} AS b, {turned("v", *columns)} AS v
+  FROM (SELECT *, 1 / sqrt(1 + t * t) AS c, t / sqrt(1 + t * t) AS s
+  FROM (SELECT *, CASE WHEN abs(apq) < 1e-18 THEN 0 ELSE (CASE WHEN dif >= 0 THEN 1 ELSE -1 END) * 2 * apq / (abs(dif) + sqrt(4 * apq * apq + dif * dif)) END AS t
+  FROM (SELECT *, a[p * {d} + q + 1] AS apq, a[q * {d} + q + 1] - a[p * {d} + p + 1] AS dif
+  FROM (SELECT *, {[i for i, _ in pairs]}[k % {len(pairs)} + 1] AS p, {[j for _, j in pairs]}[k % {len(pairs)} + 1] AS q FROM jac WHERE k < {sweeps * len(pairs)})))))),
+axis AS (SELECT a[j * {d + 1} + 1] AS value, list_transform(range(0, {d}), lambda i: v[i * {d} + j + 1]) AS vec
+  FROM jac, (SELECT unnest(range(0, {d})) AS j) WHERE k = {sweeps * len(pairs)}),
+pc AS (SELECT (row_number() OVER (ORDER BY value DESC))::INTEGER AS component, value,
+  CASE WHEN list_max(vec) >= -list_min(vec) THEN vec ELSE list_transform(vec, lambda x: -x) END AS vec FROM axis)"""
+
+
+_PANEL_PCA_SQL = (
+    PANEL_SQL.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f"""
+, split AS (SELECT *, ('0x' || substr(md5('0:' || FIPS), 1, 8))::BIGINT < 858993459 AS test FROM panel WHERE {" AND ".join(f"{c} IS NOT NULL" for c in PANEL_FEATURES)}),
+mo AS (SELECT {", ".join(f"avg({c}) AS m{k}, stddev_samp({c}) AS s{k}" for k, c in enumerate(PANEL_FEATURES))} FROM split WHERE NOT test),
+z AS (SELECT FIPS, test, Cases, [{", ".join(f"({c} - m{k}) / s{k}" for k, c in enumerate(PANEL_FEATURES))}] AS z FROM split, mo),"""
+    + _jacobi_sql(len(PANEL_FEATURES))
+)
+
 
-    found = pcr_report(spark, build_panel(spark, base))["holdout"]
+def _panel_scores_sql(select: str) -> str:
+    """Sweeps of log10(Cases) on 1 and the panel's components, one after another (table st)."""
+    rows = _PANEL_PCA_SQL + """,
+v AS (SELECT FIPS, test, log10(Cases) AS y, list_append(list_prepend(1.0, list_transform(vecs, lambda w: list_dot_product(w, z))), log10(Cases)) AS x
+  FROM z, (SELECT list(vec ORDER BY component) AS vecs FROM pc) WHERE Cases > 0)"""
+    return _full_width_sql(select, rows.replace("WITH RECURSIVE ", "WITH ", 1), "FIPS", len(PANEL_FEATURES))
+
+
+@register(
+    "panel_pca",
+    _PANEL_PCA_SQL
+    + f"""
+SELECT component, {list(PANEL_FEATURES)}[i] AS feature, round_even(vec[i] * sqrt(value) * 1e6, 0) / 1e6 AS loading, round_even(value * 1e6, 0) / 1e6 AS eigenvalue,
+       round_even(value / sum(value) OVER (PARTITION BY i) * 1e6, 0) / 1e6 AS ratio,
+       round_even(sum(value) OVER (PARTITION BY i ORDER BY component) / sum(value) OVER (PARTITION BY i) * 1e6, 0) / 1e6 AS cumulative
+FROM pc, (SELECT unnest(range(1, {len(PANEL_FEATURES) + 1})) AS i)""",
+)
+def q_panel_pca(spark, base):
+    """Explained variance and signed loadings of the panel's standardised attributes."""
+    report = _panel_pcr(spark, base)
+    found = report["loadings"].join(report["variance"], "component")
+    return found.select("component", "feature", *[round_to(c, 6).alias(c) for c in ("loading", "eigenvalue", "ratio", "cumulative")])
+
+
+_LAST = (len(PANEL_FEATURES) + 2) ** 2
+
+
+@register(
+    "panel_pcr_curve",
+    _panel_scores_sql(f"SELECT (c - 1)::INTEGER AS components, c::INTEGER AS rank, round_even((1 - m[{_LAST}] / (SELECT m[{_LAST}] FROM st WHERE c = 1)) * 1e6, 0) / 1e6 AS r2 FROM st WHERE c > 1"),
+)
+def q_panel_pcr_curve(spark, base):
+    """R^2 of log10(cases) on the panel's first components, for every number of them."""
+    return _panel_pcr(spark, base)["r2_curve"].select("components", "rank", round_to("r2", 6).alias("r2"))
+
+
+@register(
+    "panel_pcr_holdout_2",
+    _panel_scores_sql(
+        f"""SELECT FIPS, round_even(y * 1e5, 0) / 1e5 AS actual,
+  round_even(list_dot_product(list_transform(range(1, 4), lambda i: m[i * {len(PANEL_FEATURES) + 2}]), x[1:3]) * 1e5, 0) / 1e5 AS predicted FROM v, st WHERE test AND c = 3"""
+    ),
+)
+def q_panel_pcr_holdout_2(spark, base):
+    """Cases of the panel's holdout regions, predicted from the first two components."""
+    found = _panel_pcr(spark, base, 2)["holdout"]
     return found.select("FIPS", *[round_to(c, 5).alias(c) for c in ("actual", "predicted")])

@@ -86,3 +86,31 @@ def test_panel_queries_equal_plain_fits(spark):
     want = {f: float(v) for f, v, test in zip(fips, z @ beta, ~train & (cases > 0), strict=True) if test}
     got = {r["FIPS"]: r["predicted"] for r in model_queries.q_panel_pcr_holdout(spark, base).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+
+
+def test_panel_components_equal_plain_ones(spark):
+    base = "/root/testdata/sf0.01"
+    panel = panel_models.build_panel(spark, base)
+    rows = panel.frame.orderBy("FIPS").collect()
+    x = np.array([[r[c] for c in panel.features] for r in rows], dtype=float)
+    cases = np.array([r["Cases"] for r in rows], dtype=float)
+    train = np.array([int(hashlib.md5(f"0:{r['FIPS']}".encode()).hexdigest()[:8], 16) >= int(0.2 * 2**32) for r in rows])
+    z = (x - x[train].mean(0)) / x[train].std(0, ddof=1)
+    _, size, axes = np.linalg.svd(z[train], full_matrices=False)
+    value = size**2 / (train.sum() - 1)
+    axes = axes * np.array([1 if a[np.abs(a).argmax()] > 0 else -1 for a in axes])[:, None]
+    for r in model_queries.q_panel_pca(spark, base).collect():
+        j = r["component"] - 1
+        assert r["eigenvalue"] == pytest.approx(value[j], abs=1e-5) and r["cumulative"] == pytest.approx(value[: j + 1].sum() / value.sum(), abs=1e-5)
+        assert r["loading"] == pytest.approx(axes[j, panel.features.index(r["feature"])] * math.sqrt(value[j]), abs=1e-5)
+
+    fit, score = train & (cases > 0), np.column_stack([np.ones(len(z)), z @ axes.T])
+    y = np.log10(cases[fit])
+    for r in model_queries.q_panel_pcr_curve(spark, base).collect():
+        a = score[fit][:, : r["components"] + 1]
+        rss = np.square(y - a @ np.linalg.lstsq(a, y, rcond=None)[0]).sum()
+        assert r["rank"] == r["components"] + 1 and r["r2"] == pytest.approx(1 - rss / np.square(y - y.mean()).sum(), abs=1e-5)
+    beta = np.linalg.lstsq(score[fit][:, :3], y, rcond=None)[0]
+    want = {r["FIPS"]: float(v) for r, v, t in zip(rows, score[:, :3] @ beta, ~train & (cases > 0), strict=True) if t}
+    got = {r["FIPS"]: r["predicted"] for r in model_queries.q_panel_pcr_holdout_2(spark, base).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
