@@ -6,20 +6,22 @@ is removed. The work is cut so that equal strings meet and others don't:
 * Each window of ``LENGTH`` bytes is owned by the smallest of its ``GRAM``-byte hashes
   (leftmost of equals), its anchor. Equal windows have equal anchors at equal offsets.
   Windows in a row with the same anchor form a run; its bytes are the run's context.
-* Runs are counted by anchor. An anchor seen once has no repeated window. If all runs
-  of an anchor have one context, all their windows are repeated.
+* Runs are counted by anchor. An anchor seen once has no repeated window.
 * The distinct contexts of the other anchors are fetched from the texts, dealt by anchor
   and suffix-sorted in buffers of bounded size: only suffixes smaller than their
   successors are sorted directly, the rest is induced by one scan over the buckets of
-  first bytes, and adjacent common prefixes of ``LENGTH`` show the repeated windows.
+  first bytes, and adjacent common prefixes of ``LENGTH`` show the repeated windows (a
+  context counts as often as it occurs).
 * An anchor with more than ``HOT_CONTEXTS`` distinct contexts (the edge of a passage that
-  very many documents share) doesn't fit a task. Its runs are cut into blocks of windows
-  that share a core of bytes; cores are counted map-side, and where one recurs, so are
-  the digests of its single windows. That splits the group without dropping any of it.
+  very many documents share) doesn't fit a buffer. Its contexts are cut into blocks of
+  ``BLOCKS[0]`` windows, which share a core of bytes; the distinct blocks whose core
+  recurs are dealt by core and suffix-sorted in the same way. A core with too many
+  distinct blocks is cut again, down to single windows, where a group is one string. So
+  every repeated window is found by the sort, whatever the size of its group.
 
 Only anchors (one per about 85 bytes) are shuffled, and deflated texts twice: to fetch
-contexts and to cut the spans. Window hashes are 64 bits twice (anchor and context) or
-a 128-bit digest.
+contexts and to cut the spans. Contexts and blocks are told apart by 64 bits twice (anchor
+and context, core and block); windows are compared byte by byte.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` keep everything;
 rows equal in doc_id and text are separate places, so their long strings repeat; a null
@@ -43,7 +45,8 @@ from regionlens.llm.shingles import mixed, powers
 LENGTH = 200
 GRAM = 32
 HOT_CONTEXTS = 1000
-BLOCK = 8
+#: Windows of a block, level by level; the last level is 1, whose groups can't be too large.
+BLOCKS = (8, 1)
 BUFFER = 512 << 10
 #: Stands for a null doc_id.
 NO_DOC = -(1 << 63)
@@ -287,25 +290,29 @@ def anchor_place(body: bytes, length: int, gram: int) -> int:
     return int(ranked[: length - gram + 1].min() & _PLACE)
 
 
-def digest(body: bytes) -> tuple[int, int]:
-    d = hashlib.blake2b(body, digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+def digest(body: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True)
 
 
-def recurring(rows: DataFrame) -> DataFrame:
-    """``rows`` (k1, k2, copies, ...) whose key stands for two or more places."""
-    often = rows.groupBy("k1", "k2").agg(F.sum("copies").alias("places")).where("places > 1")
-    often = store(often.select(F.col("k1").alias("o1"), F.col("k2").alias("o2")), "recurring")
-    return rows.join(often, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2"))).drop("o1", "o2")
+def flagged(rows: DataFrame, most: int) -> tuple[DataFrame, bool]:
+    """``rows`` with a column ``hot``: whether more than ``most`` rows have its h; and if any has."""
+    hot = store(rows.groupBy(F.col("h").alias("hot_h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("hot_h"), "hot-groups")
+    return rows.join(hot, F.col("h") == F.col("hot_h"), "left").withColumn("hot", F.col("hot_h").isNotNull()).drop("hot_h"), not hot.isEmpty()
+
 
+def recurring(rows: DataFrame) -> DataFrame:
+    """``rows`` (h, copies, ...) whose h stands for two or more places."""
+    often = rows.groupBy("h").agg(F.sum("copies").alias("places")).where("places > 1")
+    often = store(often.select(F.col("h").alias("often_h")), "recurring")
+    return rows.join(often, F.col("h") == F.col("often_h")).drop("often_h")
 
-def counted_marks(contexts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
-    """As ``sorted_marks``, for anchors with very many contexts: by counting cores, blocks and windows.
 
-    A block whose bytes recur as a whole is marked at once; single windows are counted
-    over the distinct blocks, and looked up for those that stand alone."""
+def cut_blocks(contexts: DataFrame, length: int, gram: int, block: int) -> DataFrame:
+    """(h, c, copies, of_h, of_c, lo, body): the blocks of ``block`` windows of ``contexts``
+    (h, c, copies, body). h is a hash of the block's core, c of its bytes, ``lo`` its first
+    window in its context. Equal windows are in blocks of one core."""
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for h, c, copies, body in zip(*(col.to_pylist() for col in batch.columns), strict=True):
@@ -316,41 +323,37 @@ def counted_marks(contexts: DataFrame, length: int, gram: int, block: int) -> Da
                     lo, hi = max(0, place - b * block - block + 1), min(last, place - b * block)
                     core = body[place - b * block : place - b * block - block + 1 + length]
                     whole = body[lo : hi + length]
-                    found.append((*digest(b"%d " % b + core), *digest(b"%d %d " % (place - lo, place - hi) + whole), copies, h, c, lo, whole))
+                    found.append((digest(b"%d " % b + core), digest(b"%d %d " % (place - lo, place - hi) + whole), copies, h, c, lo, whole))
             if found:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 7, pa.int32(), pa.binary()), strict=True)], names=["k1", "k2", "b1", "b2", "copies", "h", "c", "lo", "body"]
+                    [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.int32(), pa.binary()), strict=True)], names=["h", "c", "copies", "of_h", "of_c", "lo", "body"]
                 )
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for b1, b2, copies, body in zip(*(col.to_pylist() for col in batch.columns), strict=True):
-                found += [(*digest(body[k : k + length]), copies, b1, b2, k) for k in range(len(body) - length + 1)]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (*[pa.int64()] * 5, pa.int32()), strict=True)], names=["k1", "k2", "copies", "b1", "b2", "at"])
-
-    parts = contexts.select("h", "c", "copies", "body").mapInArrow(blocks, "k1 long, k2 long, b1 long, b2 long, copies long, h long, c long, lo int, body binary")
-    live = store(recurring(store(parts, "blocks")), "recurring-blocks")
-    distinct = store(live.groupBy("b1", "b2").agg(F.sum("copies").alias("copies"), F.first("body").alias("body")), "distinct-blocks")
-    single = store(distinct.select("b1", "b2", "copies", "body").mapInArrow(windows, "k1 long, k2 long, copies long, b1 long, b2 long, at int"), "windows")
-    often = single.groupBy("k1", "k2").agg(F.sum("copies").alias("places")).where("places > 1")
-    often = store(often.select(F.col("k1").alias("o1"), F.col("k2").alias("o2")), "recurring-windows")
-    alone = single.where("copies = 1").join(often, (F.col("k1") == F.col("o1")) & (F.col("k2") == F.col("o2")))
-    some = alone.groupBy("b1", "b2").agg(F.sort_array(F.collect_list("at")).alias("first")).select("b1", "b2", "first", F.col("first").alias("last"))
-    whole = distinct.where("copies > 1").select("b1", "b2", F.array(F.lit(0)).alias("first"), F.array(F.length("body") - length).alias("last"))
-    marks = store(some.unionByName(whole).withColumnsRenamed({"b1": "m1", "b2": "m2"}), "block-marks")
-    met = live.join(marks, (F.col("b1") == F.col("m1")) & (F.col("b2") == F.col("m2")))
+    return contexts.select("h", "c", "copies", "body").mapInArrow(run, "h long, c long, copies long, of_h long, of_c long, lo int, body binary")
+
+
+def group_marks(contexts: DataFrame, any_hot: bool, length: int, gram: int, hot_contexts: int, buffer: int, blocks: tuple[int, ...]) -> DataFrame:
+    """(h, c, first, last): repeated windows of ``contexts`` (h, c, copies, hot, body). Groups
+    that are ``hot`` are cut into blocks, which are sorted by their cores."""
+    marks = sorted_marks(contexts.where("not hot"), length, buffer)
+    if not any_hot:
+        return marks
+    live = store(recurring(store(cut_blocks(contexts.where("hot"), length, gram, blocks[0]), "blocks")), "recurring-blocks")
+    distinct = store(live.groupBy("h", "c").agg(F.sum("copies").alias("copies"), F.first("body").alias("body")), "distinct-blocks")
+    distinct, more = flagged(distinct, hot_contexts) if blocks[1:] else (distinct.withColumn("hot", F.lit(False)), False)
+    found = group_marks(distinct, more, length, gram, hot_contexts, buffer, blocks[1:])
+    found = store(found.withColumnsRenamed({"h": "m_h", "c": "m_c"}), "block-marks")
+    met = live.join(found, (F.col("h") == F.col("m_h")) & (F.col("c") == F.col("m_c")))
     shifted = [F.flatten(F.collect_list(F.transform(n, lambda x: x + F.col("lo")))).alias(n) for n in ("first", "last")]
-    return met.groupBy("h", "c").agg(*shifted)
+    return marks.unionByName(met.groupBy(F.col("of_h").alias("h"), F.col("of_c").alias("c")).agg(*shifted))
 
 
 def dedup_substrings(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, buffer: int = BUFFER, block: int = BLOCK
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot_contexts: int = HOT_CONTEXTS, buffer: int = BUFFER, blocks: tuple[int, ...] = BLOCKS
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, spans) of every row of ``docs``;
     spans lists the removed stretches as (first byte, byte behind the last)."""
-    spans = repeated_spans(docs, doc_id, text, length, gram, hot_contexts, buffer, block)
+    spans = repeated_spans(docs, doc_id, text, length, gram, hot_contexts, buffer, blocks)
     texts = packed_texts(docs, doc_id, text, NO_DOC)
     met = texts.join(spans, (texts["doc_id"] == spans["doc"]) & (texts["th"] == spans["text_h"]), "left").select("doc_id", "body", "lo", "hi")
     pair = pa.list_(pa.struct([("first", pa.int64()), ("stop", pa.int64())]))
@@ -381,24 +384,20 @@ def dedup_substrings(
     return got.withColumn("doc_id", F.nullif(F.col("doc_id"), F.lit(NO_DOC)))
 
 
-def repeated_spans(docs: DataFrame, doc_id: str, text: str, length: int, gram: int, hot_contexts: int, buffer: int, block: int) -> DataFrame:
+def repeated_spans(docs: DataFrame, doc_id: str, text: str, length: int, gram: int, hot_contexts: int, buffer: int, blocks: tuple[int, ...]) -> DataFrame:
     """(doc, text_h, lo, hi): for each document with repeated strings, its runs of them."""
     anchors = store(anchor_rows(docs, doc_id, text, length, gram), "anchors")
-    seen = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("runs"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("runs > 1")
-    seen = store(seen.select(F.col("h").alias("its_h"), (F.col("c0") != F.col("c1")).alias("mixed")), "anchors-seen")
+    seen = anchors.groupBy("h").agg(F.count(F.lit(1)).alias("runs")).where("runs > 1")
+    seen = store(seen.select(F.col("h").alias("its_h")), "anchors-seen")
     again = store(anchors.join(seen, F.col("h") == F.col("its_h")).drop("its_h"), "anchors-again")
-    plain = again.where("not mixed").select("doc_id", "th", F.col("start").alias("lo"), (F.col("start") + F.col("windows") + length - 1).alias("hi"))
-
-    varied = again.where("mixed")
-    contexts = varied.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("w"))
+    contexts = again.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "th", "start", "windows")).alias("w"))
     contexts = store(contexts.select("h", "c", "copies", F.col("w.doc_id").alias("doc"), F.col("w.th").alias("text_h"), F.col("w.start").alias("start"), F.col("w.windows").alias("windows")), "contexts")
-    hot = store(contexts.groupBy(F.col("h").alias("hot_h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot_contexts).select("hot_h"), "hot-anchors")
-    wanted = contexts.join(hot, F.col("h") == F.col("hot_h"), "left").withColumn("hot", F.col("hot_h").isNotNull()).drop("hot_h")
+    wanted, any_hot = flagged(contexts, hot_contexts)
     bodies = store(cut_contexts(wanted, packed_texts(docs, doc_id, text, NO_DOC), length), "context-bodies")
-    marks = sorted_marks(bodies.where("not hot"), length, buffer).unionByName(counted_marks(bodies.where("hot"), length, gram, block))
+    marks = group_marks(bodies, any_hot, length, gram, hot_contexts, buffer, blocks)
     marks = store(marks.select(F.col("h").alias("m_h"), F.col("c").alias("m_c"), "first", "last"), "marks")
-    met = varied.join(marks, (F.col("h") == F.col("m_h")) & (F.col("c") == F.col("m_c")))
+    met = again.join(marks, (F.col("h") == F.col("m_h")) & (F.col("c") == F.col("m_c")))
     marked = met.select("doc_id", "th", "start", F.explode(F.arrays_zip("first", "last")).alias("x"))
     marked = marked.select("doc_id", "th", (F.col("start") + F.col("x.first")).alias("lo"), (F.col("start") + F.col("x.last") + length).alias("hi"))
-    ranges = plain.unionByName(marked).groupBy(F.col("doc_id").alias("doc"), F.col("th").alias("text_h")).agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
+    ranges = marked.groupBy(F.col("doc_id").alias("doc"), F.col("th").alias("text_h")).agg(F.collect_set(F.struct("lo", "hi")).alias("r"))
     return store(ranges.select("doc", "text_h", F.transform("r", lambda x: x["lo"]).alias("lo"), F.transform("r", lambda x: x["hi"]).alias("hi")), "spans")

@@ -37,7 +37,7 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("hot", [1, 1000])
+@pytest.mark.parametrize("hot", [1, 2, 1000])
 def test_substrings(docs, none, hot):
     got = suffix_dedup.dedup_substrings(docs, hot_contexts=hot).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
     want = [(d, *x) for (d, _), x in zip(ROWS, brute.substrings([t for _, t in ROWS], 200), strict=True)]
