@@ -395,13 +395,15 @@ _PANEL_DROP = ("TAX_2018",)
 
 def supplier_panel(spark: SparkSession, base: str) -> DataFrame:
     """Rates ⋈ (account ⋈ (volume ⋈ terms)) on the padded key, attributes cleaned
-    to double, year-2018 columns only, then the listed columns dropped."""
+    to double, year-2018 columns only, then the listed columns dropped. The fact table
+    is scanned once, for rates and attributes together."""
+    facts = standins.supplier_facts(spark, base)
     tables = []
-    for t in standins.supplier_attributes(spark, base):
+    for t in standins.supplier_attributes(spark, base, facts):
         t = t.withColumn("FIPS", pad_key("FIPStxt"))
         feats = [c for c in projection.columns_by_token(t, "FIPS", "2018").columns if c != "FIPS"]
         tables.append(t.select("FIPS", *[to_number(c).alias(c) for c in feats]))
-    return panel(supplier_rates(spark, base), tables, key="FIPS", drop=_PANEL_DROP)
+    return panel(rates.entity_rates(*standins.counts_of(facts)), tables, key="FIPS", drop=_PANEL_DROP)
 
 
 PANEL_SQL = (

@@ -64,6 +64,33 @@ def supplier_deaths(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
+def supplier_facts(spark: SparkSession, base: str) -> DataFrame:
+    """Every count and sum of ``lineitem`` per supplier that the panel needs, one row a
+    ``l_suppkey``, written once: cases, deaths and attributes then share one scan of the
+    fact table."""
+    returned = F.col("l_returnflag") == RETURNED_FLAG
+    rate_sum = lambda c: F.sum(F.col(c).cast("decimal(18,2)"))
+    return cut_lineage(
+        load(spark, base, "lineitem").groupBy("l_suppkey").agg(
+            F.count(F.lit(1)).alias("lines"),
+            F.count_if(returned).alias("returned"),
+            F.count_if(returned & (F.col("l_linestatus") == FINISHED_STATUS)).alias("finished"),
+            F.sum("l_quantity").alias("qty"),
+            rate_sum("l_extendedprice").alias("price"),
+            rate_sum("l_discount").alias("disc"),
+            rate_sum("l_tax").alias("tax"),
+        )
+    )
+
+
+def counts_of(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``supplier_cases`` and ``supplier_deaths`` from ``supplier_facts`` (its rows without a
+    key and with key 0 are one entity here)."""
+    total = lambda c, name: F.sum(c).cast("long").alias(name)
+    by_key = facts.groupBy(*_supplier_keys())
+    return by_key.agg(total("returned", "Cases")), by_key.agg(total("lines", "Population"), total("finished", "Deaths"))
+
+
 def line_counts(spark: SparkSession, base: str) -> DataFrame:
     """Row-level counts where every term of the validity filter fails somewhere."""
     li = load(spark, base, "lineitem")
@@ -181,7 +208,7 @@ def customer_attributes(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def supplier_attributes(spark: SparkSession, base: str) -> list[DataFrame]:
+def supplier_attributes(spark: SparkSession, base: str, facts: DataFrame) -> list[DataFrame]:
     """Three attribute tables keyed by supplier (text key ``FIPStxt``), all text.
 
     * account: ``ACCTBAL_2018`` money text, ``NATION_2017`` (an older column);
@@ -189,29 +216,21 @@ def supplier_attributes(spark: SparkSession, base: str) -> list[DataFrame]:
     * terms: ``DISC_2018`` and ``TAX_2018``, total discount and tax rates (exact
       decimal sums rendered with 2 decimals).
 
-    Volume and terms come from one per-supplier aggregate of ``lineitem``, which is
-    written once: the fact table is scanned once for both.
+    Volume and terms come from ``facts`` (``supplier_facts``).
     """
     sup = load(spark, base, "supplier")
-    li = load(spark, base, "lineitem")
     money = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
     account = sup.select(
         F.col("s_suppkey").cast("string").alias("FIPStxt"),
         money(F.col("s_acctbal")).alias("ACCTBAL_2018"),
         F.col("s_nationkey").cast("string").alias("NATION_2017"),
     )
-    per_supplier = cut_lineage(li.groupBy("l_suppkey").agg(
-        F.sum("l_quantity").alias("qty"),
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("price"),
-        F.sum(F.col("l_discount").cast("decimal(18,2)")).alias("disc"),
-        F.sum(F.col("l_tax").cast("decimal(18,2)")).alias("tax"),
-    ))
-    volume = per_supplier.select(
+    volume = facts.select(
         F.col("l_suppkey").cast("string").alias("FIPStxt"),
         F.format_number("qty", 0).alias("QTY_2018"),
         money(F.col("price")).alias("PRICE_2018"),
     )
-    terms = per_supplier.select(
+    terms = facts.select(
         F.col("l_suppkey").cast("string").alias("FIPStxt"),
         F.format_number("disc", 2).alias("DISC_2018"),
         F.format_number("tax", 2).alias("TAX_2018"),

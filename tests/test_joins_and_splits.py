@@ -7,8 +7,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from regionlens.operators import aggregates, features, growth, joins
+from regionlens.plans.registry import supplier_panel
 from regionlens.session import shared_path
-from regionlens.sources import files
+from regionlens.sources import files, standins
+from regionlens.sources.tables import load
 
 
 def _panel_inputs(spark):
@@ -41,6 +43,22 @@ def test_missing_key_is_dealt_over_parts(spark):
     assert max(r["count"] for r in sizes) < total / 4
 
 
+def test_panel_scans_the_fact_table_once(spark, tmp_path):
+    sf = "/root/testdata/sf0.001"
+    plan = supplier_panel(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_returnflag" not in plan  # what is left of the fact table is its written aggregate
+    # lines without a supplier and those of supplier 0 are one entity, as in the separate files
+    li = load(spark, sf, "lineitem")
+    key = F.when(F.col("l_suppkey") % 3 == 0, F.lit(None)).when(F.col("l_suppkey") % 3 == 1, F.lit(0)).otherwise(F.col("l_suppkey"))
+    li.withColumn("l_suppkey", key.cast("long")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    base = str(tmp_path)
+    cases, deaths = standins.counts_of(standins.supplier_facts(spark, base))
+    for got, want in ((cases, standins.supplier_cases(spark, base)), (deaths, standins.supplier_deaths(spark, base))):
+        assert got.schema.names == want.schema.names
+        assert sorted(got.collect()) == sorted(want.collect())
+        assert got.where("FIPS = 0").count() == 1
+
+
 def test_map_layer_runs_its_input_once(spark):
     seen = spark.sparkContext.accumulator(0)
 
