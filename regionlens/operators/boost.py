@@ -133,12 +133,12 @@ def search(
     common = {"max_iter": max_iter, "seed": seed, "patience": patience if validation_fraction > 0 else 0}
     specs = [spec(**common, **d, fold=k) for d in draws for k in range(folds)]
     checked = validation_slice(key, validation_fraction, seed) if validation_fraction > 0 else None
-    got = newton_trees.train(train.sparkSession, train, features, key, [label], specs, fold=hash_fold(key, seed, folds), checked=checked, **options)
+    got = newton_trees.train(train.sparkSession, train, features, key, [label], specs, fold=hash_fold(key, seed, folds), checked=checked, trees=False, **options)
     rows = []
     for i, d in enumerate(draws):
         fits = got[i * folds : (i + 1) * folds]
         scores = [t.held_out[0] / t.held_out[1] for t in fits if t.held_out[1]]
-        rows.append(dict(d, draw=i + 1, accuracy=float(np.mean(scores)) if scores else None, n_trees=float(np.mean([len(t.trees) for t in fits]))))
+        rows.append(dict(d, draw=i + 1, accuracy=float(np.mean(scores)) if scores else None, n_trees=float(np.mean([t.n_trees for t in fits]))))
     best = max(range(len(draws)), key=lambda i: (rows[i]["accuracy"] or 0.0, -i))
     model = newton_trees.train(train.sparkSession, train, features, key, [label], [spec(**common, **draws[best])], checked=checked, **options)[0]
     return rows, model
